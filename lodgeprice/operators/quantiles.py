@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,8 @@ def kth_smallest(df: DataFrame, wanted: dict[str, list[int]], bins: int = BINS)
     if not cols:
         return {}
     spark = df.sparkSession
-    longf = _long_form(df, cols)
+    # several passes read the same values: keep the narrow long form (spills to disk, recomputed on loss)
+    longf = _long_form(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     bounds = {r["c"]: r for r in longf.groupBy("c").agg(
         F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
     brackets: list[_Bracket] = []
@@ -103,6 +105,7 @@ def kth_smallest(df: DataFrame, wanted: dict[str, list[int]], bins: int = BINS)
                 acc += r["n"]
             else:  # pragma: no cover - counts are consistent by construction
                 raise RuntimeError("rank not found in bracket")
+    longf.unpersist()
     out = {}
     for b in brackets:
         if b.value is None:  # pragma: no cover

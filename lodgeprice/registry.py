@@ -501,3 +501,289 @@ def _long(wide: DataFrame, cols: list[str], key: str) -> DataFrame:
     return wide.select(key, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv")
     ).select(key, "kv.feature", F.round("kv.value", 6).alias("value"))
+
+
+# ---------------------------------------------------------------------------
+# shared derived tables (Spark side)
+# ---------------------------------------------------------------------------
+
+def preprocessed(spark, sf):
+    """U1 over the listings view: (table, spec)."""
+    from .plans.preprocess import preprocess
+    return preprocess(listings(spark, sf))
+
+
+def featured(spark, sf):
+    """U1 + U2: (feature table, spec)."""
+    from .plans.features import engineer_features
+    pre, spec = preprocessed(spark, sf)
+    return engineer_features(pre), spec
+
+
+def _unpivot_sql(src: str, exclude: list[str]) -> str:
+    return (f"select id, feature, round(value, 6) as value from (unpivot (select * exclude ({', '.join(exclude)}) "
+            f"from {src}) on columns(* exclude (id)) into name feature value value)")
+
+
+# ---------------------------------------------------------------------------
+# 2.9 composed plans: preprocess (U1), features (U2), request features
+# ---------------------------------------------------------------------------
+
+@query("u01_preprocess", f"""
+with {S.feature_ctes()}
+{_unpivot_sql('imp', ['property_type'])}
+union all
+select id, feature, round(value, 6) from ({S.property_long('imp')})
+""")
+def u01_preprocess(spark, sf):
+    pre, _ = preprocessed(spark, sf)
+    return _long(pre, [c for c in pre.columns if c != "id"], "id")
+
+
+@query("u02_engineer_features", f"""
+with {S.feature_ctes()}
+select id, feature, round(value, 6) as value from (unpivot (select id, bedroom_density, beds_per_person,
+  bathrooms_per_person, total_rooms, avg_dist_to_landmark, review_score_std, min_dist_to_landmark, total_amenities
+  from feat) on columns(* exclude (id)) into name feature value value)
+""")
+def u02_engineer_features(spark, sf):
+    from .plans.features import DERIVED
+    feat, _ = featured(spark, sf)
+    return _long(feat, DERIVED, "id")
+
+
+@query("g05_medians", f"""
+with {S.feature_ctes()}
+select feature, round(value, 6) as value from (unpivot med on columns(*) into name feature value value)
+""")
+def g05_medians(spark, sf):
+    _, spec = preprocessed(spark, sf)
+    rows = [(k, None if v is None else round(float(v), 6)) for k, v in spec.medians.items()]
+    return spark.createDataFrame(rows, "feature string, value double")
+
+
+@query("f12_median_impute", f"""
+with {S.feature_ctes()}
+select id, round(bedrooms, 6) as bedrooms, round(bathrooms, 6) as bathrooms,
+  round(review_scores_rating, 6) as review_scores_rating, round(host_experience, 6) as host_experience from imp
+""")
+def f12_median_impute(spark, sf):
+    pre, _ = preprocessed(spark, sf)
+    return rnd(pre.select("id", F.col("bedrooms").cast("double"), F.col("bathrooms").cast("double"),
+                          F.col("review_scores_rating").cast("double"), F.col("host_experience").cast("double")))
+
+
+@query("g03_distinct_categories", f"""
+with {S.kept_cte()}
+select distinct 'room_type' as field, room_type as value from kept where room_type is not null
+union all select distinct 'neighbourhood', neighbourhood_group_cleansed from kept where neighbourhood_group_cleansed is not null
+""")
+def g03_distinct_categories(spark, sf):
+    from .plans.preprocess import clean
+    k = clean(listings(spark, sf))
+    rows = [("room_type", v) for v in A.distinct_values(k, "room_type")] + [
+        ("neighbourhood", v) for v in A.distinct_values(k, "neighbourhood_group_cleansed")]
+    return spark.createDataFrame(rows, "field string, value string")
+
+
+@query("g04_top_property_types", f"""
+with {S.kept_cte()}
+select property_type, count(*) as n from kept where property_type is not null group by property_type
+order by n desc, property_type limit 15
+""")
+def g04_top_property_types(spark, sf):
+    from .plans.preprocess import clean
+    return A.value_counts(clean(listings(spark, sf)), "property_type").limit(15).withColumnRenamed("n", "n")
+
+
+@query("o04_top_k_categories", f"""
+select room_type, count(*) as n from listings where room_type is not null group by room_type order by n desc, room_type limit 2
+""")
+def o04_top_k_categories(spark, sf):
+    return A.value_counts(listings(spark, sf), "room_type").limit(2)
+
+
+@query("g01_safe_means", f"""
+with {S.feature_ctes()}
+select round(coalesce(avg(host_experience), 365.0), 6) as host_experience_days,
+  round((select coalesce(avg(host_total_listings_count), 1.0) from listings), 6) as num_listings,
+  {", ".join(f"round(coalesce(avg({c}), 4.7), 6) as {c}" for c in REVIEW_COLUMNS)},
+  round(coalesce(avg(number_of_reviews), 50.0), 6) as number_of_reviews,
+  round(coalesce(avg(bedrooms), 1.0), 6) as bedrooms, round(coalesce(avg(beds), 1.0), 6) as beds,
+  round(coalesce(avg(bathrooms), 1.0), 6) as bathrooms
+from feat
+""")
+def g01_safe_means(spark, sf):
+    feat, _ = featured(spark, sf)
+    return rnd(A.safe_means(feat, listings(spark, sf)))
+
+
+@query("g02_host_experience_mean", """
+select round(avg(datediff('day', try_cast(cast(host_since as varchar) as date), try_cast(last_scraped as date))), 6)
+  as host_experience_days from listings
+""")
+def g02_host_experience_mean(spark, sf):
+    return rnd(A.host_experience_mean(listings(spark, sf)))
+
+
+@query("g08_column_profile", f"""
+with {S.feature_ctes()},
+long as (unpivot (select * exclude (property_type) from feat) on columns(* exclude (id)) into name col value v)
+select col, round(avg(v), 6) as mean,
+  round(case when stddev_samp(v) > 0 then stddev_samp(v) else greatest(abs(avg(v)) * 0.1, 1e-3) end, 6) as std,
+  bool_and(v in (0, 1)) as "binary", min(v) >= 0 as non_negative
+from long where col not in ('price') group by col
+""")
+def g08_column_profile(spark, sf):
+    from .plans.features import DERIVED
+    feat, spec = featured(spark, sf)
+    cols = [c for c in feat.columns if c not in ("id", "price") and not c.startswith("property_")]
+    return rnd(A.column_profile(feat, cols))
+
+
+def _pred_rows(spark, sf):
+    from .plans.preprocess import clean
+    k = clean(listings(spark, sf))
+    pred = (40 + 20 * F.col("accommodates") + 25 * F.coalesce("bedrooms", F.lit(1.0))).cast("double")
+    return k.select("id", "price", pred.alias("prediction"))
+
+
+_PRED_SQL = f"select id, price, cast({S.stand_in_prediction()} as double) as prediction from kept"
+
+
+@query("g06_regression_kpis", f"""
+with {S.kept_cte()}, p as ({_PRED_SQL})
+select count(*) as n, round(sqrt(avg((prediction - price) * (prediction - price))), 6) as rmse,
+  round(avg(abs(prediction - price)), 6) as mae,
+  round(1 - sum((prediction - price) * (prediction - price)) / (var_pop(price) * count(price)), 6) as r2,
+  round(avg(abs(prediction - price) / greatest(abs(price), 1e-8)) * 100, 6) as mape
+from p
+""")
+def g06_regression_kpis(spark, sf):
+    return rnd(A.regression_kpis(_pred_rows(spark, sf)))
+
+
+@query("m20_train_test_report", f"""
+with {S.kept_cte()}, p as ({_PRED_SQL})
+select case when {SP.split_sql()} then 'test' else 'train' end as "set", count(*) as n,
+  round(sqrt(avg((prediction - price) * (prediction - price))), 6) as rmse,
+  round(avg(abs(prediction - price)), 6) as mae,
+  round(1 - sum((prediction - price) * (prediction - price)) / (var_pop(price) * count(price)), 6) as r2,
+  round(avg(abs(prediction - price) / greatest(abs(price), 1e-8)) * 100, 6) as mape
+from p group by 1
+""")
+def m20_train_test_report(spark, sf):
+    return rnd(A.regression_kpis(SP.with_set(_pred_rows(spark, sf)), by=["set"]))
+
+
+@query("g07_scoring_summary", f"""
+with {S.kept_cte()}, p as ({_PRED_SQL} where {SP.split_sql()})
+select count(*) as n, round(sqrt(avg((prediction - price) * (prediction - price))), 6) as rmse,
+  round(avg(price), 6) as mean_actual, round(avg(prediction), 6) as mean_predicted from p
+""")
+def g07_scoring_summary(spark, sf):
+    return rnd(A.scoring_summary(SP.test_part(_pred_rows(spark, sf))))
+
+
+@query("g09_error_summary", f"""
+with {S.kept_cte()}, p as ({_PRED_SQL}),
+e as (select abs(prediction - price) as a, abs(prediction - price) / greatest(price, 1e-6) as r from p)
+select count(*) as n, round(avg(a), 6) as abs_err_mean, round(quantile_cont(a, 0.5), 6) as abs_err_median,
+  round(quantile_cont(a, 0.9), 6) as abs_err_p90, round(avg(r) * 100, 6) as rel_err_mean_pct,
+  round(quantile_cont(r, 0.5) * 100, 6) as rel_err_median_pct from e
+""")
+def g09_error_summary(spark, sf):
+    return rnd(A.error_summary(_pred_rows(spark, sf)))
+
+
+@query("g10_price_terciles", f"""
+select round(quantile_cont(p, 1/3), 6) as low, round(quantile_cont(p, 2/3), 6) as high
+from (select {S.money('price')} as p from ({_comps_base_sql()}))
+""")
+def g10_price_terciles(spark, sf):
+    df = C.training_listings(listings(spark, sf)).select(TX.money("price").alias("price_clean"))
+    lo, hi = A.terciles(df, "price_clean")
+    return rnd(spark.createDataFrame([(lo, hi)], "low double, high double"))
+
+
+@query("g12_histogram", f"""
+with {S.kept_cte()}, p as ({_PRED_SQL}),
+b as (select min(prediction) lo, max(prediction) hi from p),
+h as (select least(9, cast(floor((prediction - lo) / ((hi - lo) / 10)) as int)) as bin, count(*) as n from p, b group by 1)
+select r.bin, round(b.lo + r.bin * ((b.hi - b.lo) / 10), 6) as lo, round(b.lo + (r.bin + 1) * ((b.hi - b.lo) / 10), 6) as hi,
+  coalesce(h.n, 0) as n
+from (select unnest(range(10))::int as bin) r cross join b left join h on h.bin = r.bin
+""")
+def g12_histogram(spark, sf):
+    return rnd(A.histogram(_pred_rows(spark, sf), "prediction"))
+
+
+@query("g13_box_summary", f"""
+with {S.kept_cte()}, p as ({_PRED_SQL}),
+q as (select quantile_cont(prediction, 0.25) q1, quantile_cont(prediction, 0.5) med,
+             quantile_cont(prediction, 0.75) q3 from p)
+select round(q1, 6) as q1, round(med, 6) as median, round(q3, 6) as q3,
+  round(min(case when prediction >= q1 - 1.5 * (q3 - q1) then prediction end), 6) as whisker_lo,
+  round(max(case when prediction <= q3 + 1.5 * (q3 - q1) then prediction end), 6) as whisker_hi
+from p, q group by q1, med, q3
+""")
+def g13_box_summary(spark, sf):
+    return rnd(A.box_summary(_pred_rows(spark, sf), "prediction"))
+
+
+# ---------------------------------------------------------------------------
+# model registry over data-derived closed-form predictors
+# ---------------------------------------------------------------------------
+
+def baseline_metrics(spark, sf) -> DataFrame:
+    """M19 over closed-form predictors: test RMSE of each (model, rmse)."""
+    from .plans.evaluate import baseline_predictions
+    from .plans.preprocess import clean
+    preds = baseline_predictions(clean(listings(spark, sf)).select("id", "price", "accommodates", "bedrooms"))
+    e = F.col("prediction") - F.col("price")
+    return preds.groupBy("model").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
+_BASELINE_SQL = f"""
+{S.kept_cte()},
+tr as (select * from kept where not ({SP.split_sql()})),
+te as (select * from kept where {SP.split_sql()}),
+gm as (select avg(price) m from tr),
+am as (select accommodates, avg(price) m from tr group by accommodates),
+preds as (
+  select 'mean_price.joblib' as model, te.price, gm.m as prediction from te, gm
+  union all select 'stand_in_linear.joblib', te.price, cast(40 + 20 * te.accommodates + 25 * coalesce(te.bedrooms, 1) as double) from te
+  union all select 'accommodates_mean.joblib', te.price, coalesce(am.m, gm.m) from te cross join gm left join am on am.accommodates = te.accommodates),
+metrics as (select model, sqrt(avg((prediction - price) * (prediction - price))) as rmse from preds group by model)
+"""
+
+
+@query("m19_evaluate_models", f"with {_BASELINE_SQL} select model, round(rmse, 6) as rmse from metrics")
+def m19_evaluate_models(spark, sf):
+    return rnd(baseline_metrics(spark, sf))
+
+
+@query("g11_leaderboard", f"""
+with {_BASELINE_SQL}
+select model, round(rmse, 6) as rmse, replace(model, '.joblib', '') as label,
+  round((rmse / (select min(rmse) from metrics) - 1) * 100, 6) as pct_over_best,
+  rank() over (order by rmse) as rank
+from metrics
+""")
+def g11_leaderboard(spark, sf):
+    return rnd(A.leaderboard(baseline_metrics(spark, sf)).withColumn("rank", F.col("rank").cast("bigint")))
+
+
+@query("o03_argmin_model", f"with {_BASELINE_SQL} select arg_min(model, rmse) as best_model from metrics")
+def o03_argmin_model(spark, sf):
+    return baseline_metrics(spark, sf).agg(F.min_by("model", "rmse").alias("best_model"))
+
+
+@query("s06_choose_model", f"""
+with {_BASELINE_SQL}
+select model, round(rmse, 6) as rmse from metrics
+order by case when model = 'catboost_tuned' then 0 when model = 'catboost' then 1 else 2 end, rmse, model limit 1
+""")
+def s06_choose_model(spark, sf):
+    from .sources import io
+    return rnd(io.choose_model(baseline_metrics(spark, sf), rule="serving"))

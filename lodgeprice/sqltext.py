@@ -84,3 +84,64 @@ __all__ = [
     "amenity_flag_cols", "first_number", "haversine", "json_list", "kept_cte", "landmark_distance_cols", "money",
     "one_hot_cols", "r6", "row_mean", "row_std", "stand_in_prediction",
 ]
+
+
+FIXTURE_ROOMS = ["Entire home/apt", "Hotel room", "Private room", "Shared room"]
+FIXTURE_DISTRICTS = [
+    "Charlottenburg-Wilm.", "Friedrichshain-Kreuzberg", "Lichtenberg", "Marzahn - Hellersdorf", "Mitte",
+    "Neukölln", "Pankow", "Reinickendorf", "Spandau", "Steglitz - Zehlendorf", "Tempelhof - Schöneberg",
+    "Treptow - Köpenick",
+]
+
+IMPUTED = (["host_experience", "accommodates", "bedrooms", "beds", "number_of_reviews"] + REVIEW_COLUMNS
+           + ["bathrooms"] + landmark_names())
+
+
+def feature_ctes() -> str:
+    """CTEs kept -> top (top-15 property types) -> enc -> med -> imp (U1) -> feat (U2 derived)."""
+    from .functions.text import column_name as cn
+
+    rooms = one_hot_cols("room_type", FIXTURE_ROOMS, "is_", "room")
+    dists = one_hot_cols("neighbourhood_group_cleansed", FIXTURE_DISTRICTS, "is_", "district")
+    flag_names = ([cn("is_", v, "room") for v in FIXTURE_ROOMS] + [cn("is_", v, "district") for v in FIXTURE_DISTRICTS]
+                  + amenity_names())
+    base_double = ["price", "accommodates", "bedrooms", "beds", "number_of_reviews"] + REVIEW_COLUMNS + [
+        "host_experience", "is_professional_host"]
+    enc_cols = ", ".join([f"cast({c} as double) as {c}" for c in base_double] + rooms + dists
+                         + landmark_distance_cols() + amenity_flag_cols(json_list("amenities"))
+                         + [f"{first_number('bathrooms_text')} as bathrooms", "property_type"])
+    med = ", ".join(f"median({c}) as {c}" for c in IMPUTED)
+    imp_cols = ", ".join(
+        ["enc.id", "enc.property_type"]
+        + [f"coalesce(enc.{c}, med.{c}) as {c}" for c in IMPUTED]
+        + [f"enc.{c} as {c}" for c in ["price", "is_professional_host"]]
+        + [f"cast(enc.{c} as double) as {c}" for c in flag_names]
+    )
+    dist = landmark_names()
+    den = "case when accommodates = 0 then 1 else accommodates end"
+    derived = ", ".join([
+        f"bedrooms / {den} as bedroom_density",
+        f"beds / {den} as beds_per_person",
+        f"bathrooms / {den} as bathrooms_per_person",
+        "bedrooms + bathrooms as total_rooms",
+        f"{row_mean(dist)} as avg_dist_to_landmark",
+        f"{row_std(REVIEW_COLUMNS, 1)} as review_score_std",
+        f"least({', '.join(dist)}) as min_dist_to_landmark",
+        f"cast({' + '.join(amenity_names())} as double) as total_amenities",
+    ])
+    return f"""{kept_cte()},
+top as (select property_type as v from kept where property_type is not null group by property_type
+        order by count(*) desc, property_type limit 15),
+enc as (select id, {enc_cols} from kept),
+med as (select {med} from enc),
+imp as (select {imp_cols} from enc, med),
+feat as (select *, {derived} from imp)"""
+
+
+def property_long(src: str = "imp") -> str:
+    """Top-15 property flags plus property_other as (id, feature, value) rows."""
+    return f"""select s.id, 'property_' || lower(replace(top.v, ' ', '_')) as feature,
+  cast(coalesce(s.property_type = top.v, false)::int as double) as value from {src} s join top on true
+union all
+select id, 'property_other', cast(case when property_type in (select v from top) then 0 else 1 end as double)
+from {src}"""
