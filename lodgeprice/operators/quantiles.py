@@ -50,10 +50,13 @@ def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
     return stacked.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def kth_smallest(df: DataFrame, wanted: dict[str, list[int]], bins: int = BINS) -> dict[tuple[str, int], float]:
+def kth_smallest(df: DataFrame, wanted: dict, bins: int = BINS, counts: dict | None = None) -> dict[tuple[str, int], float]:
     """Exact k-th smallest value (0-based) per column for the given ranks.
 
-    ``wanted`` maps column -> ranks. Ranks outside ``[0, n)`` give no entry.
+    ``wanted`` maps column -> ranks, or column -> function of the column's
+    non-null count returning ranks (so the count comes from the same first
+    pass). Ranks outside ``[0, n)`` give no entry. ``counts`` (if given) is
+    filled with the non-null count per column.
     """
     cols = [c for c in wanted if wanted[c]]
     if not cols:
@@ -68,7 +71,10 @@ def kth_smallest(df: DataFrame, wanted: dict[str, list[int]], bins: int = BINS)
         b = bounds.get(c)
         if b is None:
             continue
-        for k in sorted(set(wanted[c])):
+        if counts is not None:
+            counts[c] = int(b["n"])
+        ranks = wanted[c](int(b["n"])) if callable(wanted[c]) else wanted[c]
+        for k in sorted(set(ranks)):
             if 0 <= k < b["n"]:
                 brackets.append(_Bracket(len(brackets), c, k, b["lo"], b["hi"], 0))
     for br in brackets:
@@ -114,19 +120,13 @@ def kth_smallest(df: DataFrame, wanted: dict[str, list[int]], bins: int = BINS)
     return out
 
 
-def column_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    row = df.agg(*[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in cols]).first()
-    return {c: int(row[c]) for c in cols}
-
-
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Exact median per column (midpoint of the two middle values for even n); all null -> None."""
-    counts = column_counts(df, cols)
-    wanted = {c: sorted({(n - 1) // 2, n // 2}) for c, n in counts.items() if n > 0}
-    kth = kth_smallest(df, wanted)
+    counts: dict[str, int] = {}
+    kth = kth_smallest(df, {c: (lambda n: [(n - 1) // 2, n // 2]) for c in cols}, counts=counts)
     out: dict[str, float | None] = {}
     for c in cols:
-        n = counts[c]
+        n = counts.get(c, 0)
         if n == 0:
             out[c] = None
             continue
@@ -135,16 +135,21 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     return out
 
 
+def _positions(n: int, probs: list[float]) -> list[int]:
+    ranks = []
+    for p in probs:
+        h = (n - 1) * p
+        ranks += [int(math.floor(h)), int(math.ceil(h))]
+    return ranks
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
     """Linear-interpolated quantiles (position ``(n-1)·p``), as numpy/pandas default and DuckDB quantile_cont."""
-    n = column_counts(df, [col])[col]
+    counts: dict[str, int] = {}
+    kth = kth_smallest(df, {col: lambda n: _positions(n, probs)}, counts=counts)
+    n = counts.get(col, 0)
     if n == 0:
         return [None for _ in probs]
-    ranks = set()
-    for p in probs:
-        h = (n - 1) * p
-        ranks.update({int(math.floor(h)), int(math.ceil(h))})
-    kth = kth_smallest(df, {col: sorted(ranks)})
     out = []
     for p in probs:
         h = (n - 1) * p

@@ -83,6 +83,21 @@ def focus_marker(spark, lat: float | None, lng: float | None, price: float | Non
                                         "bedrooms string, beds string, bathrooms string, accommodates string")
 
 
+def focus_markers(requests: DataFrame, price_col: str | None = None) -> DataFrame:
+    """U7 for a table of requests: one 'blue' row per request with both coordinates.
+
+    Display rule of the marker: a missing or zero value shows as 'N/A'.
+    """
+    def shown(c: str):
+        v = F.col(c)
+        return F.when(v.isNull() | (v == 0), F.lit("N/A")).otherwise(v.cast("string")).alias(c)
+
+    price = F.col(price_col).cast("double") if price_col else F.lit(None).cast("double")
+    return requests.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+        "req_id", "latitude", "longitude", price.alias("price_clean"), F.lit("blue").alias("tier"),
+        shown("bedrooms"), shown("beds"), shown("bathrooms"), shown("accommodates"))
+
+
 def with_focus(comps_df: DataFrame, marker: DataFrame | None) -> DataFrame:
     """Comps rows plus the marker row (missing columns null)."""
     if marker is None:
@@ -124,25 +139,41 @@ def comps_filters(requests: DataFrame, same_district: bool = False, same_bedroom
 def comps_batch(raw: DataFrame, filters: DataFrame, active: list[str]) -> DataFrame:
     """U8 batch: for every filter row, the matching training listings and their tier.
 
-    Requests with the same filter values share one comps set, so terciles are
-    computed once per distinct value combination of the active columns
-    (``groupBy`` + exact ``percentile``: a group's buffer holds its distinct
-    prices, which are cents in [0, 3000] after the training price rule, so it
-    is bounded however many rows the group has). Listings are tiered within
-    their group and matched to requests by an equi-join on the active columns.
+    A null filter value means "not applied" for that request, so requests are
+    split by which active columns they fill (at most 2^4 patterns) and each
+    pattern is an equi-join on its filled columns. Requests sharing filter
+    values share one comps set, so terciles are computed once per distinct
+    value combination (``groupBy`` + exact ``percentile``: a group's buffer
+    holds its distinct prices, which are cents in [0, 3000] after the
+    training price rule, so it stays bounded however many rows the group has).
+
+    Requests that fill none of the active columns would all get the same,
+    unfiltered comps; those come from :func:`comps` once and are not repeated
+    here per request.
     """
     base = training_listings(raw).select("id", "neighbourhood_group_cleansed", "bedrooms", "beds", "accommodates",
-                                         "latitude", "longitude", money("price").alias("price_clean"))
-    if not active:
+                                         "latitude", "longitude", money("price").alias("price_clean")).cache()
+    out = None
+    n = len(active)
+    for mask in range(1, 2 ** n):
+        cols = [c for i, c in enumerate(active) if mask >> i & 1]
+        cond = None
+        for c in active:
+            term = F.col(c).isNotNull() if c in cols else F.col(c).isNull()
+            cond = term if cond is None else cond & term
+        f = filters.where(cond).select("req_id", *cols)
+        groups = base.groupBy(*cols).agg(
+            F.percentile("price_clean", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
+        tiered = base.join(groups, cols).select(
+            *cols, "id", "latitude", "longitude", "price_clean",
+            price_tier("price_clean", F.col("q")[0], F.col("q")[1]).alias("tier"))
+        part = f.join(tiered, cols).where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+            "req_id", "id", "price_clean", "tier")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
         raise ValueError("no active filter: every request gets the same comps; use comps() once instead")
-    groups = base.groupBy(*active).agg(F.percentile("price_clean", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    tiered = base.join(groups, active).select(
-        *active, "id", "latitude", "longitude", "price_clean",
-        price_tier("price_clean", F.col("q")[0], F.col("q")[1]).alias("tier"))
-    matched = filters.join(tiered, active)
-    return matched.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
-        "req_id", "id", "price_clean", "tier")
+    return out
 
 
-__all__ = ["SIMILAR_K", "FILTER_COLUMNS", "comps", "comps_batch", "comps_filters", "focus_marker", "training_listings",
+__all__ = ["SIMILAR_K", "FILTER_COLUMNS", "comps", "comps_batch", "comps_filters", "focus_marker", "focus_markers", "training_listings",
            "with_focus"]

@@ -787,3 +787,223 @@ order by case when model = 'catboost_tuned' then 0 when model = 'catboost' then
 def s06_choose_model(spark, sf):
     from .sources import io
     return rnd(io.choose_model(baseline_metrics(spark, sf), rule="serving"))
+
+
+# ---------------------------------------------------------------------------
+# 2.3 joins: semi-joins, nearest listing, similarity, landmarks, name mapping
+# ---------------------------------------------------------------------------
+
+@query("j01_train_semijoin", f"""
+with {S.kept_cte()}
+select id, price from listings where id in (select id from kept where not ({SP.split_sql()}))
+""")
+def j01_train_semijoin(spark, sf):
+    from .plans.preprocess import clean
+    l = listings(spark, sf)
+    return C.training_listings(l, features=clean(l)).select("id", "price")
+
+
+_NEAREST_SQL = f"""
+pts as (select distinct latitude as plat, longitude as plon from listings where latitude is not null and longitude is not null),
+nd as (select req_id, min({S.haversine('latitude', 'longitude', 'plat', 'plon')}) as d from requests, pts
+       where latitude is not null and longitude is not null group by req_id)
+"""
+
+
+@query("j02_nearest_listing", f"with {_NEAREST_SQL} select req_id, round(d, 6) as min_distance_km from nd")
+def j02_nearest_listing(spark, sf):
+    from .operators.geo_join import nearest_listing_km
+    return rnd(nearest_listing_km(requests(spark, sf), listings(spark, sf)))
+
+
+@query("p13_location_validation", f"""
+with {_NEAREST_SQL}
+select req_id, round(d, 6) as min_distance_km, d <= 15.0 as ok, 15.0::double as limit_km from nd
+""")
+def p13_location_validation(spark, sf):
+    from .operators.geo_join import validate_location
+    return rnd(validate_location(requests(spark, sf), listings(spark, sf)))
+
+
+_KNN_COLS = KNN_FEATURES
+
+
+def _knn_sql() -> str:
+    b = (f"select id, latitude, longitude, cast(accommodates as double) as accommodates, bedrooms, beds, "
+         f"{S.first_number('bathrooms_text')} as bathrooms_numeric, {S.money('price')} as price_clean from listings")
+    notnull = " and ".join(f"{c} is not null" for c in _KNN_COLS)
+    stats = ", ".join(f"avg({c}) as m_{c}, case when stddev_pop({c}) = 0 then 1 else stddev_pop({c}) end as s_{c}, "
+                      f"median({c}) as md_{c}" for c in _KNN_COLS)
+    focus = {"latitude": "latitude", "longitude": "longitude", "accommodates": "cast(accommodates as double)",
+             "bedrooms": "bedrooms", "beds": "beds", "bathrooms_numeric": "bathrooms", "price_clean": "null"}
+    zf = ", ".join(f"(coalesce({focus[c]}, md_{c}) - m_{c}) / s_{c} as {c}" for c in _KNN_COLS)
+    zb = ", ".join(f"({c} - m_{c}) / s_{c} as {c}" for c in _KNN_COLS)
+    dist = " + ".join(f"pow(zb.{c} - zf.{c}, 2)" for c in _KNN_COLS)
+    return f"""with b as (select * from ({b}) where {notnull}),
+st as (select {stats} from b),
+zb as (select id, {zb} from b, st),
+zf as (select req_id, {zf} from requests, st),
+d as (select zf.req_id, zb.id, sqrt({dist}) as dist from zf, zb),
+r as (select req_id, id, row_number() over (partition by req_id order by dist, id) as rn from d)
+select req_id, id from r where rn <= 100"""
+
+
+@query("j04_similar_ids", _knn_sql())
+def j04_similar_ids(spark, sf):
+    from .operators.knn import similar_ids
+    focus = requests(spark, sf).select(
+        "req_id", "latitude", "longitude", "accommodates", "bedrooms", "beds",
+        F.col("bathrooms").alias("bathrooms_numeric"))
+    return similar_ids(listings(spark, sf), focus, focus_id="req_id").select("req_id", "id")
+
+
+@query("j05_landmark_distances", "select id, landmark, round(dist, 6) as dist from (unpivot (select id, "
+       + ", ".join(S.landmark_distance_cols()) + " from listings) on columns(* exclude (id)) into name landmark value dist)")
+def j05_landmark_distances(spark, sf):
+    l = listings(spark, sf).select("id", *G.landmark_distances())
+    names = G.landmark_names()
+    return l.select("id", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("landmark"), F.round(F.col(n), 6).alias("dist")) for n in names])).alias("kv")
+    ).select("id", "kv.landmark", "kv.dist").where(F.col("dist").isNotNull())
+
+
+@query("j06_district_mapping", "select req_id, case neighbourhood " + " ".join(
+    f"when '{k}' then '{v}'" for k, v in __import__("lodgeprice.constants", fromlist=["x"]).NEIGHBOURHOOD_TO_RAW.items())
+    + " else neighbourhood end as raw_district from requests")
+def j06_district_mapping(spark, sf):
+    return requests(spark, sf).select("req_id", P.raw_district("neighbourhood").alias("raw_district"))
+
+
+@query("j07_district_resolver", "select id, case " + " ".join(
+    f"when contains(coalesce(nullif(neighbourhood_group_cleansed, ''), ''), '{k}') then '{v}'"
+    for k, v in __import__("lodgeprice.constants", fromlist=["x"]).SUBURB_TO_NEIGHBOURHOOD)
+    + " else '' end as neighbourhood from listings")
+def j07_district_resolver(spark, sf):
+    from .operators.geo_join import resolve_district
+    return listings(spark, sf).select("id", resolve_district("neighbourhood_group_cleansed").alias("neighbourhood"))
+
+
+# ---------------------------------------------------------------------------
+# M1 scaler, U3 request features, U7 marker, U8 batch comps, S3/S5 stats table
+# ---------------------------------------------------------------------------
+
+@query("m01_zscore", _knn_sql().split("zf as")[0].rstrip().rstrip(",")
+       + "\nselect id, " + ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in KNN_FEATURES) + " from zb")
+def m01_zscore(spark, sf):
+    from .operators.knn import knn_table, zscore, zscore_stats
+    b = knn_table(listings(spark, sf))
+    return rnd(zscore(b, zscore_stats(b, KNN_FEATURES), ["id"]))
+
+
+def _request_feature_sql() -> str:
+    from .constants import AMENITIES
+    from .functions.text import column_name
+    avg = ("select coalesce(avg(host_experience), 365.0) as a_host, "
+           "(select coalesce(avg(host_total_listings_count), 1.0) from listings) as a_nl, "
+           + ", ".join(f"coalesce(avg({c}), 4.7) as a_{c}" for c in REVIEW_COLUMNS)
+           + ", coalesce(avg(number_of_reviews), 50.0) as a_nr, coalesce(avg(bedrooms), 1.0) as a_bed, "
+           "coalesce(avg(beds), 1.0) as a_beds, coalesce(avg(bathrooms), 1.0) as a_bath from feat")
+    slug = ("replace(replace(replace(replace(regexp_replace(lower(neighbourhood), '[ \\-]', '_', 'g'), 'ö', 'oe'), "
+            "'ä', 'ae'), 'ü', 'ue'), '.', '')")
+    districts = ", ".join(
+        f"cast(coalesce({slug} = '{column_name('is_', d, 'district')[3:]}', false)::int as double) as "
+        f"{column_name('is_', d, 'district')}" for d in S.FIXTURE_DISTRICTS)
+    rooms = ", ".join(f"cast(coalesce(room_type = '{v}', false)::int as double) as {column_name('is_', v, 'room')}"
+                      for v in S.FIXTURE_ROOMS)
+    amen = ", ".join(f"cast(list_contains(from_json(amenities_json, '[\"VARCHAR\"]'), '{a}')::int as double) as "
+                     f"{column_name('has_', a, 'amenity')}" for a in AMENITIES)
+    reviews = ", ".join(f"coalesce({c}, a_{c}) as {c}" for c in REVIEW_COLUMNS)
+    dists = ", ".join(S.landmark_distance_cols())
+    from .functions.geo import landmark_names
+    dn = landmark_names()
+    an = [column_name("has_", a, "amenity") for a in AMENITIES]
+    return f"""with {S.feature_ctes()},
+av as ({avg}),
+rq as (select req_id, cast(accommodates as double) as accommodates, coalesce(bedrooms, a_bed) as bedrooms,
+  coalesce(beds, a_beds) as beds, coalesce(bathrooms, a_bath) as bathrooms,
+  coalesce(number_of_reviews, a_nr) as number_of_reviews, coalesce(host_experience_days, a_host) as host_experience,
+  cast(coalesce(coalesce(num_listings, a_nl) > 2, false)::int as double) as is_professional_host,
+  {reviews}, {rooms}, {districts}, {dists}, {amen}, property_type from requests, av),
+rf as (select *, bedrooms / greatest(accommodates, 1) as bedroom_density, beds / greatest(accommodates, 1) as beds_per_person,
+  bathrooms / greatest(accommodates, 1) as bathrooms_per_person, bedrooms + bathrooms as total_rooms,
+  ({' + '.join(dn)}) / 6 as avg_dist_to_landmark,
+  list_aggregate([{', '.join(REVIEW_COLUMNS)}], 'stddev_pop') as review_score_std,
+  least({', '.join(dn)}) as min_dist_to_landmark, {' + '.join(an)} as total_amenities from rq)
+select req_id, feature, round(value, 6) as value from (unpivot (select * exclude (property_type) from rf)
+  on columns(* exclude (req_id)) into name feature value value)
+union all
+select s.req_id, 'property_' || lower(replace(top.v, ' ', '_')), cast(coalesce(s.property_type = top.v, false)::int as double)
+from rq s join top on true
+union all
+select req_id, 'property_other', cast(coalesce(property_type = 'Other', false)::int as double) from rq"""
+
+
+@query("u03_request_features", _request_feature_sql())
+def u03_request_features(spark, sf):
+    from .plans.features import build_request_features, feature_columns
+    feat, spec = featured(spark, sf)
+    avg = A.safe_means(feat, listings(spark, sf)).first().asDict()
+    rf = build_request_features(fx.requests_with_amenities(spark, sf), spec, avg)
+    return _long(rf, feature_columns(spec), "req_id").withColumnRenamed("req_id", "req_id")
+
+
+@query("u07_focus_marker", """
+select req_id, latitude, longitude, cast(null as double) as price_clean, 'blue' as tier,
+  case when bedrooms is null or bedrooms = 0 then 'N/A' else cast(bedrooms as varchar) end as bedrooms,
+  case when beds is null or beds = 0 then 'N/A' else cast(beds as varchar) end as beds,
+  case when bathrooms is null or bathrooms = 0 then 'N/A' else cast(bathrooms as varchar) end as bathrooms,
+  case when accommodates is null or accommodates = 0 then 'N/A' else cast(accommodates as varchar) end as accommodates
+from requests where latitude is not null and longitude is not null
+""")
+def u07_focus_marker(spark, sf):
+    return C.focus_markers(requests(spark, sf))
+
+
+@query("u08_comps_batch", f"""
+with base as (select id, neighbourhood_group_cleansed, bedrooms, latitude, longitude, {S.money('price')} as price_clean
+              from ({_comps_base_sql()})),
+f as (select req_id, case when neighbourhood <> '' then case neighbourhood """ + " ".join(
+    f"when '{k}' then '{v}'" for k, v in __import__("lodgeprice.constants", fromlist=["x"]).NEIGHBOURHOOD_TO_RAW.items())
+    + f""" else neighbourhood end end as neighbourhood_group_cleansed, bedrooms from requests),
+g2 as (select neighbourhood_group_cleansed, bedrooms, quantile_cont(price_clean, 1/3) lo, quantile_cont(price_clean, 2/3) hi
+       from base group by 1, 2),
+g1 as (select neighbourhood_group_cleansed, quantile_cont(price_clean, 1/3) lo, quantile_cont(price_clean, 2/3) hi
+       from base group by 1),
+t2 as (select f.req_id, b.id, b.price_clean, case when b.price_clean <= g2.lo then 'red' when b.price_clean <= g2.hi then 'orange' else 'green' end as tier, b.latitude, b.longitude
+       from f join base b on f.neighbourhood_group_cleansed = b.neighbourhood_group_cleansed and f.bedrooms = b.bedrooms
+       join g2 on g2.neighbourhood_group_cleansed = b.neighbourhood_group_cleansed and g2.bedrooms = b.bedrooms),
+t1 as (select f.req_id, b.id, b.price_clean, case when b.price_clean <= g1.lo then 'red' when b.price_clean <= g1.hi then 'orange' else 'green' end as tier, b.latitude, b.longitude
+       from f join base b on f.neighbourhood_group_cleansed = b.neighbourhood_group_cleansed
+       join g1 on g1.neighbourhood_group_cleansed = b.neighbourhood_group_cleansed where f.bedrooms is null)
+select req_id, id, price_clean, tier from (select * from t2 union all select * from t1)
+where latitude is not null and longitude is not null
+""")
+def u08_comps_batch(spark, sf):
+    filters, active = C.comps_filters(requests(spark, sf), same_district=True, same_bedrooms=True)
+    return C.comps_batch(listings(spark, sf), filters, active)
+
+
+_G1_SQL = ORACLE["g01_safe_means"]
+
+
+@query("s03_json_stats")
+def s03_json_stats(spark, sf):
+    from .sources import io
+    from .session import scratch_path
+    feat, _ = featured(spark, sf)
+    path = scratch_path(spark, "stats-json")
+    io.write_stats(A.safe_means(feat, listings(spark, sf)), path)
+    return rnd(io.read_stats(spark, path))
+
+
+@query("s05_defaults_cascade")
+def s05_defaults_cascade(spark, sf):
+    from .sources import io
+    from .session import scratch_path
+    feat, _ = featured(spark, sf)
+    missing = scratch_path(spark, "no-stats-here")
+    return rnd(io.load_defaults(spark, missing, raw=listings(spark, sf), features=feat))
+
+
+ORACLE["s03_json_stats"] = _G1_SQL
+ORACLE["s05_defaults_cascade"] = _G1_SQL
