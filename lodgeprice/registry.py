@@ -1007,3 +1007,150 @@ def s05_defaults_cascade(spark, sf):
 
 ORACLE["s03_json_stats"] = _G1_SQL
 ORACLE["s05_defaults_cascade"] = _G1_SQL
+
+
+# ---------------------------------------------------------------------------
+# 2.8 learning operators (rows-only checks: model outputs have no SQL oracle)
+# ---------------------------------------------------------------------------
+
+def _model_data(spark, sf):
+    from .plans.features import feature_columns
+    feat, spec = featured(spark, sf)
+    return feat, feature_columns(spec), spec
+
+
+def _bench_one(name: str, profile: str = "fast"):
+    def run(spark, sf):
+        from .plans.models import benchmark
+        feat, cols, _ = _model_data(spark, sf)
+        return rnd(benchmark(feat, cols, [name], profile=profile).drop("fit_seconds"))
+    run.__name__ = f"bench_{name}"
+    return run
+
+
+for _key, _name in [
+    ("m02_linear_regression", "linear_regression"),
+    ("m06_decision_tree", "decision_tree"),
+    ("m07_random_forest", "random_forest"),
+    ("m08_gradient_boosting", "sklearn_gbr"),
+    ("m09_histogram_boosting", "histgb_tuned"),
+    ("m10_xgboost_tuned", "xgboost_tuned"),
+    ("m10_xgboost_improved", "xgboost_improved"),
+    ("m11_lightgbm_tuned", "lightgbm_tuned"),
+    ("m12_catboost_tuned", "catboost_tuned"),
+    ("m14_log_target", "xgboost_log_enhanced"),
+]:
+    QUERIES[_key] = _bench_one(_name)
+
+
+@query("m03_ridge_grid_search")
+def m03_ridge_grid_search(spark, sf):
+    """M3 + M15: all 5 alphas, 5 stable folds, refit best, test KPIs."""
+    from .plans.models import benchmark
+    feat, cols, _ = _model_data(spark, sf)
+    return rnd(benchmark(feat, cols, ["ridge"], search=True).drop("fit_seconds"))
+
+
+@query("m04_lasso_grid_search")
+def m04_lasso_grid_search(spark, sf):
+    from .plans.models import benchmark
+    feat, cols, _ = _model_data(spark, sf)
+    return rnd(benchmark(feat, cols, ["lasso"], search=True).drop("fit_seconds"))
+
+
+@query("m16_random_search")
+def m16_random_search(spark, sf):
+    """12 seeded draws of the tree grid (all of it here), 5 folds, refit best, test KPIs."""
+    from .plans.models import benchmark
+    feat, cols, _ = _model_data(spark, sf)
+    return rnd(benchmark(feat, cols, ["decision_tree"], search=True).drop("fit_seconds"))
+
+
+@query("m05_knn_regressor")
+def m05_knn_regressor(spark, sf):
+    """M5: z-scored features, k = 5 nearest training rows, uniform weights; test KPIs."""
+    from .operators.knn import knn_regress
+    feat, cols, _ = _model_data(spark, sf)
+    train, test = SP.train_part(feat), SP.test_part(feat)
+    pred = knn_regress(train, test, cols, k=5, weights="uniform")
+    scored = pred.join(test.select("id", "price"), "id")
+    return rnd(A.regression_kpis(scored).withColumn("model", F.lit("knn")))
+
+
+@query("m17_stacking")
+def m17_stacking(spark, sf):
+    """4 re-aimed boosters as bases (out-of-fold, 5 folds), passthrough inputs, ridge meta (alpha by CV)."""
+    from .plans.models import stack
+    feat, cols, _ = _model_data(spark, sf)
+    feat = feat.cache()
+    train, test = SP.train_part(feat), SP.test_part(feat)
+    score = stack(train, cols, ["xgboost_improved", "catboost_tuned", "lightgbm_tuned", "xgboost_log_enhanced"],
+                  profile="smoke")
+    scored = score(test, ["id", "price"])
+    return rnd(A.regression_kpis(scored).withColumn("model", F.lit("stacking_ensemble")))
+
+
+@query("m18_benchmark_leaderboard")
+def m18_benchmark_leaderboard(spark, sf):
+    """M18 + O2 + G11: candidates fitted on train, KPIs on test, sorted, gap to the best."""
+    from .plans.models import benchmark
+    feat, cols, _ = _model_data(spark, sf)
+    board = benchmark(feat.cache(), cols, ["linear_regression", "ridge", "lasso", "decision_tree", "histgb_tuned"])
+    best = board.agg(F.min("rmse")).first()[0]
+    return rnd(board.drop("fit_seconds").withColumn("pct_over_best", (F.col("rmse") / F.lit(best) - 1) * 100))
+
+
+def _served_model(spark, sf):
+    from .plans.models import fit
+    feat, cols, spec = _model_data(spark, sf)
+    model = fit("linear_regression", SP.train_part(feat), cols)
+    return model, feat, cols, spec
+
+
+@query("s04_model_persist")
+def s04_model_persist(spark, sf):
+    """Save the fitted pipeline, load it back, score the test part."""
+    from .plans.models import predict
+    from .session import scratch_path
+    from .sources import io
+    model, feat, cols, _ = _served_model(spark, sf)
+    path = io.save_model(model, scratch_path(spark, "model"))
+    loaded = io.load_model(path)
+    return rnd(A.regression_kpis(predict(loaded, SP.test_part(feat), ["id", "price"])))
+
+
+@query("u04_score_requests")
+def u04_score_requests(spark, sf):
+    """U4: location check, limits, request features, model, floor, cents."""
+    from .plans.scoring import score
+    model, feat, cols, spec = _served_model(spark, sf)
+    avg = A.safe_means(feat, listings(spark, sf)).first().asDict()
+    return rnd(score(fx.requests_with_amenities(spark, sf), listings(spark, sf), model, spec, avg))
+
+
+@query("u05_score_stream")
+def u05_score_stream(spark, sf):
+    """Request files arrive in a folder; a Structured Streaming query scores them (availableNow)."""
+    from .plans.scoring import score
+    from .session import scratch_path
+    from .streaming.score_stream import score_stream
+    model, feat, cols, spec = _served_model(spark, sf)
+    avg = A.safe_means(feat, listings(spark, sf)).first().asDict()
+    lst = listings(spark, sf)
+    reqs = fx.requests_with_amenities(spark, sf)
+    in_dir, out_dir, ck = (scratch_path(spark, x) for x in ("req-in", "req-out", "req-ckpt"))
+    reqs.repartition(4).write.parquet(in_dir)
+    schema = spark.read.parquet(in_dir).schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    score_stream(spark, in_dir, out_dir, ck, schema, lambda b: score(b, lst, model, spec, avg))
+    return rnd(spark.read.parquet(out_dir).drop("batch_id"))
+
+
+@query("t03_synthetic_rows")
+def t03_synthetic_rows(spark, sf):
+    """T3 + the original random-prediction test: 1000 rows from the feature profile, scored, floored."""
+    from .plans.models import predict
+    model, feat, cols, _ = _served_model(spark, sf)
+    prof = [r.asDict() for r in A.column_profile(feat, cols).collect()]
+    rows = SP.sample_rows(prof, 1000, seed=42, spark=spark)
+    scored = predict(model, rows, ["row_id"])
+    return rnd(scored.select("row_id", SC.price_floor("prediction").alias("prediction")))
