@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,9 +122,13 @@ def fit(raw: DataFrame, fit_rows: DataFrame | None = None) -> FeatureSpec:
     Default (as the original): on all kept rows before any split. Pass
     ``fit_rows`` (e.g. the training part of the raw table) to fit without leakage.
     """
-    cleaned = clean(fit_rows if fit_rows is not None else raw)
-    spec = fit_domains(cleaned)
-    spec.medians = exact_medians(encode(cleaned, spec), imputed_columns(spec))
+    # several passes (domains, top-15, median rounds) read the cleaned rows: keep them once
+    cleaned = clean(fit_rows if fit_rows is not None else raw).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        spec = fit_domains(cleaned)
+        spec.medians = exact_medians(encode(cleaned, spec), imputed_columns(spec))
+    finally:
+        cleaned.unpersist()
     return spec
 
 

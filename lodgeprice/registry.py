@@ -942,7 +942,7 @@ select req_id, 'property_other', cast(coalesce(property_type = 'Other', false)::
 def u03_request_features(spark, sf):
     from .plans.features import build_request_features, feature_columns
     feat, spec = featured(spark, sf)
-    avg = A.safe_means(feat, listings(spark, sf)).first().asDict()
+    avg = A.safe_means(feat, listings(spark, sf)).first().asDict()  # one pass; the table is not reused
     rf = build_request_features(fx.requests_with_amenities(spark, sf), spec, avg)
     return _long(rf, feature_columns(spec), "req_id").withColumnRenamed("req_id", "req_id")
 
@@ -1014,9 +1014,12 @@ ORACLE["s05_defaults_cascade"] = _G1_SQL
 # ---------------------------------------------------------------------------
 
 def _model_data(spark, sf):
+    """Feature table (kept for the fit, scoring and statistics passes), names, spec."""
+    from pyspark import StorageLevel
+
     from .plans.features import feature_columns
     feat, spec = featured(spark, sf)
-    return feat, feature_columns(spec), spec
+    return feat.persist(StorageLevel.MEMORY_AND_DISK), feature_columns(spec), spec
 
 
 def _bench_one(name: str, profile: str = "fast"):
