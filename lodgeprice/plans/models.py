@@ -41,6 +41,9 @@ from ..operators.aggregates import regression_kpis
 from ..operators.split import fold_of, is_test
 
 SEED = SPLIT_SEED
+# per-task split-statistics buffer of the tree learners: every concurrent task allocates up to this much,
+# so keep it small (more passes over the data instead of a large heap per task)
+TREE_MEM_MB = 32
 
 
 @dataclass
@@ -68,12 +71,13 @@ def _lasso(profile, n, ystd, alpha=1.0):
 
 
 def _tree(profile, n, ystd):
-    return DecisionTreeRegressor(maxDepth=10, minInstancesPerNode=2, maxBins=256, seed=SEED)
+    return DecisionTreeRegressor(maxDepth=10, minInstancesPerNode=2, maxBins=256, seed=SEED, maxMemoryInMB=TREE_MEM_MB)
 
 
 def _forest(profile, n, ystd):
     return RandomForestRegressor(numTrees=_rounds(profile, 200, 40), maxDepth=15 if profile == "reference"
-                                 else 10, minInstancesPerNode=1, featureSubsetStrategy="all", maxBins=128, seed=SEED)
+                                 else 10, minInstancesPerNode=1, featureSubsetStrategy="all", maxBins=128, seed=SEED,
+                                 maxMemoryInMB=TREE_MEM_MB)
 
 
 ROUNDS_SMOKE = 10
@@ -87,14 +91,15 @@ def _gbt(rounds_ref, rounds_fast, step, depth, subsample=1.0, features="all", mi
     def make(profile, n, ystd):
         return GBTRegressor(maxIter=_rounds(profile, rounds_ref, rounds_fast), stepSize=step,
                             maxDepth=depth, subsamplingRate=subsample, featureSubsetStrategy=features,
-                            minInstancesPerNode=min_inst, maxBins=128, seed=SEED)
+                            minInstancesPerNode=min_inst, maxBins=128, seed=SEED, maxMemoryInMB=TREE_MEM_MB)
     return make
 
 
 def _histgb(profile, n, ystd):
     # early stopping on a 10 % validation part (tolerance based in Spark, not patience based)
     return GBTRegressor(maxIter=_rounds(profile, 400, 60), stepSize=0.1, maxDepth=8, minInstancesPerNode=10,
-                        maxBins=256, validationIndicatorCol="is_validation", validationTol=0.001, seed=SEED)
+                        maxBins=256, validationIndicatorCol="is_validation", validationTol=0.001, seed=SEED,
+                        maxMemoryInMB=TREE_MEM_MB)
 
 
 CANDIDATES: dict[str, Candidate] = {c.name: c for c in [
@@ -165,6 +170,13 @@ def grid_points(grid: dict, n_iter: int | None = None, seed: int = SEED) -> list
     return random.Random(seed).sample(combos, n_iter)
 
 
+def _heap_mb(spark) -> float:
+    try:
+        return spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2 ** 20
+    except Exception:  # noqa: BLE001 - e.g. a remote session: assume a small driver
+        return 1024.0
+
+
 def cv_search(name: str, train: DataFrame, features: list[str], label: str = "price", profile: str = "fast",
               n_iter: int | None = SEARCH_ITER, folds: int = CV_FOLDS, parallelism: int = 4,
               grid: dict | None = None) -> tuple[PipelineModel, dict, float]:
@@ -192,6 +204,8 @@ def cv_search(name: str, train: DataFrame, features: list[str], label: str = "pr
         maps = []
         for p in points:
             maps.append({getattr(base, k): v for k, v in p.items()})
+    if _heap_mb(train.sparkSession) < 4096:
+        parallelism = 1  # concurrent fits each hold per-task tree buffers; a small driver heap runs them in turn
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse"),
                         foldCol="fold", numFolds=folds, parallelism=parallelism, seed=SEED)
