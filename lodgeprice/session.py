@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -38,10 +37,11 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "lodg
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and written intermediates.
+    """URI of the shared folder for checkpoints and written intermediates.
 
-    Uses ``spark.checkpoint.dir`` as the cluster names it; only when it is
-    unset (local tests) a fresh folder under the system temp dir is created.
+    Uses the folder that the session already names (``spark.checkpoint.dir``).
+    Only a local master, whose executors share the driver's disk, gets a fresh
+    folder of its own; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,14 +49,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="lodgeprice-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique URI inside the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
