@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, urls
+from . import decontam, minhash, mixing, quality, sharding, urls
 from .common import read
 
 
@@ -16,11 +16,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents", "doc_id", "text"),
+                          read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_report(read(spark, sf_dir, "documents", "doc_id", "text"),
                                 read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -28,7 +37,9 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_url_filter": op4_url_filter,
+    "op5_decontaminate": op5_decontaminate,
     "op6_quality_rules": op6_quality_rules,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_ring_shards": op10_ring_shards,
 }
 
