@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, pqindex, quality, sharding, substrings, urls
+from . import decontam, htmltext, minhash, mixing, pii, pqindex, quality, sharding, substrings, urls
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pqindex.near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -30,6 +34,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op8_duplicate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -44,10 +52,12 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_personal_data": op2_personal_data,
     "op3_near_vectors": op3_near_vectors,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality_rules": op6_quality_rules,
+    "op7_main_text": op7_main_text,
     "op8_duplicate_spans": op8_duplicate_spans,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_ring_shards": op10_ring_shards,
