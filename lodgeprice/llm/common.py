@@ -43,3 +43,14 @@ def word_count(text):
 def lower_ascii(text):
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def hidden(df: DataFrame, tag: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with every column renamed to ``tag`` and its number, so that none clashes; and the new names."""
+    names = {c: f"{tag}{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[df[c].alias(n) for c, n in names.items()]), names
+
+
+def shown(names: dict[str, str]) -> list:
+    """The columns of ``hidden`` under their own names again."""
+    return [F.col(n).alias(c) for c, n in names.items()]

@@ -191,7 +191,8 @@ def second_pass(labels: list[str], articles: list[int]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    # what an article marks as boilerplate is no neighbour of its text
+    found = [b for b in blocks(page or "") if not (b[2] and b[3])]
     keep = second_pass([first_pass(*b) for b in found], [b[3] for b in found])
     return "\n".join(b[0] for b, k in zip(found, keep) if k)
 

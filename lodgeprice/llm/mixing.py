@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import hidden, shown, word_count, written
 
 SEED = "mix-1"
 #: Hexadecimal digits of the draw: 13 digits are 52 bits, exact in a double.
@@ -78,9 +78,9 @@ def mix_report(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, ceiling:
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, ceiling: int = 2) -> DataFrame:
     """The mixed documents themselves: each row of ``docs`` as often as the mix takes it."""
-    cols = docs.columns
     sizes = docs.select(F.col("source").alias("mix_source"), word_count(docs["text"]).alias("size"))
     per = written(source_targets(sizes, weights, share, ceiling), "mix-targets")
-    out = rated(docs.withColumn("mix_source", F.col("source")), per)
-    n = copies(F.col("doc_id"), F.col("mix_rate"))
-    return out.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*cols)
+    rows, names = hidden(docs, "mix_col")
+    out = rated(rows.withColumn("mix_source", F.col(names["source"])), per)
+    n = copies(F.col(names["doc_id"]), F.col("mix_rate"))
+    return out.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*shown(names))

@@ -21,13 +21,15 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import wordhash
-from .common import small_batches, written
+from .common import hidden, shown, small_batches, written
 
 STATS = ["st_words", "st_mean_word", "st_upper", "st_digit", "st_symbol", "st_bar", "st_stop", "st_distinct",
          "st_repeat3", "st_lines", "st_line_repeat", "st_long_word"]
 TREES, DEPTH, LASSO, SEED = 20, 3, 0.003, 7
+TRAIN_PARTS = 16
 #: Of every three ids one is held out: crc32 of the id as text, modulo 3.
 FOLDS, HELD = 3, 1
 
@@ -86,23 +88,19 @@ def text_stats(texts: pa.Array) -> np.ndarray:
         np.log1p(np.diff(cut)), line_repeat, by_word(size >= 20) / some])
 
 
-def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns and ``STATS`` of ``docs`` (which has ``text``); the text itself is dropped."""
-    small_batches(docs.sparkSession)
-    slim = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col("text").alias("text"))
+def with_stats(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` plus ``STATS`` of its column ``text``; no other column may be named like a statistic."""
+    small_batches(rows.sparkSession)
+    at = rows.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            for part in wordhash.parts(batch, "text"):
-                s = text_stats(part.column(len(keep)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(len(keep))] + [pa.array(s[:, j]) for j in range(s.shape[1])],
-                    names=[f"k{i}" for i in range(len(keep))] + STATS)
+            for part in wordhash.parts(batch, batch.schema.names[at]):
+                s = text_stats(part.column(at))
+                yield pa.RecordBatch.from_arrays(part.columns + [pa.array(s[:, j]) for j in range(s.shape[1])],
+                                                 names=part.schema.names + STATS)
 
-    kinds = ", ".join([f"k{i} {slim.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
-                      + [f"{s} double" for s in STATS])
-    out = slim.mapInArrow(run, kinds)
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *STATS)
+    return rows.mapInArrow(run, StructType(rows.schema.fields + [StructField(s, DoubleType()) for s in STATS]))
 
 
 def tree_rules(debug: str) -> list[tuple[tuple[int, bool, float], ...]]:
@@ -161,12 +159,14 @@ def train_on(stats: DataFrame, labels: DataFrame):
     known = labels.where(F.col("quality").isin(0, 1)).select(
         F.col("doc_id").alias("lab_id"), F.col("quality").cast("double").alias("label"))
     rows = stats.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("lab_id"))
-    return fit(written(rows.select(*STATS, "label"), "quality-train"))
+    # a layout of its own, so that the forest's samples don't depend on how the input was split
+    rows = rows.select("doc_id", *STATS, "label").repartition(TRAIN_PARTS, "doc_id").sortWithinPartitions("doc_id", *STATS, "label")
+    return fit(written(rows, "quality-train"))
 
 
 def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: ``doc_id, held_out, score, predicted``."""
-    stats = written(with_stats(docs, "doc_id"), "quality-stats")
+    stats = written(with_stats(docs.select("doc_id", "text"), "text").drop("text"), "quality-stats")
     score = score_column(train_on(stats, labels))
     out = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
@@ -174,7 +174,6 @@ def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is 0.5 or more, columns unchanged."""
-    cols = docs.columns
-    scored = with_stats(docs, *cols, "text") if "text" not in cols else with_stats(docs, *cols)
-    model = train_on(with_stats(docs, "doc_id"), labels)
-    return scored.where(score_column(model) >= 0.5).select(*cols)
+    model = train_on(with_stats(docs.select("doc_id", "text"), "text"), labels)
+    rows, names = hidden(docs, "quality_col")
+    return with_stats(rows, names["text"]).where(score_column(model) >= 0.5).select(*shown(names))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import ensure_checkpoint_dir, hidden, shown
 
 #: Cells of the ring and virtual nodes per shard; both bound the driver's work.
 CELLS = 1 << 14
@@ -76,25 +76,25 @@ def settle(counts: np.ndarray, shards: int, nodes: int = NODES) -> list[tuple[in
 
 
 def place(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
-    """``docs`` plus ``shard`` and ``slot`` (gapless from 0 within the shard)."""
+    """``docs`` plus ``shard`` and ``slot`` (gapless from 0 within the shard), in place of columns of those names."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    cols = docs.columns
-    pos = F.xxhash64(F.lit(SEED), F.col(key))
+    rows, names = hidden(docs.drop("shard", "slot"), "ring_col")
+    pos = F.xxhash64(F.lit(SEED), F.col(names[key]))
     cell = F.pmod(pos, F.lit(CELLS)).cast("int")
     counts = np.zeros(CELLS, dtype=np.int64)
-    for r in docs.select(cell.alias("ring_cell")).groupBy("ring_cell").count().collect():  # at most CELLS rows
+    for r in rows.select(cell.alias("ring_cell")).groupBy("ring_cell").count().collect():  # at most CELLS rows
         counts[r["ring_cell"]] = r["count"]
     moves = spark.createDataFrame(
         settle(counts, shards), "move_cell int, move_from long, move_to long, shard int, move_slot long")
-    order = [F.col("ring_pos"), F.col(key)] + [F.col(c) for c in cols if c in ("text_crc32", "size")]
-    ranked = docs.withColumns({"ring_pos": pos, "ring_cell": cell}).withColumn(
+    order = [F.col("ring_pos"), F.col(names[key])] + [F.col(names[c]) for c in ("text_crc32", "size") if c in names]
+    ranked = rows.withColumns({"ring_pos": pos, "ring_cell": cell}).withColumn(
         "ring_rank", (F.row_number().over(Window.partitionBy("ring_cell").orderBy(*order)) - 1).cast("long"))
     # one row per cell and shard that takes keys from it: bounded by the ring, not by the input
     hit = (F.col("ring_cell") == F.col("move_cell")) & (F.col("ring_rank") >= F.col("move_from")) & (
         F.col("ring_rank") < F.col("move_to"))
     return ranked.join(F.broadcast(moves), hit).select(
-        *cols, "shard", (F.col("move_slot") + F.col("ring_rank") - F.col("move_from")).alias("slot"))
+        *shown(names), "shard", (F.col("move_slot") + F.col("ring_rank") - F.col("move_from")).alias("slot"))
 
 
 def shard_report(docs: DataFrame, shards: int = 40) -> DataFrame:
