@@ -136,9 +136,15 @@ DEFAULT_AVERAGES = {
 # FIXED VALUES: features of the similarity search, in this order.
 KNN_FEATURES = ["latitude", "longitude", "accommodates", "bedrooms", "beds", "bathrooms_numeric", "price_clean"]
 
+# FIXED VALUES: raw columns of a comparable listing, in the order they are shown.
+COMPS_COLUMNS = [
+    "id", "latitude", "longitude", "price", "review_scores_rating", "property_type", "room_type", "bedrooms",
+    "neighbourhood_group_cleansed", "beds", "accommodates", "bathrooms_text", "number_of_reviews",
+]
+
 # FIXED VALUES: serving model preference, then lowest RMSE.
-PREFERRED_MODELS = ["catboost_tuned", "catboost"]
-DEFAULT_MODEL_SERVING = "catboost_tuned"
+PREFERRED_MODELS = ["catboost_tuned.joblib", "catboost.joblib"]
+DEFAULT_MODEL_SERVING = "catboost_tuned.joblib"
 DEFAULT_MODEL_REPORTS = "xgboost"
 
 # FIXED VALUES: published test RMSE per model (price units).

@@ -7,26 +7,28 @@ rule runs in SQL engines. ``randomSplit`` would change with partitioning.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CV_FOLDS, SPLIT_SEED, TEST_FRACTION
 
 
-def _threshold(fraction: float) -> str:
-    return format(int(round(fraction * 65536)), "04x")
+def _threshold(fraction: float) -> int:
+    return int(round(fraction * 65536))
 
 
 def is_test(id_col="id", seed: int = SPLIT_SEED, test_fraction: float = TEST_FRACTION) -> Column:
     """True for the test part (about ``test_fraction`` of ids)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     h = F.md5(F.concat(c.cast("string"), F.lit(f"|{seed}")))
-    return F.substring(h, 1, 4) < F.lit(_threshold(test_fraction))
+    return F.conv(F.substring(h, 1, 4), 16, 10).cast("int") < _threshold(test_fraction)
 
 
 def split_sql(id_col: str = "id", seed: int = SPLIT_SEED, test_fraction: float = TEST_FRACTION) -> str:
     """The same rule as SQL text (for the DuckDB oracle)."""
-    return f"substring(md5(concat({id_col}, '|{seed}')), 1, 4) < '{_threshold(test_fraction)}'"
+    return f"cast('0x' || substring(md5(concat({id_col}, '|{seed}')), 1, 4) as int) < {_threshold(test_fraction)}"
 
 
 def with_set(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED) -> DataFrame:
@@ -58,21 +60,29 @@ def fold_sql(id_col: str = "id", k: int = CV_FOLDS, seed: int = SPLIT_SEED) -> s
     return f"cast((('0x' || substring(md5(concat({id_col}, '|fold|{seed}')), 1, 8))::BIGINT) % {k} as int)"
 
 
+def _draw(row: Column, column: int, seed: int, part: int) -> Column:
+    """A number in (0, 1) that depends on row, column and seed alone, however the rows are partitioned."""
+    h = F.md5(F.concat_ws("|", row.cast("string"), F.lit(column), F.lit(seed), F.lit(part)))
+    return (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + 0.5) / float(16 ** 12)
+
+
 def sample_rows(profile_rows: list[dict], n: int, seed: int = 42, spark=None) -> DataFrame:
     """``n`` synthetic rows from a column profile (G8 rows).
 
-    Binary columns: Bernoulli(mean clipped to [0, 1]); others Normal(mean, std),
-    clipped at 0 when the column is non-negative. Each column gets its own seed;
-    rows are generated on the executors from ``range(n)``.
+    Binary columns: Bernoulli(mean clipped to [0, 1]); others Normal(mean, std)
+    by Box-Muller, clipped at 0 when the column is non-negative. Draws are hashes
+    of (row, column, seed); rows are generated on the executors from ``range(n)``.
     """
     cols = []
     for i, p in enumerate(profile_rows):
+        u, v = _draw(F.col("id"), i, seed, 0), _draw(F.col("id"), i, seed, 1)
         if p["binary"]:
             prob = min(max(float(p["mean"]), 0.0), 1.0)
-            cols.append((F.rand(seed + i) < F.lit(prob)).cast("double").alias(p["col"]))
+            cols.append((u < F.lit(prob)).cast("double").alias(p["col"]))
         else:
-            v = F.lit(float(p["mean"])) + F.lit(float(p["std"])) * F.randn(seed + i)
+            z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+            x = F.lit(float(p["mean"])) + F.lit(float(p["std"])) * z
             if p["non_negative"]:
-                v = F.greatest(v, F.lit(0.0))
-            cols.append(v.alias(p["col"]))
+                x = F.greatest(x, F.lit(0.0))
+            cols.append(x.alias(p["col"]))
     return spark.range(n).select(F.col("id").alias("row_id"), *cols)

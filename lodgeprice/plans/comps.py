@@ -11,18 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_TRAIN_PRICE, SIMILAR_K
+from ..constants import COMPS_COLUMNS, MAX_TRAIN_PRICE, SIMILAR_K
 from ..functions.scalar import display_int, display_text, price_tier
 from ..functions.text import money
 from ..operators import filters as P
 from ..operators.aggregates import terciles
 from ..operators.split import is_test
-
-COMPS_COLUMNS = [
-    "id", "latitude", "longitude", "price", "price_clean", "review_scores_rating", "property_type", "room_type",
-    "bedrooms", "neighbourhood_group_cleansed", "beds", "accommodates", "bathrooms_text", "number_of_reviews",
-]
-
+from ..session import scratch_path
 
 def training_listings(raw: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """Raw rows whose id is in the training part of the feature table.
@@ -44,15 +39,14 @@ def comps(raw: DataFrame, neighbourhood: str | None = None, bedrooms: float | No
           rating_min: float | None = None, property_type: str | None = None, room_type: str | None = None,
           similar_ids: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
     """J1 -> P7 -> F1 -> P8 -> P9 -> P10 -> J3 -> G10 -> F20 -> P11 -> F23."""
-    df = training_listings(raw, features).select(*[c for c in COMPS_COLUMNS if c != "price_clean"])
+    df = training_listings(raw, features).select(*COMPS_COLUMNS)
     df = P.equality_filters(df, neighbourhood, bedrooms, beds, accommodates)
     df = df.withColumn("price_clean", money("price"))
     df = P.price_range(df, price_min, price_max)
     df = P.min_rating(df, rating_min)
     df = P.type_filters(df, property_type, room_type)
-    if similar_ids is not None:  # J3: only when a non-empty similar set exists
+    if similar_ids is not None and not similar_ids.isEmpty():  # J3: an empty similar set means no filter
         df = df.join(similar_ids.select("id").distinct(), "id", "left_semi")
-    df = df.cache()  # two uses: terciles, then the tiered rows
     low, high = terciles(df, "price_clean")
     out = P.mappable(df).select(
         "id", "latitude", "longitude", "price", "price_clean",
@@ -107,6 +101,7 @@ def with_focus(comps_df: DataFrame, marker: DataFrame | None) -> DataFrame:
                            F.col("accommodates").cast("string").alias("accommodates")).unionByName(marker)
 
 
+FILTERED = ["neighbourhood_group_cleansed", "bedrooms", "beds", "accommodates"]
 FILTER_COLUMNS = {
     "neighbourhood": ("neighbourhood_group_cleansed", "string"),
     "bedrooms": ("bedrooms", "double"),
@@ -137,43 +132,51 @@ def comps_filters(requests: DataFrame, same_district: bool = False, same_bedroom
 
 
 def comps_batch(raw: DataFrame, filters: DataFrame, active: list[str]) -> DataFrame:
-    """U8 batch: for every filter row, the matching training listings and their tier.
-
-    A null filter value means "not applied" for that request, so requests are
-    split by which active columns they fill (at most 2^4 patterns) and each
-    pattern is an equi-join on its filled columns. Requests sharing filter
-    values share one comps set, so terciles are computed once per distinct
-    value combination (``groupBy`` + exact ``percentile``: a group's buffer
-    holds its distinct prices, which are cents in [0, 3000] after the
-    training price rule, so it stays bounded however many rows the group has).
-
-    Requests that fill none of the active columns would all get the same,
-    unfiltered comps; those come from :func:`comps` once and are not repeated
-    here per request.
+    """U8 batch: for every distinct filter combination, the matching training listings and their tier.
+
+    A null filter value means "not applied". The result is keyed by combination
+    (columns ``f_<listing column>``), once each, however many requests share it;
+    ``filters`` itself says which combination a request uses. Combinations are
+    handled by which columns they fill (at most 2^4 patterns, the empty one
+    included), each an equi-join on those columns. Terciles come from the
+    (value, count) table of each group, so a hot district is combined before it
+    meets in one place.
     """
-    base = training_listings(raw).select("id", "neighbourhood_group_cleansed", "bedrooms", "beds", "accommodates",
-                                         "latitude", "longitude", money("price").alias("price_clean")).cache()
+    base = training_listings(raw).select("id", *FILTERED, "latitude", "longitude", money("price").alias("price_clean"))
+    path = scratch_path(raw.sparkSession, "comps-base")
+    base.write.parquet(path)
+    base = raw.sparkSession.read.schema(base.schema).parquet(path).withColumn("f_all", F.lit(1))
+    combos = filters.select(*active).distinct()
     out = None
-    n = len(active)
-    for mask in range(1, 2 ** n):
+    for mask in range(2 ** len(active)):
         cols = [c for i, c in enumerate(active) if mask >> i & 1]
-        cond = None
+        wanted = combos
         for c in active:
-            term = F.col(c).isNotNull() if c in cols else F.col(c).isNull()
-            cond = term if cond is None else cond & term
-        f = filters.where(cond).select("req_id", *cols)
-        groups = base.groupBy(*cols).agg(
-            F.percentile("price_clean", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-        tiered = base.join(groups, cols).select(
-            *cols, "id", "latitude", "longitude", "price_clean",
-            price_tier("price_clean", F.col("q")[0], F.col("q")[1]).alias("tier"))
-        part = f.join(tiered, cols).where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
-            "req_id", "id", "price_clean", "tier")
+            wanted = wanted.where(F.col(c).isNotNull() if c in cols else F.col(c).isNull())
+        wanted = wanted.select(*cols, F.lit(1).alias("f_all")).distinct()
+        keys = cols or ["f_all"]
+        prices = base.groupBy(*keys, "price_clean").agg(F.count("*").alias("n"))
+        groups = prices.groupBy(*keys).agg(F.percentile("price_clean", F.array(F.lit(1 / 3), F.lit(2 / 3)), F.col("n")).alias("q"))
+        if not cols:
+            groups = F.broadcast(groups)  # one row
+        part = base.join(groups.join(wanted.select(*keys), keys), keys).where(
+            F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+            *[(F.col(c) if c in cols else F.lit(None).cast(base.schema[c].dataType)).alias(f"f_{c}") for c in active],
+            "id", "price_clean", price_tier("price_clean", F.col("q")[0], F.col("q")[1]).alias("tier"))
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no active filter: every request gets the same comps; use comps() once instead")
     return out
 
 
-__all__ = ["SIMILAR_K", "FILTER_COLUMNS", "comps", "comps_batch", "comps_filters", "focus_marker", "focus_markers", "training_listings",
+def comps_per_request(batch: DataFrame, filters: DataFrame, active: list[str]) -> DataFrame:
+    """Every request with its combination and the number of comps found for it (0 included)."""
+    size = batch.groupBy(*[f"f_{c}" for c in active]).agg(F.count("*").alias("n_comps"))
+    same = None
+    for c in active:
+        term = filters[c].eqNullSafe(size[f"f_{c}"])
+        same = term if same is None else same & term
+    return filters.join(size, same, "left").select(
+        "req_id", *[filters[c].alias(f"f_{c}") for c in active], F.coalesce("n_comps", F.lit(0)).alias("n_comps"))
+
+
+__all__ = ["SIMILAR_K", "FILTER_COLUMNS", "comps", "comps_batch", "comps_filters", "comps_per_request", "focus_marker", "focus_markers", "training_listings",
            "with_focus"]

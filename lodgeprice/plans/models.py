@@ -170,13 +170,6 @@ def grid_points(grid: dict, n_iter: int | None = None, seed: int = SEED) -> list
     return random.Random(seed).sample(combos, n_iter)
 
 
-def _heap_mb(spark) -> float:
-    try:
-        return spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2 ** 20
-    except Exception:  # noqa: BLE001 - e.g. a remote session: assume a small driver
-        return 1024.0
-
-
 def cv_search(name: str, train: DataFrame, features: list[str], label: str = "price", profile: str = "fast",
               n_iter: int | None = SEARCH_ITER, folds: int = CV_FOLDS, parallelism: int = 4,
               grid: dict | None = None) -> tuple[PipelineModel, dict, float]:
@@ -204,8 +197,6 @@ def cv_search(name: str, train: DataFrame, features: list[str], label: str = "pr
         maps = []
         for p in points:
             maps.append({getattr(base, k): v for k, v in p.items()})
-    if _heap_mb(train.sparkSession) < 4096:
-        parallelism = 1  # concurrent fits each hold per-task tree buffers; a small driver heap runs them in turn
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse"),
                         foldCol="fold", numFolds=folds, parallelism=parallelism, seed=SEED)

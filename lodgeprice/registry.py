@@ -780,13 +780,25 @@ def o03_argmin_model(spark, sf):
 
 
 @query("s06_choose_model", f"""
-with {_BASELINE_SQL}
-select model, round(rmse, 6) as rmse from metrics
-order by case when model = 'catboost_tuned' then 0 when model = 'catboost' then 1 else 2 end, rmse, model limit 1
+with {_BASELINE_SQL},
+more as (select * from metrics union all select 'catboost.joblib', 1e9 union all select 'other.joblib', 0.5)
+select * from (
+  (select 'none preferred' as case_, model, round(rmse, 6) as rmse from metrics order by rmse, model limit 1)
+  union all (select 'preferred', model, round(rmse, 6) from more where model = 'catboost.joblib')
+  union all (select 'reports', model, round(rmse, 6) from more order by rmse, model limit 1)
+  union all select 'no metrics', 'catboost_tuned.joblib', null)
 """)
 def s06_choose_model(spark, sf):
     from .sources import io
-    return rnd(io.choose_model(baseline_metrics(spark, sf), rule="serving"))
+    metrics = baseline_metrics(spark, sf).select("model", "rmse")
+    more = metrics.union(spark.createDataFrame([("catboost.joblib", 1e9), ("other.joblib", 0.5)], "model string, rmse double"))
+    cases = [("none preferred", io.choose_model(metrics)), ("preferred", io.choose_model(more)),
+             ("reports", io.choose_model(more, rule="reports")), ("no metrics", io.choose_model(metrics.limit(0)))]
+    out = None
+    for name, df in cases:
+        df = df.select(F.lit(name).alias("case_"), "model", "rmse")
+        out = df if out is None else out.union(df)
+    return rnd(out)
 
 
 # ---------------------------------------------------------------------------
@@ -959,30 +971,59 @@ def u07_focus_marker(spark, sf):
     return C.focus_markers(requests(spark, sf))
 
 
-@query("u08_comps_batch", f"""
-with base as (select id, neighbourhood_group_cleansed, bedrooms, latitude, longitude, {S.money('price')} as price_clean
+def _combination_sql(columns: list[str]) -> str:
+    """CTEs: ``base`` listings, ``f`` requests with their filters, ``m`` the general rule per combination."""
+    raw = " ".join(f"when '{k}' then '{v}'" for k, v in C.P.NEIGHBOURHOOD_TO_RAW.items())
+    source = {"neighbourhood_group_cleansed": f"case when neighbourhood <> '' then case neighbourhood {raw} else neighbourhood end end",
+              "bedrooms": "cast(bedrooms as double)"}
+    rule = " and ".join(f"(c.f_{x} is null or b.{x} = c.f_{x})" for x in columns)
+    return f"""base as (select id, neighbourhood_group_cleansed, bedrooms, latitude, longitude, {S.money('price')} as price_clean
               from ({_comps_base_sql()})),
-f as (select req_id, case when neighbourhood <> '' then case neighbourhood """ + " ".join(
-    f"when '{k}' then '{v}'" for k, v in __import__("lodgeprice.constants", fromlist=["x"]).NEIGHBOURHOOD_TO_RAW.items())
-    + f""" else neighbourhood end end as neighbourhood_group_cleansed, bedrooms from requests),
-g2 as (select neighbourhood_group_cleansed, bedrooms, quantile_cont(price_clean, 1/3) lo, quantile_cont(price_clean, 2/3) hi
-       from base group by 1, 2),
-g1 as (select neighbourhood_group_cleansed, quantile_cont(price_clean, 1/3) lo, quantile_cont(price_clean, 2/3) hi
-       from base group by 1),
-t2 as (select f.req_id, b.id, b.price_clean, case when b.price_clean <= g2.lo then 'red' when b.price_clean <= g2.hi then 'orange' else 'green' end as tier, b.latitude, b.longitude
-       from f join base b on f.neighbourhood_group_cleansed = b.neighbourhood_group_cleansed and f.bedrooms = b.bedrooms
-       join g2 on g2.neighbourhood_group_cleansed = b.neighbourhood_group_cleansed and g2.bedrooms = b.bedrooms),
-t1 as (select f.req_id, b.id, b.price_clean, case when b.price_clean <= g1.lo then 'red' when b.price_clean <= g1.hi then 'orange' else 'green' end as tier, b.latitude, b.longitude
-       from f join base b on f.neighbourhood_group_cleansed = b.neighbourhood_group_cleansed
-       join g1 on g1.neighbourhood_group_cleansed = b.neighbourhood_group_cleansed where f.bedrooms is null)
-select req_id, id, price_clean, tier from (select * from t2 union all select * from t1)
-where latitude is not null and longitude is not null
+f as (select req_id, {", ".join(f"{source[x]} as f_{x}" for x in columns)} from requests),
+c as (select distinct {", ".join(f"f_{x}" for x in columns)} from f),
+m as (select c.*, b.* exclude (neighbourhood_group_cleansed, bedrooms) from c join base b on {rule})"""
+
+
+@query("u08_comps_batch", f"""
+with {_combination_sql(["neighbourhood_group_cleansed", "bedrooms"])},
+t as (select *, quantile_cont(price_clean, 1/3) over w as lo, quantile_cont(price_clean, 2/3) over w as hi
+      from m window w as (partition by f_neighbourhood_group_cleansed, f_bedrooms))
+select f_neighbourhood_group_cleansed, f_bedrooms, id, price_clean,
+  case when price_clean <= lo then 'red' when price_clean <= hi then 'orange' else 'green' end as tier
+from t where latitude is not null and longitude is not null
 """)
 def u08_comps_batch(spark, sf):
     filters, active = C.comps_filters(requests(spark, sf), same_district=True, same_bedrooms=True)
     return C.comps_batch(listings(spark, sf), filters, active)
 
 
+@query("u08_comps_per_request", f"""
+with {_combination_sql(["bedrooms"])}
+select req_id, f_bedrooms, (select count(*) from m where m.f_bedrooms is not distinct from f.f_bedrooms
+  and latitude is not null and longitude is not null) as n_comps
+from f
+""")
+def u08_comps_per_request(spark, sf):
+    filters, active = C.comps_filters(requests(spark, sf), same_bedrooms=True)
+    return C.comps_per_request(C.comps_batch(listings(spark, sf), filters, active), filters, active)
+
+
+@query("j03_similar_semijoin", f"""
+with base as (select id, accommodates, latitude, longitude, {S.money('price')} as price_clean from ({_comps_base_sql()})),
+cases as (select 'set' as case_, * from base where id in (select id from listings where accommodates = 4)
+          union all select 'empty' as case_, * from base),
+t as (select *, quantile_cont(price_clean, 1/3) over w as lo, quantile_cont(price_clean, 2/3) over w as hi
+      from cases window w as (partition by case_))
+select case_, id, price_clean, case when price_clean <= lo then 'red' when price_clean <= hi then 'orange' else 'green' end as tier
+from t where latitude is not null and longitude is not null
+""")
+def j03_similar_semijoin(spark, sf):
+    raw = listings(spark, sf)
+    similar = raw.where("accommodates = 4").select("id")
+    return C.comps(raw, similar_ids=similar).select(F.lit("set").alias("case_"), "id", "price_clean", "tier").union(
+        C.comps(raw, similar_ids=similar.limit(0)).select(F.lit("empty").alias("case_"), "id", "price_clean", "tier"))
+
+
 _G1_SQL = ORACLE["g01_safe_means"]
 
 

@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_AVERAGES, PREFERRED_MODELS
+from ..constants import DEFAULT_AVERAGES, DEFAULT_MODEL_REPORTS, DEFAULT_MODEL_SERVING, PREFERRED_MODELS
 from ..functions.text import json_list
 from ..session import scratch_path
 
@@ -105,7 +105,8 @@ def choose_model(metrics: DataFrame, rule: str = "serving", available: list[str]
     """Pick one model from ``(model, rmse)``.
 
     ``serving``: preferred names first (if available), then the lowest RMSE;
-    ``reports``: lowest RMSE only. Ties by name.
+    ``reports``: lowest RMSE only. Ties by name. Without any metrics the rule's
+    default name is returned, with a null RMSE.
     """
     m = metrics
     if available is not None:
@@ -117,7 +118,11 @@ def choose_model(metrics: DataFrame, rule: str = "serving", available: list[str]
         m = m.withColumn("_pref", pref).orderBy("_pref", "rmse", "model").drop("_pref")
     else:
         m = m.orderBy("rmse", "model")
-    return m.limit(1)
+    best = m.limit(1)
+    if best.isEmpty():
+        name = DEFAULT_MODEL_SERVING if rule == "serving" else DEFAULT_MODEL_REPORTS
+        return best.sparkSession.createDataFrame([(name, None)], "model string, rmse double")
+    return best
 
 
 def options(listings: DataFrame) -> DataFrame:

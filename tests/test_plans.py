@@ -53,3 +53,25 @@ def test_focus_marker(spark):
     assert C.focus_marker(spark, None, 13.4, 100.0) is None
     m = C.focus_marker(spark, 52.5, 13.4, 99.0, bedrooms=0, beds=2).first()
     assert m.tier == "blue" and m.bedrooms == "N/A" and m.beds == "2"
+
+
+def test_split_fraction_ends(spark):
+    from pyspark.sql import functions as F
+
+    from lodgeprice.operators.split import is_test
+
+    ids = spark.range(300)
+    assert ids.where(is_test("id", test_fraction=1.0)).count() == 300
+    assert ids.where(is_test("id", test_fraction=0.0)).count() == 0
+    assert ids.select(F.count_if(is_test("id"))).first()[0] in range(30, 100)
+
+
+def test_sample_rows_do_not_depend_on_partitions(spark):
+    from lodgeprice.operators.split import sample_rows
+
+    profile = [{"col": "x", "binary": False, "mean": 5.0, "std": 2.0, "non_negative": True},
+               {"col": "y", "binary": True, "mean": 0.3, "std": 0.4, "non_negative": True}]
+    one = sample_rows(profile, 4000, 7, spark).toPandas()
+    two = sample_rows(profile, 4000, 7, spark).repartition(3).toPandas().sort_values("row_id", ignore_index=True)
+    assert one.equals(two)
+    assert abs(one.x.mean() - 5) < 0.2 and abs(one.x.std() - 2) < 0.2 and abs(one.y.mean() - 0.3) < 0.05
