@@ -209,7 +209,8 @@ def duplicate_spans(parsed: DataFrame, docs: DataFrame) -> tuple[DataFrame, Data
     """(``rid, first window, windows`` of every duplicate factor; texts of the documents concerned with their ``rid``)."""
     each = parsed.select("rid", F.explode(F.arrays_zip("anchor", "phrase", "lo", "size")).alias("f")).select("rid", "f.*")
     shared = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("p0"), F.max("phrase").alias("p1"))
-    shared = shared.where("n > 1").select("anchor", (F.col("p0") == F.col("p1")).alias("whole"))
+    # written, so that both sides of the join come from plain exchanges and Spark can split a hot anchor's rows
+    shared = written(shared.where("n > 1").select("anchor", (F.col("p0") == F.col("p1")).alias("whole")), "lz-shared")
     met = written(each.join(shared, "anchor"), "lz-met")
 
     # one occurrence stands for all of a phrase; m says whether there are more
