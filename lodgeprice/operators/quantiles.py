@@ -3,19 +3,21 @@
 Spark's exact ``percentile``/``median`` aggregate merges every distinct value
 of a group into one buffer; for a global aggregate over a continuous column
 that is one task holding the whole column. Here the k-th smallest value is
-found by histogram narrowing instead:
-
-1. one pass: ``count``, ``min``, ``max`` per column;
-2. each round: for every open bracket ``[lo, hi]`` (one per wanted rank), values
-   inside it are binned into ``B`` equal-width bins with a ``groupBy(bracket,
-   bin)`` (partial aggregation, output at most brackets × B rows); the bin
-   holding the rank becomes the next bracket, tightened to that bin's actual
-   min/max;
-3. a bracket is done when its min equals its max.
-
-Each round cuts a bracket's value range by about ``B``; doubles resolve in a
-few rounds, integer-valued columns usually in one. Only bin counts reach the
-driver. The bracket table is tiny (columns × ranks) and broadcast.
+enclosed between real values of the column and the enclosure is narrowed:
+
+1. one pass counts the values of every column;
+2. each round, one wide aggregate takes pivots around the wanted rank from
+   ``percentile_approx`` over the values still enclosed (a mergeable sketch of
+   bounded size), and a second one counts exactly how many values lie below and
+   at each pivot;
+3. a rank that falls on a pivot is done; any other continues strictly between
+   its two nearest pivots.
+
+A round cuts the number of enclosed values by about ``ACCURACY / 6``, whatever
+their range, infinities and denormals included; below ``ACCURACY / 2`` values
+the sketch is exact and the round is the last. Every round removes at least the
+pivots themselves, so the search always ends. Only pivots and counts reach the
+driver, and no row is multiplied.
 """
 
 from __future__ import annotations
@@ -27,97 +29,95 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = 1024
-MAX_ROUNDS = 12
+#: Spark's own default: ranks are off by at most 1 / ACCURACY of the values looked at.
+ACCURACY = 10_000
 
 
 @dataclass
-class _Bracket:
-    bid: int
+class _Search:
     col: str
-    rank: int  # 0-based rank among the column's non-null values
-    lo: float
-    hi: float
-    below: int  # values strictly in earlier bins / below lo
+    rank: int  # 0-based rank among the column's values
+    n: int  # values strictly between lo and hi
+    below: int = 0  # values at or below lo
+    lo: float | None = None
+    hi: float | None = None
     value: float | None = None
 
-
-def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(c, v) rows for every non-null, non-NaN value of the columns."""
-    stacked = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("p")
-    ).select("p.c", "p.v")
-    return stacked.where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-
-def kth_smallest(df: DataFrame, wanted: dict, bins: int = BINS, counts: dict | None = None) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest value (0-based) per column for the given ranks.
+    def shares(self) -> list[float]:
+        """Where to look for pivots, as shares of the enclosed values."""
+        at = (self.rank - self.below + 0.5) / self.n
+        slack = 2.0 / ACCURACY
+        return [at] if 2 * self.n < ACCURACY else [max(0.0, at - slack), min(1.0, at + slack)]
+
+    def narrow(self, pivots: list[tuple[float, int, int]]) -> None:
+        """``pivots``: (value, values below it, values up to it), ascending."""
+        top = self.below + self.n
+        for value, under, upto in pivots:
+            if under <= self.rank < upto:
+                self.value = value
+                return
+            if upto <= self.rank:
+                self.lo, self.below = value, upto
+            else:
+                self.hi, top = value, under
+                break
+        self.n = top - self.below
+
+
+def kth_smallest(df: DataFrame, wanted: dict, counts: dict | None = None) -> dict[tuple[str, int], float]:
+    """Exact k-th smallest value (0-based) per column for the given ranks; nulls and NaN are no values.
 
     ``wanted`` maps column -> ranks, or column -> function of the column's
-    non-null count returning ranks (so the count comes from the same first
-    pass). Ranks outside ``[0, n)`` give no entry. ``counts`` (if given) is
-    filled with the non-null count per column.
+    value count returning ranks. Ranks outside ``[0, n)`` give no entry.
+    ``counts`` (if given) is filled with the value count per column.
     """
     cols = [c for c in wanted if wanted[c]]
     if not cols:
         return {}
-    spark = df.sparkSession
-    # several passes read the same values: keep the narrow long form (spills to disk, recomputed on loss)
-    longf = _long_form(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    bounds = {r["c"]: r for r in longf.groupBy("c").agg(
-        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    brackets: list[_Bracket] = []
-    for c in cols:
-        b = bounds.get(c)
-        if b is None:
-            continue
-        if counts is not None:
-            counts[c] = int(b["n"])
-        ranks = wanted[c](int(b["n"])) if callable(wanted[c]) else wanted[c]
-        for k in sorted(set(ranks)):
-            if 0 <= k < b["n"]:
-                brackets.append(_Bracket(len(brackets), c, k, b["lo"], b["hi"], 0))
-    for br in brackets:
-        if br.lo == br.hi:
-            br.value = br.lo
-    for _ in range(MAX_ROUNDS):
-        open_ = [b for b in brackets if b.value is None]
-        if not open_:
-            break
-        table = spark.createDataFrame(
-            [(b.bid, b.col, float(b.lo), float(b.hi)) for b in open_], "bid int, c string, lo double, hi double")
-        width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-        binned = (
-            longf.join(F.broadcast(table), "c")
-            .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-            .select("bid", "v", F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width).cast("int")).alias("bin"))
-            .groupBy("bid", "bin")
-            .agg(F.count("v").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
-        )
-        by_bid: dict[int, list] = {}
-        for r in binned.collect():
-            by_bid.setdefault(r["bid"], []).append(r)
-        for b in open_:
-            rows = sorted(by_bid.get(b.bid, []), key=lambda r: r["bin"])
-            pos = b.rank - b.below
-            acc = 0
-            for r in rows:
-                if pos < acc + r["n"]:
-                    b.below += acc
-                    b.lo, b.hi = r["vmin"], r["vmax"]
-                    if b.lo == b.hi:
-                        b.value = b.lo
-                    break
-                acc += r["n"]
-            else:  # pragma: no cover - counts are consistent by construction
-                raise RuntimeError("rank not found in bracket")
-    longf.unpersist()
-    out = {}
-    for b in brackets:
-        if b.value is None:  # pragma: no cover
-            raise RuntimeError(f"quantile bracket for {b.col} did not converge")
-        out[(b.col, b.rank)] = b.value
-    return out
+    name = {c: f"c{i}" for i, c in enumerate(cols)}
+    number = {c: F.col(c).cast("double") for c in cols}
+    # several passes read the same few columns (spills to disk, recomputed on loss)
+    values = df.select(*[F.when(~F.isnan(number[c]), number[c]).alias(name[c]) for c in cols]).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        total = values.agg(*[F.count(name[c]).alias(name[c]) for c in cols]).first()
+        searches: list[_Search] = []
+        for c in cols:
+            n = int(total[name[c]])
+            if counts is not None and n:
+                counts[c] = n
+            ranks = wanted[c](n) if callable(wanted[c]) else wanted[c]
+            searches += [_Search(c, k, n) for k in sorted(set(ranks)) if 0 <= k < n]
+        while open_ := [s for s in searches if s.value is None]:
+            _round(values, name, open_)
+    finally:
+        values.unpersist()
+    return {(s.col, s.rank): s.value for s in searches}
+
+
+def _round(values: DataFrame, name: dict[str, str], open_: list[_Search]) -> None:
+    """One narrowing of every open search: a pass for pivots and a pass for their counts."""
+    spans: dict[tuple, set] = {}
+    for s in open_:
+        spans.setdefault((s.col, s.lo, s.hi), set()).update(s.shares())
+    sketches = []
+    for i, ((c, lo, hi), shares) in enumerate(spans.items()):
+        v = F.col(name[c])
+        inside = F.lit(True) if lo is None else v > F.lit(lo)
+        inside = inside if hi is None else inside & (v < F.lit(hi))
+        sketches.append(F.percentile_approx(F.when(inside, v), sorted(shares), ACCURACY).alias(f"s{i}"))
+    found = values.agg(*sketches).first()
+    pivots: dict[str, set] = {}
+    for i, (c, _, _) in enumerate(spans):
+        pivots.setdefault(c, set()).update(found[f"s{i}"])
+    marks = [(c, p) for c in pivots for p in sorted(pivots[c])]
+    exact = values.agg(*[e for i, (c, p) in enumerate(marks) for e in (
+        F.count_if(F.col(name[c]) < F.lit(p)).alias(f"u{i}"), F.count_if(F.col(name[c]) <= F.lit(p)).alias(f"t{i}"))]).first()
+    counted: dict[str, list] = {}
+    for i, (c, p) in enumerate(marks):
+        counted.setdefault(c, []).append((p, int(exact[f"u{i}"]), int(exact[f"t{i}"])))
+    for s in open_:
+        s.narrow([m for m in counted[s.col] if (s.lo is None or m[0] > s.lo) and (s.hi is None or m[0] < s.hi)])
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
@@ -155,5 +155,5 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
         h = (n - 1) * p
         lo, hi = int(math.floor(h)), int(math.ceil(h))
         a, b = kth[(col, lo)], kth[(col, hi)]
-        out.append(a + (h - lo) * (b - a))
+        out.append(a if a == b else a + (h - lo) * (b - a))
     return out

@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodgeprice.operators import aggregates as A
+from lodgeprice.operators import quantiles as Q
 from lodgeprice.operators import split as SP
 from lodgeprice.operators.geo_join import nearest_listing_km
 from lodgeprice.operators.knn import nearest, similar_ids
-from lodgeprice.operators.quantiles import exact_medians, exact_quantiles
+from lodgeprice.operators.quantiles import exact_medians, exact_quantiles, kth_smallest
 
 
 def test_exact_quantiles_match_numpy(spark):
@@ -25,6 +26,32 @@ def test_exact_quantiles_match_numpy(spark):
     assert abs(med - float(np.median(clean))) < 1e-12
 
 
+def test_exact_quantiles_any_range(spark):
+    wide = [10.0 ** -i for i in range(298)]
+    columns = {
+        "wide": wide,
+        "ends": [-1.7e308, 1.7e308, float("inf"), float("-inf"), 0.0, 1.0, 2.0],
+        "tiny": [5e-324 * i for i in range(50)],
+        "hot": [3.0] * 900 + [1.0, 2.0, 4.0],
+        "many": [float((i * 7919) % 30011) for i in range(30011)],
+    }
+    for vals in columns.values():
+        df = spark.createDataFrame([(v,) for v in vals + [float("nan"), None]], "x double").repartition(4)
+        n, order = len(vals), sorted(vals)
+        ranks = sorted({0, 1, n // 3, n // 2, n - 1})
+        assert kth_smallest(df, {"x": ranks + [n]}) == {("x", k): order[k] for k in ranks}
+
+
+def test_exact_quantiles_narrow_beyond_the_sketch(spark, monkeypatch):
+    monkeypatch.setattr(Q, "ACCURACY", 40)
+    rnd = random.Random(9)
+    vals = [rnd.choice([rnd.gauss(0, 1e6), rnd.random(), 7.0]) for _ in range(5000)]
+    df = spark.createDataFrame([(v, -v) for v in vals], "x double, y double").repartition(4)
+    order = sorted(vals)
+    got = kth_smallest(df, {"x": [0, 1666, 2500, 4999], "y": lambda n: [n // 4]})
+    assert got == {("x", k): order[k] for k in (0, 1666, 2500, 4999)} | {("y", 1250): -order[4999 - 1250]}
+
+
 def test_exact_median_even_and_empty(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None), (10.0, None), (11.0, None)], "a double, b double")
     m = exact_medians(df, ["a", "b"])
