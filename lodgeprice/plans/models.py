@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from ..constants import CV_FOLDS, SEARCH_ITER, SPLIT_SEED
 from ..operators.aggregates import regression_kpis
 from ..operators.split import fold_of, is_test
+from ..sources.io import parquet_roundtrip
 
 SEED = SPLIT_SEED
 # per-task split-statistics buffer of the tree learners: every concurrent task allocates up to this much,
@@ -105,6 +106,7 @@ def _histgb(profile, n, ystd):
 CANDIDATES: dict[str, Candidate] = {c.name: c for c in [
     Candidate("linear_regression", _linear, scale=True),
     Candidate("ridge", _ridge, scale=True, grid={"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]}),
+    Candidate("ridge_unscaled", _ridge, grid={"alpha": [0.1, 1.0, 5.0]}),
     Candidate("lasso", _lasso, scale=True, grid={"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]}),
     Candidate("decision_tree", _tree, grid={"maxDepth": [5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]}),
     Candidate("random_forest", _forest, grid={"numTrees": [100, 200, 300], "maxDepth": [10, 15, 20],
@@ -126,12 +128,12 @@ def _pipeline(c: Candidate, features: list[str], label: str, profile: str, n: in
     est = est or c.make(profile, n, ystd)
     target = label
     if c.log_target:
-        stages.append(SQLTransformer(statement=f"SELECT *, ln(1 + {label}) AS _log_label FROM __THIS__"))
+        stages.append(SQLTransformer(statement=f"SELECT *, log1p({label}) AS _log_label FROM __THIS__"))
         target = "_log_label"
     est.setFeaturesCol("features").setLabelCol(target).setPredictionCol("_raw_pred" if c.log_target else "prediction")
     stages.append(est)
     if c.log_target:
-        stages.append(SQLTransformer(statement="SELECT *, exp(_raw_pred) - 1 AS prediction FROM __THIS__"))
+        stages.append(SQLTransformer(statement="SELECT *, expm1(_raw_pred) AS prediction FROM __THIS__"))
     return Pipeline(stages=stages)
 
 
@@ -210,36 +212,36 @@ def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     return model.transform(df).select(*keep, F.col("prediction").cast("double").alias("prediction"))
 
 
+def _with_prediction(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """``df`` and one more column, the model's prediction; a projection, no join."""
+    return model.transform(df).select(*df.columns, F.col("prediction").cast("double").alias(name))
+
+
 def stack(train: DataFrame, features: list[str], bases: list[str], label: str = "price", profile: str = "fast",
           folds: int = CV_FOLDS, alphas: tuple = (0.1, 1.0, 5.0)):
-    """Out-of-fold base predictions + passthrough inputs -> ridge meta model (alpha by CV).
+    """Out-of-fold base predictions + passthrough inputs -> ridge meta model (alpha by CV, inputs unscaled).
 
-    Returns a callable ``score(df) -> df with prediction``.
+    Base predictions are chained onto the same rows, and the meta table is
+    written once for the search. Returns ``score(df, keep) -> keep, prediction``.
     """
-    data = train.withColumn("fold", fold_of("id", folds)).cache()
+    data = train.withColumn("fold", fold_of("id", folds)).persist()
+    names = {b: f"p_{b}" for b in bases}
     oof = None
     for k in range(folds):
-        tr, va = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-        part = va.select("id")
+        tr, part = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
         for b in bases:
-            m = fit(b, tr, features, label, profile)
-            part = part.join(predict(m, va, ["id"]).withColumnRenamed("prediction", f"p_{b}"), "id")
+            part = _with_prediction(fit(b, tr, features, label, profile), part, names[b])
         oof = part if oof is None else oof.unionByName(part)
-    meta_train = data.join(oof, "id")
-    meta_features = features + [f"p_{b}" for b in bases]
-    best_alpha, best_rmse = None, None
-    for a in alphas:  # RidgeCV over the alphas, by CV on the meta table
-        _, _, rmse = cv_search("ridge", meta_train, meta_features, label, profile, grid={"alpha": [a]}, folds=folds)
-        if best_rmse is None or rmse < best_rmse:
-            best_alpha, best_rmse = a, rmse
-    meta = fit("ridge", meta_train, meta_features, label, profile, params={"alpha": best_alpha})
-    full = [fit(b, data, features, label, profile) for b in bases]
+    meta_train = parquet_roundtrip(data.sparkSession, oof.drop("fold"))
+    meta, _, _ = cv_search("ridge_unscaled", meta_train, features + list(names.values()), label, profile, n_iter=None,
+                           folds=folds, grid={"alpha": list(alphas)})
+    full = {b: fit(b, data, features, label, profile) for b in bases}
+    data.unpersist()
 
     def score(df: DataFrame, keep: list[str]) -> DataFrame:
-        x = df
-        for b, m in zip(bases, full):
-            x = x.join(predict(m, df, ["id"]).withColumnRenamed("prediction", f"p_{b}"), "id")
-        return predict(meta, x, keep)
+        for b, m in full.items():
+            df = _with_prediction(m, df, names[b])
+        return predict(meta, df, keep)
 
     return score
 
@@ -248,8 +250,8 @@ def benchmark(features_df: DataFrame, features: list[str], names: list[str], lab
               profile: str = "fast", search: bool = False) -> DataFrame:
     """Fit every candidate on the training part, score the test part, KPI table sorted by RMSE."""
     spark = features_df.sparkSession
-    train = features_df.where(~is_test("id")).cache()
-    test = features_df.where(is_test("id")).cache()
+    train = features_df.where(~is_test("id")).persist()
+    test = features_df.where(is_test("id")).persist()
     rows = []
     for name in names:
         t0 = time.time()
@@ -261,6 +263,8 @@ def benchmark(features_df: DataFrame, features: list[str], names: list[str], lab
         k = regression_kpis(predict(model, test, ["id", label]), y=label).first()
         rows.append((name, profile, float(k["rmse"]), float(k["mae"]), float(k["r2"]), float(k["mape"]), secs,
                      str(params)))
+    train.unpersist()
+    test.unpersist()
     out = spark.createDataFrame(rows, "model string, profile string, rmse double, mae double, r2 double, mape double, "
                                       "fit_seconds double, params string")
     return out.orderBy("rmse")

@@ -1184,7 +1184,7 @@ def u05_score_stream(spark, sf):
     reqs = fx.requests_with_amenities(spark, sf)
     in_dir, out_dir, ck = (scratch_path(spark, x) for x in ("req-in", "req-out", "req-ckpt"))
     reqs.repartition(4).write.parquet(in_dir)
-    schema = spark.read.parquet(in_dir).schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    schema = spark.read.parquet(in_dir).schema
     score_stream(spark, in_dir, out_dir, ck, schema, lambda b: score(b, lst, model, spec, avg))
     return rnd(spark.read.parquet(out_dir).drop("batch_id"))
 

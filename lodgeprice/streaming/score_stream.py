@@ -12,9 +12,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_dir: str, schema: str,
+def score_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_dir: str, schema: StructType,
                  scorer: Callable[[DataFrame], DataFrame], available_now: bool = True):
     """Start (and with ``available_now`` run to completion) the scoring stream; returns the query."""
     src = spark.readStream.schema(schema).parquet(in_dir)

@@ -75,3 +75,16 @@ def test_sample_rows_do_not_depend_on_partitions(spark):
     two = sample_rows(profile, 4000, 7, spark).repartition(3).toPandas().sort_values("row_id", ignore_index=True)
     assert one.equals(two)
     assert abs(one.x.mean() - 5) < 0.2 and abs(one.x.std() - 2) < 0.2 and abs(one.y.mean() - 0.3) < 0.05
+
+
+def test_stack_learns_and_keeps_rows(spark):
+    from lodgeprice.plans.models import stack
+
+    df = spark.range(400).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    df = df.withColumn("price", 30 + 4 * F.col("a") - 2 * F.col("b"))
+    score = stack(df, ["a", "b"], ["linear_regression", "decision_tree"], folds=2, alphas=(0.1, 1.0))
+    got = score(df, ["id", "price"])
+    assert got.columns == ["id", "price", "prediction"] and got.count() == 400
+    assert got.agg(F.max(F.abs(F.col("price") - F.col("prediction")))).first()[0] < 1.0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
