@@ -109,7 +109,11 @@ def encode(cleaned: DataFrame, spec: FeatureSpec) -> DataFrame:
 def impute(encoded: DataFrame, medians: dict[str, float]) -> DataFrame:
     """fill each column's nulls with its median (columns with no value stay null)."""
     fill = {c: v for c, v in medians.items() if v is not None and c in encoded.columns}
-    return encoded.fillna(fill) if fill else encoded
+    if not fill:
+        return encoded
+    # fillna casts the value to the column's type, which would cut a median between two whole numbers
+    between = {c: F.col(c).cast("double") for c, v in fill.items() if not float(v).is_integer()}
+    return encoded.withColumns(between).fillna(fill) if between else encoded.fillna(fill)
 
 
 def imputed_columns(spec: FeatureSpec) -> list[str]:
