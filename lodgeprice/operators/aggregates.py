@@ -11,14 +11,24 @@ from ..constants import DEFAULT_AVERAGES
 from ..functions.scalar import days_between
 from .quantiles import exact_quantiles
 
-MAX_DOMAIN = 10_000  # category domains are collected to the driver; fail loudly above this
+#: Most 0/1 columns that one category may become in the wide feature table.
+FLAG_COLUMNS = 10_000
 
 
-def distinct_values(df: DataFrame, col: str, cap: int = MAX_DOMAIN) -> list[str]:
-    """Sorted distinct non-null values of a column (bounded domain)."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"column {col} has more than {cap} distinct values; not a category domain")
+def distinct_table(df: DataFrame, col: str) -> DataFrame:
+    """The distinct non-null values of a column, as a table of any size."""
+    return df.select(col).where(F.col(col).isNotNull()).distinct()
+
+
+def distinct_values(df: DataFrame, col: str, most: int = FLAG_COLUMNS) -> list[str]:
+    """G3 for column names: the sorted domain of a category, one future 0/1 column a value.
+
+    A table of more than ``most`` flags cannot be planned, so such a column is an
+    error here; nothing is cut. ``distinct_table`` has no such bound.
+    """
+    rows = distinct_table(df, col).orderBy(col).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"column {col} has more than {most} distinct values, too many for 0/1 columns")
     return [r[0] for r in rows]
 
 
@@ -72,6 +82,24 @@ def safe_means(features: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     return features.sparkSession.createDataFrame([tuple(v for _, v in ordered)], ", ".join(f"{k} double" for k, _ in ordered))
 
 
+def raw_means(raw: DataFrame) -> DataFrame:
+    """The 13-key default table from raw listings, one pass: plain column means, host experience from its dates.
+
+    Without ``last_scraped`` the experience counts to today. The review and
+    listing-count rules follow the original; a key whose column is missing or
+    holds no value takes its fixed default.
+    """
+    source_of = {k: k for k in DEFAULT_AVERAGES} | {"num_listings": "host_total_listings_count"}
+    if "host_experience" in raw.columns:
+        source_of["host_experience_days"] = "host_experience"
+    elif "host_since" in raw.columns:
+        until = "last_scraped" if "last_scraped" in raw.columns else F.current_date()
+        raw = raw.withColumn("host_experience_days", days_between("host_since", until))
+    return raw.agg(*[
+        F.coalesce(F.avg(F.col(src).cast("double")) if src in raw.columns else F.lit(None), F.lit(DEFAULT_AVERAGES[key])).alias(key)
+        for key, src in source_of.items()])
+
+
 def host_experience_mean(raw: DataFrame) -> DataFrame:
     """Mean days from host_since to last_scraped; unparsable dates are skipped."""
     return raw.agg(F.avg(days_between("host_since", "last_scraped").cast("double")).alias("host_experience_days"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import regression_kpis
 from ..operators.split import is_test
+from ..sources.io import load_model
+from .models import predict
+
+log = logging.getLogger(__name__)
 
 
 def baseline_predictions(rows: DataFrame, label: str = "price") -> DataFrame:
@@ -31,6 +37,16 @@ def baseline_predictions(rows: DataFrame, label: str = "price") -> DataFrame:
     return m1.unionByName(m2).unionByName(m3)
 
 
-def evaluate(predictions: DataFrame, label: str = "price", by: str = "model") -> DataFrame:
-    """KPIs per model over a (model, label, prediction) table."""
-    return regression_kpis(predictions, y=label, p="prediction", by=[by])
+def evaluate_saved(models: dict[str, str], test: DataFrame, label: str = "price") -> DataFrame:
+    """Test KPIs per saved model (name -> path); a model that cannot be loaded or applied is left out, with a warning."""
+    scored = None
+    for name, path in models.items():
+        try:
+            one = predict(load_model(path), test, [label]).withColumn("model", F.lit(name))
+        except Exception as err:  # noqa: BLE001 - loading a foreign folder can fail in many ways
+            log.warning("model %s is left out: %s", name, err)
+            continue
+        scored = one if scored is None else scored.unionByName(one)
+    if scored is None:
+        scored = test.select(label, F.lit(None).cast("double").alias("prediction"), F.lit("").alias("model")).limit(0)
+    return regression_kpis(scored, y=label, p="prediction", by=["model"])

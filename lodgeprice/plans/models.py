@@ -12,11 +12,9 @@ ordered boosting, so those settings of the original configurations have no
 equivalent; depth, rounds, step size, row and column sampling are mapped.
 Published RMSE numbers of those libraries are not claimed.
 
-Profiles: ``reference`` uses the original round counts (hundreds to
-thousands of boosting rounds, each a Spark job); ``fast`` caps rounds and
-trees (40) so that registered queries and benchmarks finish in minutes on one
-machine; ``smoke`` (10 rounds) is used only where many fits are nested
-(stacking: 5 folds x 4 bases). The profile is explicit in every result row.
+Boosting runs the original number of rounds and stops earlier only when a
+tenth of the training rows (a hash of the id) no longer improves, so the data
+decide, not a setting.
 """
 
 from __future__ import annotations
@@ -25,7 +23,9 @@ import itertools
 import random
 import time
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
@@ -45,62 +45,55 @@ SEED = SPLIT_SEED
 # per-task split-statistics buffer of the tree learners: every concurrent task allocates up to this much,
 # so keep it small (more passes over the data instead of a large heap per task)
 TREE_MEM_MB = 32
+# relative improvement of the validation error below which boosting stops (Spark's default)
+VALIDATION_TOL = 0.01
 
 
 @dataclass
 class Candidate:
     name: str
-    make: callable  # (profile, n_train, y_std) -> estimator
+    make: callable  # (n_train, y_std) -> estimator
     scale: bool = False
     log_target: bool = False
     grid: dict = field(default_factory=dict)  # param name -> values (reference grids)
 
 
-def _linear(profile, n, ystd):
+def _linear(n, ystd):
     return LinearRegression(regParam=0.0, solver="normal", standardization=False)
 
 
-def _ridge(profile, n, ystd, alpha=1.0):
+def _ridge(n, ystd, alpha=1.0):
     # sklearn Ridge(alpha) on standardized inputs == Spark L2 with regParam = alpha / n * std_pop(y)
     return LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal",
                             regParam=alpha / max(n, 1) * ystd)
 
 
-def _lasso(profile, n, ystd, alpha=1.0):
-    return LinearRegression(elasticNetParam=1.0, standardization=False, regParam=alpha, maxIter=10000 if profile ==
-                            "reference" else 200)
+def _lasso(n, ystd, alpha=1.0):
+    return LinearRegression(elasticNetParam=1.0, standardization=False, regParam=alpha, maxIter=10000)
 
 
-def _tree(profile, n, ystd):
+def _tree(n, ystd):
     return DecisionTreeRegressor(maxDepth=10, minInstancesPerNode=2, maxBins=256, seed=SEED, maxMemoryInMB=TREE_MEM_MB)
 
 
-def _forest(profile, n, ystd):
-    return RandomForestRegressor(numTrees=_rounds(profile, 200, 40), maxDepth=15 if profile == "reference"
-                                 else 10, minInstancesPerNode=1, featureSubsetStrategy="all", maxBins=128, seed=SEED,
-                                 maxMemoryInMB=TREE_MEM_MB)
+def _forest(n, ystd):
+    return RandomForestRegressor(numTrees=40, maxDepth=10, minInstancesPerNode=1, featureSubsetStrategy="all",
+                                 maxBins=128, seed=SEED, maxMemoryInMB=TREE_MEM_MB)
 
 
-ROUNDS_SMOKE = 10
-
-
-def _rounds(profile: str, ref: int, fast: int) -> int:
-    return {"reference": ref, "fast": fast}.get(profile, ROUNDS_SMOKE)
-
-
-def _gbt(rounds_ref, rounds_fast, step, depth, subsample=1.0, features="all", min_inst=1):
-    def make(profile, n, ystd):
-        return GBTRegressor(maxIter=_rounds(profile, rounds_ref, rounds_fast), stepSize=step,
-                            maxDepth=depth, subsamplingRate=subsample, featureSubsetStrategy=features,
-                            minInstancesPerNode=min_inst, maxBins=128, seed=SEED, maxMemoryInMB=TREE_MEM_MB)
+def _gbt(rounds, step, depth, subsample=1.0, features="all", min_inst=1, bins=128):
+    def make(n, ystd):
+        # stops when the validation part no longer improves (tolerance based in Spark, not patience based)
+        return GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=depth, subsamplingRate=subsample,
+                            featureSubsetStrategy=features, minInstancesPerNode=min_inst, maxBins=bins,
+                            validationIndicatorCol="is_validation", validationTol=VALIDATION_TOL, seed=SEED,
+                            maxMemoryInMB=TREE_MEM_MB)
     return make
 
 
-def _histgb(profile, n, ystd):
-    # early stopping on a 10 % validation part (tolerance based in Spark, not patience based)
-    return GBTRegressor(maxIter=_rounds(profile, 400, 60), stepSize=0.1, maxDepth=8, minInstancesPerNode=10,
-                        maxBins=256, validationIndicatorCol="is_validation", validationTol=0.001, seed=SEED,
-                        maxMemoryInMB=TREE_MEM_MB)
+def _with_validation(train: DataFrame) -> DataFrame:
+    """Mark a tenth of the rows, by a hash of the id, for the early stop of boosting."""
+    return train.withColumn("is_validation", F.pmod(F.xxhash64("id"), F.lit(10)) == 0)
 
 
 CANDIDATES: dict[str, Candidate] = {c.name: c for c in [
@@ -111,21 +104,21 @@ CANDIDATES: dict[str, Candidate] = {c.name: c for c in [
     Candidate("decision_tree", _tree, grid={"maxDepth": [5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]}),
     Candidate("random_forest", _forest, grid={"numTrees": [100, 200, 300], "maxDepth": [10, 15, 20],
                                               "minInstancesPerNode": [1, 2]}),
-    Candidate("xgboost_tuned", _gbt(1200, 40, 0.04, 7, 0.9, "0.9")),
-    Candidate("xgboost_log_enhanced", _gbt(1300, 40, 0.03, 7, 0.9, "0.9"), log_target=True),
-    Candidate("xgboost_improved", _gbt(1400, 40, 0.028, 7, 0.9, "0.9")),
-    Candidate("lightgbm_tuned", _gbt(900, 40, 0.05, 6, 0.85, "0.85")),
-    Candidate("catboost_tuned", _gbt(700, 40, 0.05, 8)),
-    Candidate("sklearn_gbr", _gbt(400, 40, 0.05, 4, 0.9, "sqrt", 2)),
-    Candidate("histgb_tuned", _histgb),
+    Candidate("xgboost_tuned", _gbt(1200, 0.04, 7, 0.9, "0.9")),
+    Candidate("xgboost_log_enhanced", _gbt(1300, 0.03, 7, 0.9, "0.9"), log_target=True),
+    Candidate("xgboost_improved", _gbt(1400, 0.028, 7, 0.9, "0.9")),
+    Candidate("lightgbm_tuned", _gbt(900, 0.05, 6, 0.85, "0.85")),
+    Candidate("catboost_tuned", _gbt(700, 0.05, 8)),
+    Candidate("sklearn_gbr", _gbt(400, 0.05, 4, 0.9, "sqrt", 2)),
+    Candidate("histgb_tuned", _gbt(400, 0.1, 8, min_inst=10, bins=256)),
 ]}
 
 
-def _pipeline(c: Candidate, features: list[str], label: str, profile: str, n: int, ystd: float, est=None) -> Pipeline:
+def _pipeline(c: Candidate, features: list[str], label: str, n: int, ystd: float, est=None) -> Pipeline:
     stages = [VectorAssembler(inputCols=features, outputCol="raw_features" if c.scale else "features")]
     if c.scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-    est = est or c.make(profile, n, ystd)
+    est = est or c.make(n, ystd)
     target = label
     if c.log_target:
         stages.append(SQLTransformer(statement=f"SELECT *, log1p({label}) AS _log_label FROM __THIS__"))
@@ -142,22 +135,19 @@ def _label_stats(train: DataFrame, label: str) -> tuple[int, float]:
     return int(r["n"]), float(r["s"] or 1.0)
 
 
-def fit(name: str, train: DataFrame, features: list[str], label: str = "price", profile: str = "fast",
+def fit(name: str, train: DataFrame, features: list[str], label: str = "price",
         params: dict | None = None) -> PipelineModel:
     """Fit one candidate (optionally with explicit grid parameters)."""
     c = CANDIDATES[name]
     n, ystd = _label_stats(train, label)
-    est = _estimator(c, profile, n, ystd, params or {})
-    data = train
-    if name == "histgb_tuned":
-        data = train.withColumn("is_validation", F.pmod(F.xxhash64("id"), F.lit(10)) == 0)
-    return _pipeline(c, features, label, profile, n, ystd, est).fit(data)
+    est = _estimator(c, n, ystd, params or {})
+    return _pipeline(c, features, label, n, ystd, est).fit(_with_validation(train))
 
 
-def _estimator(c: Candidate, profile: str, n: int, ystd: float, params: dict):
+def _estimator(c: Candidate, n: int, ystd: float, params: dict):
     if "alpha" in params:
-        return c.make(profile, n, ystd, alpha=params["alpha"])
-    est = c.make(profile, n, ystd)
+        return c.make(n, ystd, alpha=params["alpha"])
+    est = c.make(n, ystd)
     for k, v in params.items():
         est._set(**{k: v})
     return est
@@ -172,7 +162,7 @@ def grid_points(grid: dict, n_iter: int | None = None, seed: int = SEED) -> list
     return random.Random(seed).sample(combos, n_iter)
 
 
-def cv_search(name: str, train: DataFrame, features: list[str], label: str = "price", profile: str = "fast",
+def cv_search(name: str, train: DataFrame, features: list[str], label: str = "price",
               n_iter: int | None = SEARCH_ITER, folds: int = CV_FOLDS, parallelism: int = 4,
               grid: dict | None = None) -> tuple[PipelineModel, dict, float]:
     """K-fold search by RMSE over stable folds; refit the best on all training rows.
@@ -182,20 +172,20 @@ def cv_search(name: str, train: DataFrame, features: list[str], label: str = "pr
     c = CANDIDATES[name]
     points = grid_points(grid if grid is not None else c.grid, n_iter)
     if not points:
-        return fit(name, train, features, label, profile), {}, float("nan")
-    data = train.withColumn("fold", fold_of("id", folds)).cache()
+        return fit(name, train, features, label), {}, float("nan")
+    data = _with_validation(train).withColumn("fold", fold_of("id", folds)).cache()
     n, ystd = _label_stats(data, label)
     if "alpha" in points[0]:
         # the regularisation strength maps to one Spark parameter: search it directly
-        base = _estimator(c, profile, n, ystd, points[0])
-        pipe = _pipeline(c, features, label, profile, n, ystd, base)
+        base = _estimator(c, n, ystd, points[0])
+        pipe = _pipeline(c, features, label, n, ystd, base)
         maps = []
         for p in points:
-            e = _estimator(c, profile, n, ystd, p)
+            e = _estimator(c, n, ystd, p)
             maps.append({base.regParam: e.getRegParam()})
     else:
-        base = c.make(profile, n, ystd)
-        pipe = _pipeline(c, features, label, profile, n, ystd, base)
+        base = c.make(n, ystd)
+        pipe = _pipeline(c, features, label, n, ystd, base)
         maps = []
         for p in points:
             maps.append({getattr(base, k): v for k, v in p.items()})
@@ -217,25 +207,34 @@ def _with_prediction(model: PipelineModel, df: DataFrame, name: str) -> DataFram
     return model.transform(df).select(*df.columns, F.col("prediction").cast("double").alias(name))
 
 
-def stack(train: DataFrame, features: list[str], bases: list[str], label: str = "price", profile: str = "fast",
-          folds: int = CV_FOLDS, alphas: tuple = (0.1, 1.0, 5.0)):
+def stack(train: DataFrame, features: list[str], bases: list[str], label: str = "price",
+          folds: int = CV_FOLDS, alphas: tuple = (0.1, 1.0, 5.0), parallelism: int = 4):
     """Out-of-fold base predictions + passthrough inputs -> ridge meta model (alpha by CV, inputs unscaled).
 
     Base predictions are chained onto the same rows, and the meta table is
-    written once for the search. Returns ``score(df, keep) -> keep, prediction``.
+    written once for the search. Of the independent base fits, ``parallelism``
+    run at a time. Returns ``score(df, keep) -> keep, prediction``.
     """
     data = train.withColumn("fold", fold_of("id", folds)).persist()
     names = {b: f"p_{b}" for b in bases}
+    jobs = [(k, b) for k in [*range(folds), None] for b in bases]  # None: on all rows
+
+    def fit_one(job):
+        k, b = job
+        return fit(b, data if k is None else data.where(F.col("fold") != k), features, label)
+
+    with ThreadPool(parallelism) as pool:
+        fitted = dict(zip(jobs, pool.map(inheritable_thread_target(data.sparkSession)(fit_one), jobs)))
     oof = None
     for k in range(folds):
-        tr, part = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+        part = data.where(F.col("fold") == k)
         for b in bases:
-            part = _with_prediction(fit(b, tr, features, label, profile), part, names[b])
+            part = _with_prediction(fitted[k, b], part, names[b])
         oof = part if oof is None else oof.unionByName(part)
     meta_train = parquet_roundtrip(data.sparkSession, oof.drop("fold"))
-    meta, _, _ = cv_search("ridge_unscaled", meta_train, features + list(names.values()), label, profile, n_iter=None,
+    meta, _, _ = cv_search("ridge_unscaled", meta_train, features + list(names.values()), label, n_iter=None,
                            folds=folds, grid={"alpha": list(alphas)})
-    full = {b: fit(b, data, features, label, profile) for b in bases}
+    full = {b: fitted[None, b] for b in bases}
     data.unpersist()
 
     def score(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -247,7 +246,7 @@ def stack(train: DataFrame, features: list[str], bases: list[str], label: str =
 
 
 def benchmark(features_df: DataFrame, features: list[str], names: list[str], label: str = "price",
-              profile: str = "fast", search: bool = False) -> DataFrame:
+              search: bool = False) -> DataFrame:
     """Fit every candidate on the training part, score the test part, KPI table sorted by RMSE."""
     spark = features_df.sparkSession
     train = features_df.where(~is_test("id")).persist()
@@ -256,15 +255,15 @@ def benchmark(features_df: DataFrame, features: list[str], names: list[str], lab
     for name in names:
         t0 = time.time()
         if search and CANDIDATES[name].grid:
-            model, params, _ = cv_search(name, train, features, label, profile)
+            model, params, _ = cv_search(name, train, features, label)
         else:
-            model, params = fit(name, train, features, label, profile), {}
+            model, params = fit(name, train, features, label), {}
         secs = time.time() - t0
         k = regression_kpis(predict(model, test, ["id", label]), y=label).first()
-        rows.append((name, profile, float(k["rmse"]), float(k["mae"]), float(k["r2"]), float(k["mape"]), secs,
+        rows.append((name, float(k["rmse"]), float(k["mae"]), float(k["r2"]), float(k["mape"]), secs,
                      str(params)))
     train.unpersist()
     test.unpersist()
-    out = spark.createDataFrame(rows, "model string, profile string, rmse double, mae double, r2 double, mape double, "
+    out = spark.createDataFrame(rows, "model string, rmse double, mae double, r2 double, mape double, "
                                       "fit_seconds double, params string")
     return out.orderBy("rmse")

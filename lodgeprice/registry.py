@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sqltext as S
-from .constants import KNN_FEATURES, REVIEW_COLUMNS
+from .constants import DEFAULT_AVERAGES, KNN_FEATURES, REVIEW_COLUMNS
 from .functions import encode as E
 from .functions import geo as G
 from .functions import rowstats as RS
@@ -581,9 +581,9 @@ union all select distinct 'neighbourhood', neighbourhood_group_cleansed from kep
 def g03_distinct_categories(spark, sf):
     from .plans.preprocess import clean
     k = clean(listings(spark, sf))
-    rows = [("room_type", v) for v in A.distinct_values(k, "room_type")] + [
-        ("neighbourhood", v) for v in A.distinct_values(k, "neighbourhood_group_cleansed")]
-    return spark.createDataFrame(rows, "field string, value string")
+    fields = {"room_type": "room_type", "neighbourhood": "neighbourhood_group_cleansed"}
+    parts = [A.distinct_table(k, c).select(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in fields.items()]
+    return parts[0].union(parts[1])
 
 
 @query("g04_top_property_types", f"""
@@ -1042,12 +1042,32 @@ def s05_defaults_cascade(spark, sf):
     from .sources import io
     from .session import scratch_path
     feat, _ = featured(spark, sf)
-    missing = scratch_path(spark, "no-stats-here")
-    return rnd(io.load_defaults(spark, missing, raw=listings(spark, sf), features=feat))
+    raw = listings(spark, sf)
+    path, missing = scratch_path(spark, "stats-json"), scratch_path(spark, "no-stats-here")
+    io.write_stats(A.safe_means(feat, raw), path)
+    levels = {"file": io.load_defaults(spark, path, raw), "raw": io.load_defaults(spark, missing, raw),
+              "constants": io.load_defaults(spark, missing)}
+    out = None
+    for level, table in levels.items():
+        table = table.withColumn("level", F.lit(level))
+        out = table if out is None else out.unionByName(table)
+    return rnd(out)
 
 
 ORACLE["s03_json_stats"] = _G1_SQL
-ORACLE["s05_defaults_cascade"] = _G1_SQL
+_RAW_MEANS = {k: f"avg({k})" for k in DEFAULT_AVERAGES} | {
+    "num_listings": "avg(host_total_listings_count)",
+    "bathrooms": "null",  # raw listings hold bathrooms as text only
+    "host_experience_days": "avg(datediff('day', try_cast(cast(host_since as varchar) as date), try_cast(last_scraped as date)))",
+}
+_RAW_SQL = fx.with_views(f"""
+select {", ".join(f"round(coalesce({e}, {DEFAULT_AVERAGES[k]}), 6) as {k}" for k, e in _RAW_MEANS.items())} from listings
+""")
+ORACLE["s05_defaults_cascade"] = f"""
+select 'file' as level, * from ({_G1_SQL})
+union all by name select 'raw' as level, * from ({_RAW_SQL})
+union all by name select 'constants' as level, {", ".join(f"{v}::double as {k}" for k, v in DEFAULT_AVERAGES.items())}
+"""
 
 
 # ---------------------------------------------------------------------------
@@ -1063,11 +1083,11 @@ def _model_data(spark, sf):
     return feat.persist(StorageLevel.MEMORY_AND_DISK), feature_columns(spec), spec
 
 
-def _bench_one(name: str, profile: str = "fast"):
+def _bench_one(name: str):
     def run(spark, sf):
         from .plans.models import benchmark
         feat, cols, _ = _model_data(spark, sf)
-        return rnd(benchmark(feat, cols, [name], profile=profile).drop("fit_seconds"))
+        return rnd(benchmark(feat, cols, [name]).drop("fit_seconds"))
     run.__name__ = f"bench_{name}"
     return run
 
@@ -1087,6 +1107,50 @@ for _key, _name in [
     QUERIES[_key] = _bench_one(_name)
 
 
+_LINE_SQL = f"""
+{S.kept_cte()},
+tr as (select * from kept where not ({SP.split_sql()})),
+te as (select * from kept where {SP.split_sql()}),
+line as (select regr_slope(price, accommodates) as a, regr_intercept(price, accommodates) as b,
+                regr_slope(price, coalesce(bedrooms, 1)) as a2, regr_intercept(price, coalesce(bedrooms, 1)) as b2 from tr)
+"""
+
+
+def _line_rows(spark, sf):
+    from .plans.preprocess import clean
+    return clean(listings(spark, sf)).select("id", "price", "accommodates", F.coalesce("bedrooms", F.lit(1.0)).alias("bedrooms"))
+
+
+@query("m02_regression_line", f"with {_LINE_SQL} select id, round(a * accommodates + b, 6) as prediction from te, line")
+def m02_regression_line(spark, sf):
+    """M2 on one feature: predictions of the test part against the closed form."""
+    from .plans.models import fit, predict
+    rows = _line_rows(spark, sf)
+    model = fit("linear_regression", SP.train_part(rows), ["accommodates"])
+    return rnd(predict(model, SP.test_part(rows), ["id"]))
+
+
+@query("m19_saved_models", f"""
+with {_LINE_SQL},
+p as (select 'by_guests' as model, price, a * accommodates + b as prediction from te, line
+      union all select 'by_bedrooms', price, a2 * coalesce(bedrooms, 1) + b2 from te, line)
+select model, count(*) as n, round(sqrt(avg((prediction - price) * (prediction - price))), 6) as rmse,
+  round(avg(abs(prediction - price)), 6) as mae from p group by model
+""")
+def m19_saved_models(spark, sf):
+    """M19 over models saved by S4; the third folder holds no model and is left out."""
+    from .plans.evaluate import evaluate_saved
+    from .plans.models import fit
+    from .session import scratch_path
+    from .sources import io
+    rows = _line_rows(spark, sf)
+    train = SP.train_part(rows)
+    paths = {name: io.save_model(fit("linear_regression", train, [col]), scratch_path(spark, "model"))
+             for name, col in [("by_guests", "accommodates"), ("by_bedrooms", "bedrooms")]}
+    paths["broken"] = scratch_path(spark, "no-model-here")
+    return rnd(evaluate_saved(paths, SP.test_part(rows)).select("model", "n", "rmse", "mae"))
+
+
 @query("m03_ridge_grid_search")
 def m03_ridge_grid_search(spark, sf):
     """M3 + M15: all 5 alphas, 5 stable folds, refit best, test KPIs."""
@@ -1128,8 +1192,7 @@ def m17_stacking(spark, sf):
     feat, cols, _ = _model_data(spark, sf)
     feat = feat.cache()
     train, test = SP.train_part(feat), SP.test_part(feat)
-    score = stack(train, cols, ["xgboost_improved", "catboost_tuned", "lightgbm_tuned", "xgboost_log_enhanced"],
-                  profile="smoke")
+    score = stack(train, cols, ["xgboost_improved", "catboost_tuned", "lightgbm_tuned", "xgboost_log_enhanced"])
     scored = score(test, ["id", "price"])
     return rnd(A.regression_kpis(scored).withColumn("model", F.lit("stacking_ensemble")))
 

@@ -4,8 +4,7 @@ options catalogue. Written files go to the shared checkpoint folder."""
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,28 +55,25 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATS_SCHEMA).json(path)
 
 
-def load_defaults(spark: SparkSession, stats_path: str | None, raw: DataFrame | None = None,
-                  features: DataFrame | None = None) -> DataFrame:
-    """Stats file -> else computed from data (G1) -> else the fixed constants.
+def load_defaults(spark: SparkSession, stats_path: str | None, raw: DataFrame | None = None) -> DataFrame:
+    """The stats file -> else means of the raw listings -> else the fixed constants.
 
-    Any failure on one level falls through to the next, as in the original;
-    missing keys are filled from the constants.
+    A missing or empty file and absent listings lead to the next level; any other
+    storage error is raised, so that it cannot change the defaults unseen. Missing
+    keys are filled from the constants.
     """
-    from ..operators.aggregates import safe_means
+    from ..operators.aggregates import raw_means
 
     table = None
     if stats_path:
         try:
-            t = read_stats(spark, stats_path)
-            if t.limit(1).count() == 1:
-                table = t
-        except Exception:  # noqa: BLE001 - fall through by design
-            table = None
-    if table is None and features is not None:
-        try:
-            table = safe_means(features, raw)
-        except Exception:  # noqa: BLE001
-            table = None
+            table = read_stats(spark, stats_path).limit(1)
+            table = None if table.isEmpty() else table
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if table is None and raw is not None:
+        table = raw_means(raw)
     if table is None:
         table = spark.createDataFrame([tuple(DEFAULT_AVERAGES.values())], STATS_SCHEMA)
     return table.select(*[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in DEFAULT_AVERAGES.items()])
@@ -140,6 +136,3 @@ def options(listings: DataFrame) -> DataFrame:
         .distinct()
     )
 
-
-def exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -88,3 +88,52 @@ def test_stack_learns_and_keeps_rows(spark):
     assert got.agg(F.max(F.abs(F.col("price") - F.col("prediction")))).first()[0] < 1.0
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_defaults_levels(spark, tmp_path):
+    import pytest
+
+    from lodgeprice.constants import DEFAULT_AVERAGES
+    from lodgeprice.sources import io
+
+    raw = spark.createDataFrame([("2020-01-01", "2020-01-11", 4.0), ("bad", "2020-01-11", None)],
+                                "host_since string, last_scraped string, beds double")
+    got = io.load_defaults(spark, str(tmp_path / "missing"), raw).first().asDict()
+    assert got == DEFAULT_AVERAGES | {"host_experience_days": 10.0, "beds": 4.0}
+    assert io.load_defaults(spark, None).first().asDict() == DEFAULT_AVERAGES
+    io.write_stats(spark.createDataFrame([(7.0,)], "beds double"), str(tmp_path / "stats"))
+    assert io.load_defaults(spark, str(tmp_path / "stats"), raw).first().asDict() == DEFAULT_AVERAGES | {"beds": 7.0}
+    with pytest.raises(Exception):
+        io.load_defaults(spark, "nosuchscheme://x/y", raw)
+
+
+def test_evaluate_saved_skips_broken_models(spark, tmp_path):
+    from lodgeprice.plans.evaluate import evaluate_saved
+    from lodgeprice.plans.models import fit
+    from lodgeprice.sources.io import save_model
+
+    df = spark.range(100).select("id", F.col("id").cast("double").alias("x"), (2.0 * F.col("id") + 1).alias("price"))
+    good = save_model(fit("linear_regression", df, ["x"]), str(tmp_path / "good"))
+    rows = evaluate_saved({"good": good, "broken": str(tmp_path / "none")}, df).collect()
+    assert [r.model for r in rows] == ["good"] and rows[0].rmse < 1e-6 and rows[0].n == 100
+    assert evaluate_saved({}, df).count() == 0
+
+
+def test_distinct_values_bound_is_an_error_and_the_table_has_none(spark):
+    import pytest
+
+    from lodgeprice.operators.aggregates import distinct_table, distinct_values
+
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "c string")
+    assert distinct_values(df, "c") == ["a", "b"]
+    assert distinct_table(df, "c").count() == 2
+    with pytest.raises(ValueError):
+        distinct_values(df, "c", most=1)
+
+
+def test_boosting_stops_by_validation(spark):
+    from lodgeprice.plans.models import fit
+
+    df = spark.range(600).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 10.0).alias("price"))
+    model = fit("sklearn_gbr", df, ["x"]).stages[-1]
+    assert 1 <= model.getNumTrees < 400
