@@ -227,8 +227,9 @@ def _block_links(pdf):
         # the estimate without its correction for chance is never lower
         ok &= (regs == r.regs).sum(axis=1) >= BUCKETS * (PERCENT / 100 - MARGIN)
         at = np.flatnonzero(ok)
-        shared = bands[at] == r.bands
-        at = at[bands[at, shared.argmax(axis=1)] == r.band]
+        # the pair counts in the shared bucket of the smallest key only, as in _cross_pairs
+        least = np.where(bands[at] == r.bands, bands[at], np.iinfo(np.int64).max).min(axis=1)
+        at = at[least == r.band]
         for j in at:
             common = len(np.intersect1d(r.shingles, two["shingles"].iat[j], assume_unique=True))
             if 100 * common >= PERCENT * (r.n_shingles + size[j] - common):

@@ -359,6 +359,32 @@ def test_near_duplicates_against_brute_force(spark, docs, monkeypatch):
         assert got == want
 
 
+def test_pairs_of_small_and_large_buckets_are_all_compared(spark):
+    """Every document its own component: the links found are all pairs that reach the threshold and share a bucket."""
+    rng = np.random.default_rng(12)
+    template, rows = [f"t{i}" for i in range(150)], []
+    for family, members in enumerate([3, 5, 9] * 16):
+        own = [f"f{family}w{i}" for i in range(50)]
+        for m in range(members):
+            w = template + own
+            for j in rng.integers(0, 200, 2):
+                w[j] = f"e{len(rows)}x{j}"
+            rows.append((len(rows), " ".join(w)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sig = common.written(minhash.signatures(table), "test-signatures")
+    keys = sig.selectExpr("doc_id as doc", "explode(bands) as band", "doc_id as component")
+    opened = common.written(minhash._open_rows(keys), "test-open")
+    sizes = [r.n for r in opened.select("band", "n").distinct().collect()]
+    assert min(sizes) <= minhash.SMALL < max(sizes)
+    got = minhash._remaining(opened, sig, table).collect()
+    bands = {r.doc_id: set(r.bands) for r in sig.collect()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2)
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and bands[a] & bands[b]}
+    assert len(want) > 20
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
 def test_estimate_is_near_the_true_similarity(spark):
     rng = np.random.default_rng(6)
     out = []
