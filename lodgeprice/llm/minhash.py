@@ -40,7 +40,7 @@ SHINGLE = 5
 BANDS, ROWS = 28, 5
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; this is op9's percentage.
 PERCENT = 85
 #: The estimate has a standard error of 0.03 near the threshold.
 MARGIN = 0.15
@@ -153,21 +153,21 @@ def estimate(ra: Column, rb: Column, na: Column, nb: Column) -> Column:
     return (same - chance) / BUCKETS
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a, b, na, nb``) whose full sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = written(full_sets(texts.join(ids, "doc_id")), "minhash-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.where(_reaches("sa", "sb", "na", "nb")).select("a", "b")
+    return both.where(_reaches("sa", "sb", "na", "nb", percent)).select("a", "b")
 
 
-def _close(pairs: DataFrame, regs: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs whose estimate is near the threshold or above, with set sizes."""
     side = lambda s: regs.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    possible = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    near = estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")) >= PERCENT / 100 - MARGIN
+    possible = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    near = estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")) >= percent / 100 - MARGIN
     return both.where(possible & near).select("a", "b", "na", "nb")
 
 
@@ -194,7 +194,7 @@ def _pivot_pairs(open_rows: DataFrame, turn: int) -> DataFrame:
     return outside.join(pivot, "band").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b"))
 
 
-def _cross_pairs(open_rows: DataFrame, reps: DataFrame) -> DataFrame:
+def _cross_pairs(open_rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Close pairs of different components that share one of the open buckets, each pair from one bucket only."""
     sides = reps.select(F.col("doc_id").alias("doc"), "n_shingles", "regs", "bands")
     rows = open_rows.select("band", "doc", "component").join(sides, "doc")
@@ -202,18 +202,18 @@ def _cross_pairs(open_rows: DataFrame, reps: DataFrame) -> DataFrame:
     na, nb = F.col("n_shingles_a"), F.col("n_shingles_b")
     met = side("a").join(side("b"), "band").where(
         (F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b"))
-        & (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb))
+        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
         & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band"))
-        & (estimate(F.col("regs_a"), F.col("regs_b"), na, nb) >= PERCENT / 100 - MARGIN))
+        & (estimate(F.col("regs_a"), F.col("regs_b"), na, nb) >= percent / 100 - MARGIN))
     return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), na.alias("na"), nb.alias("nb"))
 
 
-def _reaches(sa, sb, na, nb):
+def _reaches(sa, sb, na, nb, percent):
     common = F.size(F.array_intersect(sa, sb))
-    return 100 * common >= PERCENT * (F.col(na) + F.col(nb) - common)
+    return 100 * common >= percent * (F.col(na) + F.col(nb) - common)
 
 
-def _block_links(pdf):
+def _block_links(pdf, percent):
     """Links across components between the two blocks of one bucket that ``pdf`` holds."""
     lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
     one, two = pdf[pdf["own"] == lo].reset_index(drop=True), pdf[pdf["own"] == hi].reset_index(drop=True)
@@ -221,23 +221,23 @@ def _block_links(pdf):
     comp, doc, size = two["component"].to_numpy(), two["doc"].to_numpy(), two["n_shingles"].to_numpy()
     out = []
     for r in one.itertuples(index=False):
-        ok = (comp != r.component) & (100 * np.minimum(size, r.n_shingles) >= PERCENT * np.maximum(size, r.n_shingles))
+        ok = (comp != r.component) & (100 * np.minimum(size, r.n_shingles) >= percent * np.maximum(size, r.n_shingles))
         if lo == hi:
             ok &= doc > r.doc
         # the estimate without its correction for chance is never lower
-        ok &= (regs == r.regs).sum(axis=1) >= BUCKETS * (PERCENT / 100 - MARGIN)
+        ok &= (regs == r.regs).sum(axis=1) >= BUCKETS * (percent / 100 - MARGIN)
         at = np.flatnonzero(ok)
         # the pair counts in the shared bucket of the smallest key only, as in _cross_pairs
         least = np.where(bands[at] == r.bands, bands[at], np.iinfo(np.int64).max).min(axis=1)
         at = at[least == r.band]
         for j in at:
             common = len(np.intersect1d(r.shingles, two["shingles"].iat[j], assume_unique=True))
-            if 100 * common >= PERCENT * (r.n_shingles + size[j] - common):
+            if 100 * common >= percent * (r.n_shingles + size[j] - common):
                 out.append((r.doc, doc[j]))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _remaining(open_rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _remaining(open_rows: DataFrame, reps: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All links across components in the open buckets.
 
     Pairs of small buckets are at most ``SMALL`` per row and are verified like
@@ -245,7 +245,7 @@ def _remaining(open_rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataF
     bounded size with their full sets, and only links leave it.
     """
     few = open_rows.where(F.col("n") <= SMALL)
-    out = _verified(written(_cross_pairs(few, reps).distinct(), "minhash-pairs"), texts)
+    out = _verified(written(_cross_pairs(few, reps, percent).distinct(), "minhash-pairs"), texts, percent)
     many = open_rows.where(F.col("n") > SMALL).select("band", "doc", "component", "n")
     sets = full_sets(texts.join(many.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     sides = reps.select("doc_id", "n_shingles", "regs", "bands").join(sets, "doc_id").withColumnRenamed("doc_id", "doc")
@@ -255,11 +255,12 @@ def _remaining(open_rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataF
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns(
         {"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "n")
     kind = reps.schema["doc_id"].dataType.simpleString()
-    return out.union(rows.groupBy("band", "lo", "hi").applyInPandas(_block_links, f"a {kind}, b {kind}"))
+    blocks_met = rows.groupBy("band", "lo", "hi").applyInPandas(lambda pdf: _block_links(pdf, percent), f"a {kind}, b {kind}")
+    return out.union(blocks_met)
 
 
-def links(docs: DataFrame, sig: DataFrame) -> DataFrame:
-    """Links ``a, b`` whose components are those of all pairs that reach the threshold."""
+def links(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links ``a, b`` whose components are those of all pairs that reach ``percent``."""
     live = sig.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("doc_id"))
     reps = live.join(classes, ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi")
@@ -271,8 +272,8 @@ def links(docs: DataFrame, sig: DataFrame) -> DataFrame:
     texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "minhash-texts")
 
     pairs = active.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-    close = written(_close(pairs, reps), "minhash-pairs")
-    found = written(_verified(close, texts), "minhash-links")
+    close = written(_close(pairs, reps, percent), "minhash-pairs")
+    found = written(_verified(close, texts, percent), "minhash-links")
     turn = 0
     while True:
         rows = _labelled(active.select("band", "doc"), connected(found))
@@ -284,15 +285,15 @@ def links(docs: DataFrame, sig: DataFrame) -> DataFrame:
         if work["cross"] <= FEW * work["rows"] or turn == TURNS:
             break
         turn += 1
-        close = written(_close(_pivot_pairs(rows, turn), reps), "minhash-pairs")
-        found = written(found.union(_verified(close, texts)).distinct(), "minhash-links")
-    return written(found.union(_remaining(rows, reps, texts)).distinct(), "minhash-links")
+        close = written(_close(_pivot_pairs(rows, turn), reps, percent), "minhash-pairs")
+        found = written(found.union(_verified(close, texts, percent)).distinct(), "minhash-links")
+    return written(found.union(_remaining(rows, reps, texts, percent)).distinct(), "minhash-links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``."""
     sig = written(signatures(docs), "minhash-signatures")
-    comp = connected(links(docs, sig))
+    comp = connected(links(docs, sig, percent))
     live = sig.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -305,7 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near duplicates, columns unchanged."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(*docs.columns)

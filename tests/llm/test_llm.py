@@ -476,6 +476,25 @@ def test_stages_keep_columns(spark, odd, none, tmp_path):
                 assert rows == table.count()
 
 
+def test_keep_one_links_from_the_given_percentage(spark):
+    rng = np.random.default_rng(8)
+    rows, want, between = [], set(), 0
+    for k in range(40):
+        a = [f"d{k}w{i}" for i in range(200)]
+        b = list(a)
+        for j in rng.choice(40, rng.integers(3, 7), replace=False):
+            b[5 * j] = f"d{k}e{j}"
+        sets = [{tuple(w[j:j + 5]) for j in range(196)} for w in (a, b)]
+        common_, union = len(sets[0] & sets[1]), len(sets[0] | sets[1])
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want |= {2 * k} if 100 * common_ >= 80 * union else {2 * k, 2 * k + 1}
+        between += 80 * union <= 100 * common_ < 85 * union
+    assert between > 3 and len(want) > 45
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.keep_one(table, 80)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
 
