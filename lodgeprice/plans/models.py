@@ -12,9 +12,9 @@ ordered boosting, so those settings of the original configurations have no
 equivalent; depth, rounds, step size, row and column sampling are mapped.
 Published RMSE numbers of those libraries are not claimed.
 
-Boosting runs the original number of rounds and stops earlier only when a
-tenth of the training rows (a hash of the id) no longer improves, so the data
-decide, not a setting.
+Boosting always runs the original number of rounds; the model then keeps the
+number of trees whose error is lowest on a tenth of the training rows (a hash
+of the id), which the trees were not fitted on.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ import time
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
+    DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -45,8 +45,6 @@ SEED = SPLIT_SEED
 # per-task split-statistics buffer of the tree learners: every concurrent task allocates up to this much,
 # so keep it small (more passes over the data instead of a large heap per task)
 TREE_MEM_MB = 32
-# relative improvement of the validation error below which boosting stops (Spark's default)
-VALIDATION_TOL = 0.01
 
 
 @dataclass
@@ -81,18 +79,46 @@ def _forest(n, ystd):
                                  maxBins=128, seed=SEED, maxMemoryInMB=TREE_MEM_MB)
 
 
+def _first_trees(model: GBTRegressionModel, m: int) -> GBTRegressionModel:
+    """The same boosted model with its first ``m`` trees only."""
+    jvm, gateway = SparkContext._active_spark_context._jvm, SparkContext._active_spark_context._gateway
+    package = jvm.org.apache.spark.ml.regression
+    trees, weights = gateway.new_array(package.DecisionTreeRegressionModel, m), gateway.new_array(jvm.double, m)
+    old = model._java_obj.trees()
+    for i, w in enumerate(model.treeWeights[:m]):
+        trees[i], weights[i] = old[i], w
+    out = GBTRegressionModel(package.GBTRegressionModel(model.uid, trees, weights, model.numFeatures))
+    model._copyValues(out)._transfer_params_to_java()
+    return out
+
+
+class BestLengthGBT(GBTRegressor):
+    """Fits every round on the rows outside ``is_validation``, then keeps the length that is best on those inside."""
+
+    def _fit(self, dataset: DataFrame) -> GBTRegressionModel:
+        model = super()._fit(dataset.where("not is_validation"))
+        held = dataset.where("is_validation")
+        if held.isEmpty():
+            return model
+        errors = model.evaluateEachIteration(held, "squared")
+        return _first_trees(model, min(range(len(errors)), key=errors.__getitem__) + 1)
+
+
+def n_trees(model: PipelineModel) -> int | None:
+    """Number of trees of the fitted estimator; None if it is no ensemble."""
+    return next((s.getNumTrees for s in model.stages if hasattr(s, "getNumTrees")), None)
+
+
 def _gbt(rounds, step, depth, subsample=1.0, features="all", min_inst=1, bins=128):
     def make(n, ystd):
-        # stops when the validation part no longer improves (tolerance based in Spark, not patience based)
-        return GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=depth, subsamplingRate=subsample,
-                            featureSubsetStrategy=features, minInstancesPerNode=min_inst, maxBins=bins,
-                            validationIndicatorCol="is_validation", validationTol=VALIDATION_TOL, seed=SEED,
-                            maxMemoryInMB=TREE_MEM_MB)
+        return BestLengthGBT(maxIter=rounds, stepSize=step, maxDepth=depth, subsamplingRate=subsample,
+                             featureSubsetStrategy=features, minInstancesPerNode=min_inst, maxBins=bins, seed=SEED,
+                             maxMemoryInMB=TREE_MEM_MB)
     return make
 
 
 def _with_validation(train: DataFrame) -> DataFrame:
-    """Mark a tenth of the rows, by a hash of the id, for the early stop of boosting."""
+    """Mark a tenth of the rows, by a hash of the id, for the length of boosting."""
     return train.withColumn("is_validation", F.pmod(F.xxhash64("id"), F.lit(10)) == 0)
 
 
@@ -213,7 +239,8 @@ def stack(train: DataFrame, features: list[str], bases: list[str], label: str =
 
     Base predictions are chained onto the same rows, and the meta table is
     written once for the search. Of the independent base fits, ``parallelism``
-    run at a time. Returns ``score(df, keep) -> keep, prediction``.
+    run at a time. Returns ``score(df, keep) -> keep, prediction``, whose ``trees``
+    holds the number of trees of each base.
     """
     data = train.withColumn("fold", fold_of("id", folds)).persist()
     names = {b: f"p_{b}" for b in bases}
@@ -242,6 +269,7 @@ def stack(train: DataFrame, features: list[str], bases: list[str], label: str =
             df = _with_prediction(m, df, names[b])
         return predict(meta, df, keep)
 
+    score.trees = {b: n_trees(m) for b, m in full.items()}
     return score
 
 
@@ -261,9 +289,9 @@ def benchmark(features_df: DataFrame, features: list[str], names: list[str], lab
         secs = time.time() - t0
         k = regression_kpis(predict(model, test, ["id", label]), y=label).first()
         rows.append((name, float(k["rmse"]), float(k["mae"]), float(k["r2"]), float(k["mape"]), secs,
-                     str(params)))
+                     str(params), n_trees(model)))
     train.unpersist()
     test.unpersist()
     out = spark.createDataFrame(rows, "model string, rmse double, mae double, r2 double, mape double, "
-                                      "fit_seconds double, params string")
+                                      "fit_seconds double, params string, n_trees int")
     return out.orderBy("rmse")

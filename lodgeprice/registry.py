@@ -1194,7 +1194,7 @@ def m17_stacking(spark, sf):
     train, test = SP.train_part(feat), SP.test_part(feat)
     score = stack(train, cols, ["xgboost_improved", "catboost_tuned", "lightgbm_tuned", "xgboost_log_enhanced"])
     scored = score(test, ["id", "price"])
-    return rnd(A.regression_kpis(scored).withColumn("model", F.lit("stacking_ensemble")))
+    return rnd(A.regression_kpis(scored).withColumns({"model": F.lit("stacking_ensemble"), "n_trees": F.lit(str(score.trees))}))
 
 
 @query("m18_benchmark_leaderboard")

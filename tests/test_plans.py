@@ -137,3 +137,20 @@ def test_boosting_stops_by_validation(spark):
     df = spark.range(600).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 10.0).alias("price"))
     model = fit("sklearn_gbr", df, ["x"]).stages[-1]
     assert 1 <= model.getNumTrees < 400
+
+
+def test_boosting_runs_its_rounds_and_keeps_the_best_length(spark):
+    from lodgeprice.plans.models import BestLengthGBT, _with_validation, benchmark, fit
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(900).select("id", (F.col("id") % 31).cast("double").alias("x"), (F.col("id") % 29).cast("double").alias("z"))
+    df = df.withColumn("price", 100 + 3 * F.col("x") + 2 * F.col("z") + F.col("x") * F.col("z") / 8).cache()
+    model = fit("xgboost_improved", df, ["x", "z"], params={"maxIter": 30}).stages[-1]
+    assert model.getNumTrees == 30  # every round still lowers the error of such data
+    rows = _with_validation(VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(df))
+    noisy = rows.withColumn("price", F.col("price") + 300 * F.randn(3)).cache()
+    short = BestLengthGBT(labelCol="price", maxIter=12, stepSize=0.9, maxDepth=6, seed=1).fit(noisy)
+    errors = short.evaluateEachIteration(noisy.where("is_validation"), "squared")
+    assert short.getNumTrees < 12 and min(errors) == errors[-1] and short.getFeaturesCol() == "features"
+    assert short.transform(noisy).select("prediction").distinct().count() > 1
+    assert benchmark(df, ["x", "z"], ["decision_tree"]).first().n_trees is None
