@@ -75,7 +75,7 @@ def _tree(n, ystd):
 
 
 def _forest(n, ystd):
-    return RandomForestRegressor(numTrees=40, maxDepth=10, minInstancesPerNode=1, featureSubsetStrategy="all",
+    return RandomForestRegressor(numTrees=200, maxDepth=15, minInstancesPerNode=1, featureSubsetStrategy="all",
                                  maxBins=128, seed=SEED, maxMemoryInMB=TREE_MEM_MB)
 
 
@@ -136,7 +136,9 @@ CANDIDATES: dict[str, Candidate] = {c.name: c for c in [
     Candidate("lightgbm_tuned", _gbt(900, 0.05, 6, 0.85, "0.85")),
     Candidate("catboost_tuned", _gbt(700, 0.05, 8)),
     Candidate("sklearn_gbr", _gbt(400, 0.05, 4, 0.9, "sqrt", 2)),
-    Candidate("histgb_tuned", _gbt(400, 0.1, 8, min_inst=10, bins=256)),
+    Candidate("histgb_tuned", _gbt(400, 0.1, 12, min_inst=10, bins=256), grid={
+        "maxIter": [200, 400, 600, 800], "stepSize": [0.03, 0.05, 0.08, 0.1], "maxDepth": [6, 8, 10, 12],
+        "minInstancesPerNode": [10, 20, 30]}),
 ]}
 
 

@@ -154,3 +154,25 @@ def test_boosting_runs_its_rounds_and_keeps_the_best_length(spark):
     assert short.getNumTrees < 12 and min(errors) == errors[-1] and short.getFeaturesCol() == "features"
     assert short.transform(noisy).select("prediction").distinct().count() > 1
     assert benchmark(df, ["x", "z"], ["decision_tree"]).first().n_trees is None
+
+
+def test_forest_and_histogram_boosting_are_searched_over_the_original_grids(spark, monkeypatch):
+    from lodgeprice import registry
+    from lodgeprice.plans import models
+
+    forest, histgb = (models.CANDIDATES[n].make(1, 1.0) for n in ("random_forest", "histgb_tuned"))
+    assert (forest.getNumTrees(), forest.getMaxDepth(), histgb.getMaxDepth(), histgb.getMaxIter()) == (200, 15, 12, 400)
+    seen = []
+
+    def searched(feat, cols, names, search=False):
+        seen.append((*names, search, len(models.grid_points(models.CANDIDATES[names[0]].grid, models.SEARCH_ITER))))
+        raise StopIteration
+
+    monkeypatch.setattr(models, "benchmark", searched)
+    monkeypatch.setattr(registry, "_model_data", lambda spark, sf: (None, [], None))
+    for key in ("m07_random_forest", "m09_histogram_boosting"):
+        try:
+            registry.QUERIES[key](None, "")
+        except StopIteration:
+            pass
+    assert seen == [("random_forest", True, 12), ("histgb_tuned", True, 12)]
