@@ -17,13 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import KNN_FEATURES, SIMILAR_K
+from ..constants import CV_FOLDS, KNN_FEATURES, SIMILAR_K
 from ..functions.text import first_number, money
 from .filters import complete_knn_rows
 from .quantiles import exact_medians
+from .split import fold_of
 
 MAX_QUERY_ROWS = 20_000  # rows of the query side broadcast per pass (x ~80 doubles -> ~13 MB)
 
+# the original grid of the regressor
+KNN_KS, KNN_WEIGHTS, KNN_PS = (3, 5, 7, 10, 15), ("uniform", "distance"), (1, 2)
+
 
 def knn_table(raw: DataFrame) -> DataFrame:
     """P6 input: id + the 7 similarity features from raw listings (outliers included), no nulls."""
@@ -108,6 +112,26 @@ def similar_ids(raw: DataFrame, focus: DataFrame, k: int = SIMILAR_K, focus_id:
     return nearest(zf, zb, KNN_FEATURES, k, qid="qid", cid="id").withColumnRenamed("qid", focus_id)
 
 
+def _neighbours(train: DataFrame, test: DataFrame, features: list[str], k: int, p: int, label: str, id_col: str) -> DataFrame:
+    """``qid, dist, rank, label``: z-scored on train, the k nearest train rows of each test row."""
+    stats = zscore_stats(train, features)
+    zt = zscore(train, stats, [id_col, label])
+    zq = zscore(test, stats, [id_col])
+    nn = nearest(zq.withColumnRenamed(id_col, "qid"), zt, features, k, qid="qid", cid=id_col, p=p)
+    return nn.join(zt.select(id_col, label), id_col).select("qid", "dist", "rank", label)
+
+
+def _estimate(k: int, weights: str, label: str) -> Column:
+    """Aggregate over a row's neighbours: the prediction of the first ``k``."""
+    use = F.col("rank") <= k
+    if weights == "uniform":
+        return F.avg(F.when(use, F.col(label)))
+    zero = use & (F.col("dist") == 0)
+    near = F.when(use & (F.col("dist") > 0), F.lit(1.0) / F.col("dist"))
+    return F.when(F.max(zero.cast("int")) == 1, F.avg(F.when(zero, F.col(label)))).otherwise(
+        F.sum(F.col(label) * near) / F.sum(near))
+
+
 def knn_regress(train: DataFrame, test: DataFrame, features: list[str], k: int = 5, weights: str = "uniform",
                 p: int = 2, label: str = "price", id_col: str = "id") -> DataFrame:
     """M5: z-score on train, k nearest train rows per test row, uniform or 1/distance weighted mean.
@@ -115,15 +139,32 @@ def knn_regress(train: DataFrame, test: DataFrame, features: list[str], k: int =
     With ``distance`` weights, a test row with zero-distance neighbours gets the
     mean label of those neighbours (as the original estimator does).
     """
-    stats = zscore_stats(train, features)
-    zt = zscore(train, stats, [id_col, label])
-    zq = zscore(test, stats, [id_col])
-    nn = nearest(zq.withColumnRenamed(id_col, "qid"), zt, features, k, qid="qid", cid=id_col, p=p)
-    labelled = nn.join(zt.select(id_col, label), id_col)
-    if weights == "uniform":
-        pred = F.avg(label)
-    else:
-        zero = F.col("dist") == 0
-        pred = F.when(F.max(zero.cast("int")) == 1, F.avg(F.when(zero, F.col(label)))).otherwise(
-            F.sum(F.col(label) / F.col("dist")) / F.sum(F.lit(1.0) / F.col("dist")))
-    return labelled.groupBy("qid").agg(pred.alias("prediction")).withColumnRenamed("qid", id_col)
+    near = _neighbours(train, test, features, k, p, label, id_col)
+    return near.groupBy("qid").agg(_estimate(k, weights, label).alias("prediction")).withColumnRenamed("qid", id_col)
+
+
+def knn_search(train: DataFrame, features: list[str], ks=KNN_KS, weights=KNN_WEIGHTS, ps=KNN_PS, folds: int = CV_FOLDS,
+               label: str = "price", id_col: str = "id") -> tuple[dict, float]:
+    """M15 for M5: the grid point of the lowest mean RMSE over the stable folds, and that RMSE.
+
+    Every fold finds its neighbours once per ``p``, for the largest k; all k and
+    weights are read off the same neighbours. Ties go to the first point.
+    """
+    points = [(k, w) for k in ks for w in weights]
+    data = train.withColumn("_fold", fold_of(id_col, folds)).persist()
+    scores = {}
+    for p in ps:
+        per_fold = []
+        for f in range(folds):
+            part = data.where(F.col("_fold") == f)
+            near = _neighbours(data.where(F.col("_fold") != f), part, features, max(ks), p, label, id_col)
+            guess = near.groupBy("qid").agg(*[_estimate(k, w, label).alias(f"g{i}") for i, (k, w) in enumerate(points)])
+            both = guess.join(part.select(F.col(id_col).alias("qid"), F.col(label).alias("_y")), "qid")
+            row = both.agg(*[F.sqrt(F.avg((F.col(f"g{i}") - F.col("_y")) ** 2)) for i in range(len(points))]).first()
+            per_fold.append(row)
+        for i, (k, w) in enumerate(points):
+            errors = [row[i] for row in per_fold if row[i] is not None]
+            scores[k, w, p] = sum(errors) / len(errors)
+    data.unpersist()
+    k, w, p = min(scores, key=scores.get)
+    return {"k": k, "weights": w, "p": p}, scores[k, w, p]

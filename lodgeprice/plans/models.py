@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CV_FOLDS, SEARCH_ITER, SPLIT_SEED
 from ..operators.aggregates import regression_kpis
+from ..operators.knn import knn_regress, knn_search
 from ..operators.split import fold_of, is_test
 from ..sources.io import parquet_roundtrip
 
@@ -122,6 +123,14 @@ def _with_validation(train: DataFrame) -> DataFrame:
     return train.withColumn("is_validation", F.pmod(F.xxhash64("id"), F.lit(10)) == 0)
 
 
+def _boost_grid(rounds, steps, depths, samples, features=None, min_inst=None) -> dict:
+    """The original boosters' grids as far as Spark has the parameter (no leaf penalties, leaf counts, child weights)."""
+    grid = {"maxIter": rounds, "stepSize": steps, "maxDepth": depths, "subsamplingRate": samples}
+    return grid | ({"featureSubsetStrategy": features} if features else {}) | ({"minInstancesPerNode": min_inst} if min_inst else {})
+
+
+_XGB_SAMPLES = ([0.85, 0.9, 0.95], ["0.85", "0.9", "0.95"])
+
 CANDIDATES: dict[str, Candidate] = {c.name: c for c in [
     Candidate("linear_regression", _linear, scale=True),
     Candidate("ridge", _ridge, scale=True, grid={"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]}),
@@ -130,17 +139,27 @@ CANDIDATES: dict[str, Candidate] = {c.name: c for c in [
     Candidate("decision_tree", _tree, grid={"maxDepth": [5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]}),
     Candidate("random_forest", _forest, grid={"numTrees": [100, 200, 300], "maxDepth": [10, 15, 20],
                                               "minInstancesPerNode": [1, 2]}),
-    Candidate("xgboost_tuned", _gbt(1200, 0.04, 7, 0.9, "0.9")),
-    Candidate("xgboost_log_enhanced", _gbt(1300, 0.03, 7, 0.9, "0.9"), log_target=True),
-    Candidate("xgboost_improved", _gbt(1400, 0.028, 7, 0.9, "0.9")),
-    Candidate("lightgbm_tuned", _gbt(900, 0.05, 6, 0.85, "0.85")),
-    Candidate("catboost_tuned", _gbt(700, 0.05, 8)),
+    Candidate("xgboost_tuned", _gbt(1200, 0.04, 7, 0.9, "0.9"),
+              grid=_boost_grid([1000, 1200, 1400], [0.03, 0.04, 0.05], [6, 7, 8], *_XGB_SAMPLES)),
+    Candidate("xgboost_log_enhanced", _gbt(1300, 0.03, 7, 0.9, "0.9"), log_target=True,
+              grid=_boost_grid([1100, 1300, 1500], [0.025, 0.03, 0.035], [6, 7, 8], *_XGB_SAMPLES)),
+    Candidate("xgboost_improved", _gbt(1400, 0.028, 7, 0.9, "0.9"),
+              grid=_boost_grid([1200, 1400, 1600], [0.026, 0.028, 0.03], [6, 7, 8], *_XGB_SAMPLES)),
+    Candidate("lightgbm_tuned", _gbt(900, 0.05, 6, 0.85, "0.85"),
+              grid=_boost_grid([700, 900, 1100], [0.03, 0.05, 0.07], [5, 6, 7], [0.8, 0.85, 0.9], ["0.8", "0.85", "0.9"], [10, 15, 20])),
+    Candidate("catboost_tuned", _gbt(700, 0.05, 8), grid=_boost_grid([600, 800, 1000], [0.03, 0.05, 0.07], [6, 8, 10], [0.8, 0.9, 1.0])),
     Candidate("sklearn_gbr", _gbt(400, 0.05, 4, 0.9, "sqrt", 2)),
     Candidate("histgb_tuned", _gbt(400, 0.1, 12, min_inst=10, bins=256), grid={
         "maxIter": [200, 400, 600, 800], "stepSize": [0.03, 0.05, 0.08, 0.1], "maxDepth": [6, 8, 10, 12],
         "minInstancesPerNode": [10, 20, 30]}),
 ]}
 
+STACK_BASES = ["xgboost_improved", "catboost_tuned", "lightgbm_tuned", "xgboost_log_enhanced"]
+#: The original benchmark's candidates and its stack, without the MLP (M13, not built).
+BENCHMARK = ["linear_regression", "ridge", "lasso", "knn", "decision_tree", "random_forest", "xgboost_tuned",
+             "xgboost_log_enhanced", "xgboost_improved", "lightgbm_tuned", "catboost_tuned", "sklearn_gbr", "histgb_tuned",
+             "stacking_ensemble"]
+
 
 def _pipeline(c: Candidate, features: list[str], label: str, n: int, ystd: float, est=None) -> Pipeline:
     stages = [VectorAssembler(inputCols=features, outputCol="raw_features" if c.scale else "features")]
@@ -236,13 +255,14 @@ def _with_prediction(model: PipelineModel, df: DataFrame, name: str) -> DataFram
 
 
 def stack(train: DataFrame, features: list[str], bases: list[str], label: str = "price",
-          folds: int = CV_FOLDS, alphas: tuple = (0.1, 1.0, 5.0), parallelism: int = 4):
+          folds: int = CV_FOLDS, alphas: tuple = (0.1, 1.0, 5.0), parallelism: int = 4,
+          params: dict | None = None):
     """Out-of-fold base predictions + passthrough inputs -> ridge meta model (alpha by CV, inputs unscaled).
 
     Base predictions are chained onto the same rows, and the meta table is
     written once for the search. Of the independent base fits, ``parallelism``
     run at a time. Returns ``score(df, keep) -> keep, prediction``, whose ``trees``
-    holds the number of trees of each base.
+    holds the number of trees of each base. ``params`` holds settings by base.
     """
     data = train.withColumn("fold", fold_of("id", folds)).persist()
     names = {b: f"p_{b}" for b in bases}
@@ -250,7 +270,7 @@ def stack(train: DataFrame, features: list[str], bases: list[str], label: str =
 
     def fit_one(job):
         k, b = job
-        return fit(b, data if k is None else data.where(F.col("fold") != k), features, label)
+        return fit(b, data if k is None else data.where(F.col("fold") != k), features, label, (params or {}).get(b))
 
     with ThreadPool(parallelism) as pool:
         fitted = dict(zip(jobs, pool.map(inheritable_thread_target(data.sparkSession)(fit_one), jobs)))
@@ -277,21 +297,34 @@ def stack(train: DataFrame, features: list[str], bases: list[str], label: str =
 
 def benchmark(features_df: DataFrame, features: list[str], names: list[str], label: str = "price",
               search: bool = False) -> DataFrame:
-    """Fit every candidate on the training part, score the test part, KPI table sorted by RMSE."""
+    """Fit every candidate on the training part, score the test part, KPI table sorted by RMSE.
+
+    ``knn`` is always searched; ``stacking_ensemble`` stacks ``STACK_BASES`` with the settings found before it.
+    """
     spark = features_df.sparkSession
     train = features_df.where(~is_test("id")).persist()
     test = features_df.where(is_test("id")).persist()
-    rows = []
+    rows, found = [], {}
     for name in names:
         t0 = time.time()
-        if search and CANDIDATES[name].grid:
+        model = None
+        if name == "knn":
+            params, _ = knn_search(train, features, ps=(2,), label=label)
+            scored = knn_regress(train, test, features, label=label, **params).join(test.select("id", label), "id")
+        elif name == "stacking_ensemble":
+            score, params = stack(train, features, STACK_BASES, label, params=found), {}
+            scored = score(test, ["id", label])
+        elif search and CANDIDATES[name].grid:
             model, params, _ = cv_search(name, train, features, label)
         else:
             model, params = fit(name, train, features, label), {}
         secs = time.time() - t0
-        k = regression_kpis(predict(model, test, ["id", label]), y=label).first()
+        found[name] = params
+        if model is not None:
+            scored = predict(model, test, ["id", label])
+        k = regression_kpis(scored, y=label).first()
         rows.append((name, float(k["rmse"]), float(k["mae"]), float(k["r2"]), float(k["mape"]), secs,
-                     str(params), n_trees(model)))
+                     str(params), n_trees(model) if model is not None else None))
     train.unpersist()
     test.unpersist()
     out = spark.createDataFrame(rows, "model string, rmse double, mae double, r2 double, mape double, "

@@ -1168,21 +1168,22 @@ def m04_lasso_grid_search(spark, sf):
 
 @query("m16_random_search")
 def m16_random_search(spark, sf):
-    """12 seeded draws of the tree grid (all of it here), 5 folds, refit best, test KPIs."""
+    """12 seeded draws of the tree grid (all of it) and of the forest grid (18), 5 folds, refit best, test KPIs."""
     from .plans.models import benchmark
     feat, cols, _ = _model_data(spark, sf)
-    return rnd(benchmark(feat, cols, ["decision_tree"], search=True).drop("fit_seconds"))
+    return rnd(benchmark(feat, cols, ["decision_tree", "random_forest"], search=True).drop("fit_seconds"))
 
 
 @query("m05_knn_regressor")
 def m05_knn_regressor(spark, sf):
-    """M5: z-scored features, k = 5 nearest training rows, uniform weights; test KPIs."""
-    from .operators.knn import knn_regress
+    """M5 + M15: z-scored features, k x weights x p grid over 5 stable folds, test KPIs of the best."""
+    from .operators.knn import knn_regress, knn_search
     feat, cols, _ = _model_data(spark, sf)
     train, test = SP.train_part(feat), SP.test_part(feat)
-    pred = knn_regress(train, test, cols, k=5, weights="uniform")
+    best, _ = knn_search(train, cols)
+    pred = knn_regress(train, test, cols, **best)
     scored = pred.join(test.select("id", "price"), "id")
-    return rnd(A.regression_kpis(scored).withColumn("model", F.lit("knn")))
+    return rnd(A.regression_kpis(scored).withColumns({"model": F.lit("knn"), "params": F.lit(str(best))}))
 
 
 @query("m17_stacking")
@@ -1199,10 +1200,10 @@ def m17_stacking(spark, sf):
 
 @query("m18_benchmark_leaderboard")
 def m18_benchmark_leaderboard(spark, sf):
-    """M18 + O2 + G11: candidates fitted on train, KPIs on test, sorted, gap to the best."""
-    from .plans.models import benchmark
+    """M18 + O2 + G11: all candidates searched on train, the stack, KPIs on test, sorted, gap to the best."""
+    from .plans.models import BENCHMARK, benchmark
     feat, cols, _ = _model_data(spark, sf)
-    board = benchmark(feat.cache(), cols, ["linear_regression", "ridge", "lasso", "decision_tree", "histgb_tuned"])
+    board = benchmark(feat.cache(), cols, BENCHMARK, search=True)
     best = board.agg(F.min("rmse")).first()[0]
     return rnd(board.drop("fit_seconds").withColumn("pct_over_best", (F.col("rmse") / F.lit(best) - 1) * 100))
 

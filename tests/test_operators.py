@@ -140,3 +140,39 @@ def test_similar_ids_single_listing(spark):
     focus = spark.createDataFrame([(7, 52.5, None)], "qid long, latitude double, longitude double")
     got = [r.id for r in similar_ids(raw, focus).collect()]
     assert got == [1]
+
+
+def test_knn_search_against_brute_force(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lodgeprice.operators.knn import knn_search
+    from lodgeprice.operators.split import fold_of
+
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.integers(0, 12, 2)), float(rng.integers(50, 90))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, price double")
+    fold = {r.id: r.f for r in df.select("id", fold_of("id", 2).alias("f")).collect()}
+    scores = {}
+    for p in (1, 2):
+        for k in (2, 5):
+            for w in ("uniform", "distance"):
+                per = []
+                for f in (0, 1):
+                    tr, te = (np.array([r for r in rows if (fold[r[0]] == f) == x]) for x in (False, True))
+                    m, s = tr[:, 1:3].mean(0), tr[:, 1:3].std(0)
+                    errors = []
+                    for t in te:
+                        d = (np.abs((tr[:, 1:3] - m) / s - (t[1:3] - m) / s) ** p).sum(1) ** (1 / p)
+                        at = np.lexsort((tr[:, 0], d.round(12)))[:k]
+                        y, d = tr[at, 3], d[at]
+                        if w == "uniform":
+                            guess = y.mean()
+                        else:
+                            guess = y[d == 0].mean() if (d == 0).any() else (y / d).sum() / (1 / d).sum()
+                        errors.append((guess - t[3]) ** 2)
+                    per.append(np.sqrt(np.mean(errors)))
+                scores[k, w, p] = np.mean(per)
+    best, rmse = knn_search(df, ["a", "b"], ks=(2, 5), folds=2)
+    assert (best["k"], best["weights"], best["p"]) == min(scores, key=scores.get)
+    assert abs(rmse - min(scores.values())) < 0.2

@@ -176,3 +176,20 @@ def test_forest_and_histogram_boosting_are_searched_over_the_original_grids(spar
         except StopIteration:
             pass
     assert seen == [("random_forest", True, 12), ("histgb_tuned", True, 12)]
+
+
+def test_leaderboard_holds_knn_and_the_stack(spark, monkeypatch):
+    from lodgeprice.plans import models
+
+    assert len(models.BENCHMARK) == 14 and set(models.BENCHMARK) - {"knn", "stacking_ensemble"} == set(models.CANDIDATES) - {"ridge_unscaled"}
+    for name in models.BENCHMARK:
+        if name in models.STACK_BASES:
+            points = models.grid_points(models.CANDIDATES[name].grid)
+            assert len(points) > models.SEARCH_ITER
+            models._estimator(models.CANDIDATES[name], 1, 1.0, points[0])
+    monkeypatch.setattr(models, "STACK_BASES", ["decision_tree"])
+    monkeypatch.setattr(models, "knn_search", lambda *a, **k: ({"k": 3, "weights": "distance", "p": 2}, 0.0))
+    df = spark.range(200).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    df = df.withColumn("price", 30 + 4 * F.col("a") - 2 * F.col("b"))
+    rows = models.benchmark(df, ["a", "b"], ["knn", "decision_tree", "stacking_ensemble"]).collect()
+    assert {r.model for r in rows} == {"knn", "decision_tree", "stacking_ensemble"} and all(r.rmse < 20 for r in rows)
