@@ -1,12 +1,7 @@
 """Z-score scaling (M1), k-nearest similar listings (J4) and the k-NN regressor (M5).
 
-Exact k-NN compares each query with every candidate. The query side is
-broadcast only in chunks of a checked row count (``MAX_QUERY_ROWS``); the
-candidate side streams through without a shuffle, and the top-k per query is
-taken with ``row_number() <= k`` over a window, which Spark plans as a
-``WindowGroupLimit`` that prunes to k rows per query inside each partition
-before the shuffle. Larger query tables are split by a hash of their id into
-several such passes and unioned.
+The neighbours come from ``neighbours.nearest_rows``: blocks of rows with bounding
+boxes, an upper bound from each query's own cell, and only the blocks within it.
 """
 
 from __future__ import annotations
@@ -15,16 +10,14 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..constants import CV_FOLDS, KNN_FEATURES, SIMILAR_K
 from ..functions.text import first_number, money
 from .filters import complete_knn_rows
+from .neighbours import nearest_rows
 from .quantiles import exact_medians
 from .split import fold_of
 
-MAX_QUERY_ROWS = 20_000  # rows of the query side broadcast per pass (x ~80 doubles -> ~13 MB)
-
 # the original grid of the regressor
 KNN_KS, KNN_WEIGHTS, KNN_PS = (3, 5, 7, 10, 15), ("uniform", "distance"), (1, 2)
 
@@ -52,45 +45,22 @@ def zscore(df: DataFrame, stats: dict[str, tuple[float, float]], keep: list[str]
     return df.select(*keep, *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, (m, s) in stats.items()])
 
 
-def _sq_distance(cols: list[str], left: str, right: str) -> Column:
-    terms = [(F.col(f"{left}.{c}") - F.col(f"{right}.{c}")) ** 2 for c in cols]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
-
-
-def _chunks(queries: DataFrame, qid: str) -> list[DataFrame]:
-    n = queries.count()
-    parts = max(1, math.ceil(n / MAX_QUERY_ROWS))
-    if parts == 1:
-        return [queries]
-    return [queries.where(F.pmod(F.xxhash64(qid), F.lit(parts)) == i) for i in range(parts)]
+def _vectors(df: DataFrame, cols: list[str], id_col: str, group: Column | None = None) -> DataFrame:
+    """``id, grp, v`` as the block search takes them; rows with a null in a feature have no distance and are left out."""
+    whole = df.where(" and ".join(f"`{c}` is not null" for c in cols))
+    return whole.select(F.col(id_col).cast("long").alias("id"), (F.lit(0) if group is None else group).cast("int").alias("grp"),
+                        F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, cols: list[str], k: int, qid: str = "qid",
             cid: str = "id", p: int = 2) -> DataFrame:
     """Top-k candidates per query by Minkowski distance (p = 1 or 2); ties by candidate id.
 
-    Returns ``(qid, cid, dist, rank)`` for ranks 1..min(k, n).
+    Ids are whole numbers, distinct in ``queries``. Returns ``(qid, cid, dist, rank)`` for ranks 1..min(k, n).
     """
-    q = queries.select(F.col(qid).alias("_qid"), *cols)
-    c = candidates.select(F.col(cid).alias("_cid"), *cols)
-    out = None
-    for chunk in _chunks(q, "_qid"):
-        pairs = c.alias("c").join(F.broadcast(chunk.alias("q")))
-        if p == 1:
-            terms = [F.abs(F.col(f"c.{x}") - F.col(f"q.{x}")) for x in cols]
-            d = terms[0]
-            for t in terms[1:]:
-                d = d + t
-        else:
-            d = F.sqrt(_sq_distance(cols, "c", "q"))
-        scored = pairs.select(F.col("q._qid").alias(qid), F.col("c._cid").alias(cid), d.alias("dist"))
-        w = Window.partitionBy(qid).orderBy("dist", cid)
-        ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    found = nearest_rows(_vectors(queries, cols, qid), _vectors(candidates, cols, cid), len(cols), k, p)
+    return found.select(F.col("qid").alias(qid), F.posexplode("near").alias("rank", "n")).select(
+        qid, F.col("n.cid").alias(cid), F.col("n.dist").alias("dist"), (F.col("rank") + 1).alias("rank"))
 
 
 def similar_ids(raw: DataFrame, focus: DataFrame, k: int = SIMILAR_K, focus_id: str = "qid") -> DataFrame:
@@ -99,7 +69,7 @@ def similar_ids(raw: DataFrame, focus: DataFrame, k: int = SIMILAR_K, focus_id:
     ``focus`` has ``focus_id`` and any of the 7 feature columns; null focus
     values take the column median of the candidate table.
     """
-    bundle = knn_table(raw).cache()
+    bundle = knn_table(raw).persist()
     stats = zscore_stats(bundle, KNN_FEATURES)
     med = exact_medians(bundle, KNN_FEATURES)
     fcols = []
@@ -109,27 +79,35 @@ def similar_ids(raw: DataFrame, focus: DataFrame, k: int = SIMILAR_K, focus_id:
     f = focus.select(F.col(focus_id).alias("qid"), *fcols)
     zb = zscore(bundle, stats, ["id"])
     zf = zscore(f, stats, ["qid"])
-    return nearest(zf, zb, KNN_FEATURES, k, qid="qid", cid="id").withColumnRenamed("qid", focus_id)
+    out = nearest(zf, zb, KNN_FEATURES, k, qid="qid", cid="id").withColumnRenamed("qid", focus_id)
+    bundle.unpersist()
+    return out
 
 
-def _neighbours(train: DataFrame, test: DataFrame, features: list[str], k: int, p: int, label: str, id_col: str) -> DataFrame:
-    """``qid, dist, rank, label``: z-scored on train, the k nearest train rows of each test row."""
-    stats = zscore_stats(train, features)
-    zt = zscore(train, stats, [id_col, label])
-    zq = zscore(test, stats, [id_col])
-    nn = nearest(zq.withColumnRenamed(id_col, "qid"), zt, features, k, qid="qid", cid=id_col, p=p)
-    return nn.join(zt.select(id_col, label), id_col).select("qid", "dist", "rank", label)
+def _estimate(k: int, weights: str) -> Column:
+    """The prediction from the first ``k`` of ``near``, an array of (dist, label) in order."""
+    use = F.slice("near", 1, k)
 
+    def mean(rows, weight):
+        zero = F.lit(0.0)
+        top = F.aggregate(rows, zero, lambda s, n: s + weight(n) * n["label"])
+        return F.when(F.size(rows) > 0, top / F.aggregate(rows, zero, lambda s, n: s + weight(n)))
 
-def _estimate(k: int, weights: str, label: str) -> Column:
-    """Aggregate over a row's neighbours: the prediction of the first ``k``."""
-    use = F.col("rank") <= k
+    plain = mean(use, lambda n: F.lit(1.0))
     if weights == "uniform":
-        return F.avg(F.when(use, F.col(label)))
-    zero = use & (F.col("dist") == 0)
-    near = F.when(use & (F.col("dist") > 0), F.lit(1.0) / F.col("dist"))
-    return F.when(F.max(zero.cast("int")) == 1, F.avg(F.when(zero, F.col(label)))).otherwise(
-        F.sum(F.col(label) * near) / F.sum(near))
+        return plain
+    same = F.filter(use, lambda n: n["dist"] == 0)
+    return F.when(F.size(same) > 0, mean(same, lambda n: F.lit(1.0))).otherwise(mean(use, lambda n: 1.0 / n["dist"]))
+
+
+def _labelled(found: DataFrame, labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    """``qid, near``: neighbours as (dist, label), in order."""
+    long = found.select("qid", F.posexplode_outer("near").alias("rank", "n"))
+    own = labels.select(F.col(id_col).cast("long").alias("cid"), F.col(label).cast("double").alias("label"))
+    both = long.select("qid", "rank", "n.dist", "n.cid").join(own, "cid", "left")
+    rows = both.groupBy("qid").agg(F.sort_array(F.collect_list(F.when(
+        F.col("cid").isNotNull(), F.struct("rank", "dist", "label")))).alias("near"))
+    return rows.select("qid", F.transform("near", lambda n: F.struct(n["dist"], n["label"])).alias("near"))
 
 
 def knn_regress(train: DataFrame, test: DataFrame, features: list[str], k: int = 5, weights: str = "uniform",
@@ -139,32 +117,49 @@ def knn_regress(train: DataFrame, test: DataFrame, features: list[str], k: int =
     With ``distance`` weights, a test row with zero-distance neighbours gets the
     mean label of those neighbours (as the original estimator does).
     """
-    near = _neighbours(train, test, features, k, p, label, id_col)
-    return near.groupBy("qid").agg(_estimate(k, weights, label).alias("prediction")).withColumnRenamed("qid", id_col)
+    scale = [s for _, s in zscore_stats(train, features).values()]
+    found = nearest_rows(_vectors(test, features, id_col), _vectors(train, features, id_col), len(features), k, p, {0: scale})
+    return _labelled(found, train, label, id_col).select(F.col("qid").alias(id_col), _estimate(k, weights).alias("prediction"))
 
 
 def knn_search(train: DataFrame, features: list[str], ks=KNN_KS, weights=KNN_WEIGHTS, ps=KNN_PS, folds: int = CV_FOLDS,
                label: str = "price", id_col: str = "id") -> tuple[dict, float]:
     """M15 for M5: the grid point of the lowest mean RMSE over the stable folds, and that RMSE.
 
-    Every fold finds its neighbours once per ``p``, for the largest k; all k and
-    weights are read off the same neighbours. Ties go to the first point.
+    One pass per ``p`` answers all folds: a row looks for neighbours outside its own fold, scaled by the deviations
+    of the rows outside it (means cancel in distances). All k and weights are read off the same neighbours. Ties go
+    to the first point.
     """
     points = [(k, w) for k in ks for w in weights]
     data = train.withColumn("_fold", fold_of(id_col, folds)).persist()
+    sums = data.groupBy("_fold").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features)
+                                       for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]).collect()
+    scales = {}
+    for f in range(folds):
+        rest = [r for r in sums if r["_fold"] != f]
+        scales[f] = [_pooled_std([(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for r in rest]) for i in range(len(features))]
     scores = {}
     for p in ps:
-        per_fold = []
-        for f in range(folds):
-            part = data.where(F.col("_fold") == f)
-            near = _neighbours(data.where(F.col("_fold") != f), part, features, max(ks), p, label, id_col)
-            guess = near.groupBy("qid").agg(*[_estimate(k, w, label).alias(f"g{i}") for i, (k, w) in enumerate(points)])
-            both = guess.join(part.select(F.col(id_col).alias("qid"), F.col(label).alias("_y")), "qid")
-            row = both.agg(*[F.sqrt(F.avg((F.col(f"g{i}") - F.col("_y")) ** 2)) for i in range(len(points))]).first()
-            per_fold.append(row)
+        vectors = _vectors(data, features, id_col, F.col("_fold"))
+        near = _labelled(nearest_rows(vectors, vectors, len(features), max(ks), p, scales, apart=True), data, label, id_col)
+        guess = near.select("qid", *[_estimate(k, w).alias(f"g{i}") for i, (k, w) in enumerate(points)])
+        own = data.select(F.col(id_col).cast("long").alias("qid"), "_fold", F.col(label).alias("_y"))
+        rows = guess.join(own, "qid").groupBy("_fold").agg(
+            *[F.sqrt(F.avg((F.col(f"g{i}") - F.col("_y")) ** 2)).alias(f"r{i}") for i in range(len(points))]).collect()
         for i, (k, w) in enumerate(points):
-            errors = [row[i] for row in per_fold if row[i] is not None]
+            errors = [r[f"r{i}"] for r in sorted(rows, key=lambda r: r["_fold"]) if r[f"r{i}"] is not None]
             scores[k, w, p] = sum(errors) / len(errors)
     data.unpersist()
     k, w, p = min(scores, key=scores.get)
     return {"k": k, "weights": w, "p": p}, scores[k, w, p]
+
+
+def _pooled_std(parts: list) -> float:
+    """Population deviation of several parts from their (count, mean, variance); 1 if there is none."""
+    parts = [(n, m, v) for n, m, v in parts if n]
+    total = sum(n for n, _, _ in parts)
+    if not total:
+        return 1.0
+    mean = sum(n * m for n, m, _ in parts) / total
+    var = sum(n * (v + (m - mean) ** 2) for n, m, v in parts) / total
+    return math.sqrt(var) if var > 0 else 1.0

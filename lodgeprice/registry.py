@@ -1174,7 +1174,62 @@ def m16_random_search(spark, sf):
     return rnd(benchmark(feat, cols, ["decision_tree", "random_forest"], search=True).drop("fit_seconds"))
 
 
-@query("m05_knn_regressor")
+def _knn_regressor_sql() -> str:
+    """The whole grid search in SQL: per fold the deviations of the other folds, the 15 nearest for p = 1 and 2."""
+    from .functions.text import column_name as cn
+    from .operators.knn import KNN_KS, KNN_WEIGHTS
+    from .plans.features import DERIVED
+
+    flags = [cn("is_", v, "room") for v in S.FIXTURE_ROOMS] + [cn("is_", v, "district") for v in S.FIXTURE_DISTRICTS]
+    cols = S.IMPUTED + ["is_professional_host"] + flags + S.amenity_names() + DERIVED
+    wide = [f"cast({c} as double) as x{i}" for i, c in enumerate(cols)]
+    wide += [f"coalesce(property_type = names[{i + 1}], false)::int::double as x{len(cols) + i}" for i in range(15)]
+    wide += [f"(not coalesce(list_contains(names, property_type), false))::int::double as x{len(cols) + 15}"]
+    xs = [f"x{i}" for i in range(len(wide))]
+    devs = ", ".join(f"coalesce(nullif(stddev_pop(t.{x}), 0), 1) as {x}" for x in xs)
+    gap = [f"abs(q.{x} - c.{x})" for x in xs]
+    scaled = ", ".join(f"t.{x} / s.{x} as {x}" for x in xs) + f", [{', '.join(f't.{x} / s.{x}' for x in xs)}]::double[{len(xs)}] as v"
+    dists = f"{' + '.join(gap)} as d1, array_distance(q.v, c.v) as d2"
+    picks = ", ".join(f"arg_min({{'dist': d{p}, 'y': y}}, {{'dist': d{p}, 'id': cid}}, 15) as n{p}" for p in (1, 2))
+    points = [(k, w, p) for p in (1, 2) for k in KNN_KS for w in KNN_WEIGHTS]
+
+    def guess(k, w, p):
+        use = f"n{p}[1:{k}]"
+        ys = f"list_avg([n.y for n in {use}])"
+        if w == "uniform":
+            return ys
+        zero = f"[n.y for n in {use} if n.dist = 0]"
+        return (f"case when len({zero}) > 0 then list_avg({zero}) else "
+                f"list_sum([n.y / n.dist for n in {use}]) / list_sum([1 / n.dist for n in {use}]) end")
+
+    names = [str({"k": k, "weights": w, "p": p}).replace("'", "''") for k, w, p in points]
+    grid = " union all ".join(f"select {i} as i, qid, f, qy, {guess(*x)} as g, '{names[i]}' as params from near"
+                              for i, x in enumerate(points))
+    return f"""
+with {S.feature_ctes()},
+names as (select list(v) as names from top),
+w as materialized (
+  select id, price as y, {SP.split_sql()} as is_test, {SP.fold_sql()} as f, {", ".join(wide)} from feat, names),
+tr as materialized (select * from w where not is_test),
+sets as (select unnest([0, 1, 2, 3, 4, 9]) as f),
+s as materialized (select sets.f as sf, {devs} from sets join tr t on t.f <> sets.f group by sets.f),
+ask as (select id, y, f, {", ".join(xs)} from tr union all select id, y, 9, {", ".join(xs)} from w where is_test),
+qs as materialized (select t.id, t.y, t.f, {scaled} from ask t join s on t.f = s.sf),
+cs as materialized (select t.id, t.y, s.sf as f, {scaled} from s join tr t on t.f <> s.sf),
+pair as (select q.id as qid, q.f, q.y as qy, c.id as cid, c.y, {dists} from qs q join cs c on q.f = c.f),
+near as materialized (select qid, f, any_value(qy) as qy, {picks} from pair group by qid, f),
+g as ({grid}),
+per_fold as (select i, params, f, sqrt(avg(pow(g - qy, 2))) as rmse from g where f <> 9 group by all),
+best as (select i, params from (select i, params, avg(rmse) as r from per_fold group by all) order by r, i limit 1),
+t as (select params, qy, g from g join best using (i, params) where f = 9)
+select count(*) as n, round(sqrt(avg(pow(g - qy, 2))), 6) as rmse, round(avg(abs(g - qy)), 6) as mae,
+  round(1 - sum(pow(g - qy, 2)) / sum(pow(qy - m, 2)), 6) as r2,
+  round(avg(abs(g - qy) / greatest(abs(qy), 1e-8)) * 100, 6) as mape, 'knn' as model, any_value(params) as params
+from t, (select avg(qy) as m from t)
+"""
+
+
+@query("m05_knn_regressor", _knn_regressor_sql())
 def m05_knn_regressor(spark, sf):
     """M5 + M15: z-scored features, k x weights x p grid over 5 stable folds, test KPIs of the best."""
     from .operators.knn import knn_regress, knn_search
