@@ -123,14 +123,16 @@ def knn_regress(train: DataFrame, test: DataFrame, features: list[str], k: int =
 
 
 def knn_search(train: DataFrame, features: list[str], ks=KNN_KS, weights=KNN_WEIGHTS, ps=KNN_PS, folds: int = CV_FOLDS,
-               label: str = "price", id_col: str = "id") -> tuple[dict, float]:
+               label: str = "price", id_col: str = "id", points: list[tuple] | None = None) -> tuple[dict, float]:
     """M15 for M5: the grid point of the lowest mean RMSE over the stable folds, and that RMSE.
 
+    ``points`` (k, weights, p) replaces the whole grid, as in M16.
+
     One pass per ``p`` answers all folds: a row looks for neighbours outside its own fold, scaled by the deviations
     of the rows outside it (means cancel in distances). All k and weights are read off the same neighbours. Ties go
     to the first point.
     """
-    points = [(k, w) for k in ks for w in weights]
+    wanted = points if points is not None else [(k, w, p) for p in ps for k in ks for w in weights]
     data = train.withColumn("_fold", fold_of(id_col, folds)).persist()
     sums = data.groupBy("_fold").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features)
                                        for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]).collect()
@@ -139,9 +141,10 @@ def knn_search(train: DataFrame, features: list[str], ks=KNN_KS, weights=KNN_WEI
         rest = [r for r in sums if r["_fold"] != f]
         scales[f] = [_pooled_std([(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for r in rest]) for i in range(len(features))]
     scores = {}
-    for p in ps:
+    for p in sorted({p for _, _, p in wanted}):
+        points = [(k, w) for k, w, q in wanted if q == p]
         vectors = _vectors(data, features, id_col, F.col("_fold"))
-        near = _labelled(nearest_rows(vectors, vectors, len(features), max(ks), p, scales, apart=True), data, label, id_col)
+        near = _labelled(nearest_rows(vectors, vectors, len(features), max(k for k, _ in points), p, scales, apart=True), data, label, id_col)
         guess = near.select("qid", *[_estimate(k, w).alias(f"g{i}") for i, (k, w) in enumerate(points)])
         own = data.select(F.col(id_col).cast("long").alias("qid"), "_fold", F.col(label).alias("_y"))
         rows = guess.join(own, "qid").groupBy("_fold").agg(

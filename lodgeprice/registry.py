@@ -1168,10 +1168,88 @@ def m04_lasso_grid_search(spark, sf):
 
 @query("m16_random_search")
 def m16_random_search(spark, sf):
-    """12 seeded draws of the tree grid (all of it) and of the forest grid (18), 5 folds, refit best, test KPIs."""
-    from .plans.models import benchmark
+    """12 seeded draws of each grid (20 points of k-NN; all of the smaller ones), 5 folds, refit best, test KPIs.
+
+    The boosters' and the forest's grids are searched in the same way by their own queries and by M18.
+    """
+    from .operators.knn import KNN_KS, KNN_PS, KNN_WEIGHTS, knn_regress, knn_search
+    from .plans.models import SEARCH_ITER, benchmark, grid_points
     feat, cols, _ = _model_data(spark, sf)
-    return rnd(benchmark(feat, cols, ["decision_tree", "random_forest"], search=True).drop("fit_seconds"))
+    board = benchmark(feat, cols, ["decision_tree", "ridge", "lasso"], search=True)
+    train, test = SP.train_part(feat), SP.test_part(feat)
+    drawn = grid_points({"k": list(KNN_KS), "weights": list(KNN_WEIGHTS), "p": list(KNN_PS)}, SEARCH_ITER)
+    best, _ = knn_search(train, cols, points=[(d["k"], d["weights"], d["p"]) for d in drawn])
+    scored = knn_regress(train, test, cols, **best).join(test.select("id", "price"), "id")
+    knn = A.regression_kpis(scored).drop("n").withColumns({"model": F.lit("knn"), "params": F.lit(str(best))})
+    return rnd(board.drop("fit_seconds").unionByName(knn, allowMissingColumns=True))
+
+
+def _two_column_ridge_sql() -> str:
+    alphas = "[0.01, 0.1, 1.0, 10.0, 100.0]::double[]"
+    solve = "((n + alpha) * b1 - n * r * b2) / ((n + alpha) * (n + alpha) - n * r * n * r)"
+    other = "((n + alpha) * b2 - n * r * b1) / ((n + alpha) * (n + alpha) - n * r * n * r)"
+    stats = """count(*) as n, avg(x1) as m1, avg(x2) as m2, avg(y) as my, stddev_pop(x1) as s1, stddev_pop(x2) as s2,
+    corr(x1, x2) as r, count(*) * covar_pop(x1, y) / stddev_pop(x1) as b1, count(*) * covar_pop(x2, y) / stddev_pop(x2) as b2"""
+    return f"""
+with {S.kept_cte()},
+d as (select id, price as y, accommodates as x1, coalesce(bedrooms, 1) as x2, {SP.split_sql()} as is_test, {SP.fold_sql()} as f
+      from kept),
+tr as (select * from d where not is_test),
+sets as (select unnest([0, 1, 2, 3, 4, 9]) as left_out),
+st as (select left_out, {stats} from sets join tr on f <> left_out group by left_out),
+w as (select *, {solve} as w1, {other} as w2 from st, (select unnest({alphas}) as alpha)),
+e as (select alpha, left_out, sqrt(avg(pow(y - my - w1 * (x1 - m1) / s1 - w2 * (x2 - m2) / s2, 2))) as rmse
+      from w join tr on f = left_out group by alpha, left_out),
+best as (select alpha from e group by alpha order by avg(rmse), alpha limit 1)
+select id, alpha, round(my + w1 * (x1 - m1) / s1 + w2 * (x2 - m2) / s2, 6) as prediction
+from w join best using (alpha), d where left_out = 9 and is_test"""
+
+
+def _one_column_lasso_sql() -> str:
+    return f"""
+with {S.kept_cte()},
+d as (select id, price as y, accommodates as x, {SP.split_sql()} as is_test, {SP.fold_sql()} as f from kept),
+tr as (select * from d where not is_test),
+sets as (select unnest([0, 1, 2, 3, 4, 9]) as left_out),
+st as (select left_out, avg(x) as m, avg(y) as my, stddev_pop(x) as s, covar_pop(x, y) / stddev_pop(x) as pull
+       from sets join tr on f <> left_out group by left_out),
+w as (select *, sign(pull) * greatest(abs(pull) - alpha, 0) as w from st, (select unnest([0.01, 0.1, 1.0, 10.0, 100.0]::double[]) as alpha)),
+e as (select alpha, left_out, sqrt(avg(pow(y - my - w * (x - m) / s, 2))) as rmse
+      from w join tr on f = left_out group by alpha, left_out),
+best as (select alpha from e group by alpha order by avg(rmse), alpha limit 1)
+select id, alpha, round(my + w * (x - m) / s, 6) as prediction from w join best using (alpha), d where left_out = 9 and is_test"""
+
+
+def _few_columns(spark, sf, name: str, cols: list[str]):
+    from .plans.models import cv_search, predict
+    rows = _line_rows(spark, sf)
+    model, params, _ = cv_search(name, SP.train_part(rows), cols, n_iter=None)
+    return rnd(predict(model, SP.test_part(rows), ["id"]).withColumn("alpha", F.lit(params["alpha"])))
+
+
+@query("m03_ridge_two_columns", _two_column_ridge_sql())
+def m03_ridge_two_columns(spark, sf):
+    """M3 + M15 on two features: alpha by 5 folds, test predictions against the closed form."""
+    return _few_columns(spark, sf, "ridge", ["accommodates", "bedrooms"])
+
+
+@query("m04_lasso_one_column", _one_column_lasso_sql())
+def m04_lasso_one_column(spark, sf):
+    """M4 + M15 on one feature: alpha by 5 folds, test predictions against soft thresholding."""
+    return _few_columns(spark, sf, "lasso", ["accommodates"])
+
+
+@query("m14_log_line", f"""
+with {S.kept_cte()},
+line as (select regr_slope(ln(1 + price), accommodates) as a, regr_intercept(ln(1 + price), accommodates) as b
+         from kept where not ({SP.split_sql()}))
+select id, round(exp(a * accommodates + b) - 1, 6) as prediction from kept, line where {SP.split_sql()}
+""")
+def m14_log_line(spark, sf):
+    """M14 around a line of one feature: fitted on log1p(price), predicted with expm1."""
+    from .plans.models import fit, predict
+    rows = _line_rows(spark, sf)
+    return rnd(predict(fit("linear_regression_log", SP.train_part(rows), ["accommodates"]), SP.test_part(rows), ["id"]))
 
 
 def _knn_regressor_sql() -> str:
@@ -1257,8 +1335,9 @@ def m17_stacking(spark, sf):
 def m18_benchmark_leaderboard(spark, sf):
     """M18 + O2 + G11: all candidates searched on train, the stack, KPIs on test, sorted, gap to the best."""
     from .plans.models import BENCHMARK, benchmark
+    from .session import scratch_path
     feat, cols, _ = _model_data(spark, sf)
-    board = benchmark(feat.cache(), cols, BENCHMARK, search=True)
+    board = benchmark(feat, cols, BENCHMARK, search=True, folder=scratch_path(spark, "board"))
     best = board.agg(F.min("rmse")).first()[0]
     return rnd(board.drop("fit_seconds").withColumn("pct_over_best", (F.col("rmse") / F.lit(best) - 1) * 100))
 
@@ -1317,3 +1396,31 @@ def t03_synthetic_rows(spark, sf):
     rows = SP.sample_rows(prof, 1000, seed=42, spark=spark)
     scored = predict(model, rows, ["row_id"])
     return rnd(scored.select("row_id", SC.price_floor("prediction").alias("prediction")))
+
+
+_T3_COLS = ["accommodates", "bedrooms", "price", "is_professional_host"]
+
+
+def _synthetic_sql() -> str:
+    def draw(i, part):
+        return f"(('0x' || substring(md5(concat_ws('|', row_id, {i}, 42, {part})), 1, 12))::bigint + 0.5::double) / {16.0 ** 12}"
+
+    cols = []
+    for i, c in enumerate(_T3_COLS):
+        normal = f"m{i} + s{i} * sqrt(-2 * ln({draw(i, 0)})) * cos(2 * pi() * {draw(i, 1)})"
+        cols.append(f"""round(case when b{i} then ({draw(i, 0)} < least(greatest(m{i}, 0), 1))::int::double
+          when l{i} >= 0 then greatest({normal}, 0) else {normal} end, 6) as {c}""")
+    stats = ", ".join(f"""avg({c}) as m{i}, case when stddev_samp({c}) > 0 then stddev_samp({c})
+      else greatest(0.1 * abs(avg({c})), 1e-3) end as s{i}, bool_and({c} in (0, 1)) as b{i}, min({c}) as l{i}"""
+                      for i, c in enumerate(_T3_COLS))
+    return f"""
+with {S.feature_ctes()}, p as (select {stats} from feat), r as (select unnest(range(1000)) as row_id)
+select row_id, {", ".join(cols)} from r, p"""
+
+
+@query("t03_sample_rows", _synthetic_sql())
+def t03_sample_rows(spark, sf):
+    """T3 alone: 1000 rows drawn by hash from the profile of four feature columns."""
+    feat, _ = featured(spark, sf)
+    prof = {r["col"]: r.asDict() for r in A.column_profile(feat, _T3_COLS).collect()}
+    return rnd(SP.sample_rows([prof[c] for c in _T3_COLS], 1000, seed=42, spark=spark))

@@ -132,6 +132,40 @@ def test_knn_contains_itself_and_k_larger_than_n(spark):
     assert got[0] == (2, 1) and len(got) == 3
 
 
+def test_neighbours_by_blocks_equal_brute_force(spark, monkeypatch):
+    from lodgeprice.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    rng = np.random.default_rng(0)
+    for width, p, apart in ((2, 2, False), (2, 1, True), (9, 2, True)):
+        x = rng.integers(0, 9, (400, width)).astype(float)
+        x[:130] = x[0]  # a third of the rows are one point
+        grp = rng.integers(0, 3, 400)
+        scales = {g: (rng.random(width) + 0.5).tolist() for g in range(3)}
+        df = spark.createDataFrame([(i, int(grp[i]), x[i].tolist()) for i in range(400)], "id long, grp int, v array<double>")
+        got = {r.qid: [(n.dist, n.cid) for n in r.near]
+               for r in neighbours.nearest_rows(df, df, width, 7, p, scales, apart).collect()}
+        assert len(got) == 400
+        for i in range(400):
+            gap = np.abs(x - x[i]) / np.array(scales[int(grp[i])])
+            d = np.sqrt((gap * gap).sum(1)) if p == 2 else gap.sum(1)
+            want = sorted((d[j], j) for j in range(400) if not (apart and grp[j] == grp[i]))[:7]
+            assert np.allclose([a for a, _ in want], [a for a, _ in got[i]], atol=1e-12)
+            assert len({c for _, c in got[i]}) == 7
+    none = spark.createDataFrame([], df.schema)
+    assert neighbours.nearest_rows(none, df, 9, 3).collect() == []
+    assert all(r.near == [] for r in neighbours.nearest_rows(df, none, 9, 3).collect())
+
+
+def test_neighbour_search_has_no_nested_loop_and_far_blocks_fall_away(spark):
+    from lodgeprice.operators import neighbours
+
+    df = spark.range(6000).select("id", F.lit(0).alias("grp"), F.array((F.col("id") % 77).cast("double"), (F.col("id") / 77)).alias("v"))
+    found = neighbours.nearest_rows(df.where("id % 50 = 0"), df, 2, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and found.count() == 120
+
+
 def test_similar_ids_single_listing(spark):
     raw = spark.createDataFrame(
         [(1, 52.5, 13.4, 2, 1.0, 1.0, "1 bath", "$100.00")],

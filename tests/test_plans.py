@@ -131,29 +131,106 @@ def test_distinct_values_bound_is_an_error_and_the_table_has_none(spark):
         distinct_values(df, "c", most=1)
 
 
-def test_boosting_stops_by_validation(spark):
-    from lodgeprice.plans.models import fit
+def test_patience_counts_rounds_without_a_gain():
+    from lodgeprice.plans.models import stop_round
+
+    assert stop_round([5, 4, 3, 2, 1], patience=2) is None
+    assert stop_round([5, 4, 4, 4, 1], patience=2) == 4
+    assert stop_round([5, 6, 4.9, 5, 5], patience=2) == 5
+    assert stop_round([5, 5 - 1e-9, 5], patience=2, gain=1e-7) == 3
+
+
+def _grid_rows(spark, noise=0.0):
+    df = spark.range(400).select("id", (F.col("id") % 31).cast("double").alias("x"), (F.col("id") % 29).cast("double").alias("z"))
+    price = 100 + 3 * F.col("x") + 2 * F.col("z") + F.col("x") * F.col("z") / 8
+    noisy = (F.xxhash64("id", F.lit(3)) % 1000) * noise
+    return df.withColumn("price", price + noisy).cache()
+
 
-    df = spark.range(600).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 10.0).alias("price"))
-    model = fit("sklearn_gbr", df, ["x"]).stages[-1]
-    assert 1 <= model.getNumTrees < 400
+def test_boosting_stops_by_patience_or_runs_all_its_rounds(spark):
+    from lodgeprice.plans.models import PATIENCE, fit, held_back, n_trees
 
+    steps = spark.range(200).select("id", (F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 2 * 10.0).alias("price"))
+    assert n_trees(fit("histgb_tuned", steps, ["x"], params={"maxDepth": 2})) == 1 + PATIENCE  # exact after one round
+    df = _grid_rows(spark)
+    assert n_trees(fit("histgb_tuned", df, ["x", "z"], params={"maxIter": 12, "maxDepth": 3, "stepSize": 0.05})) == 12
+    assert n_trees(fit("sklearn_gbr", df, ["x", "z"], params={"maxIter": 7})) == 7
+    share = df.where(held_back()).count() / df.count()
+    assert 0.04 < share < 0.2
 
-def test_boosting_runs_its_rounds_and_keeps_the_best_length(spark):
-    from lodgeprice.plans.models import BestLengthGBT, _with_validation, benchmark, fit
-    from pyspark.ml.feature import VectorAssembler
 
-    df = spark.range(900).select("id", (F.col("id") % 31).cast("double").alias("x"), (F.col("id") % 29).cast("double").alias("z"))
-    df = df.withColumn("price", 100 + 3 * F.col("x") + 2 * F.col("z") + F.col("x") * F.col("z") / 8).cache()
-    model = fit("xgboost_improved", df, ["x", "z"], params={"maxIter": 30}).stages[-1]
-    assert model.getNumTrees == 30  # every round still lowers the error of such data
-    rows = _with_validation(VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(df))
-    noisy = rows.withColumn("price", F.col("price") + 300 * F.randn(3)).cache()
-    short = BestLengthGBT(labelCol="price", maxIter=12, stepSize=0.9, maxDepth=6, seed=1).fit(noisy)
-    errors = short.evaluateEachIteration(noisy.where("is_validation"), "squared")
-    assert short.getNumTrees < 12 and min(errors) == errors[-1] and short.getFeaturesCol() == "features"
-    assert short.transform(noisy).select("prediction").distinct().count() > 1
-    assert benchmark(df, ["x", "z"], ["decision_tree"]).first().n_trees is None
+def test_staged_search_equals_separate_fits(spark):
+    from lodgeprice.plans import models
+    from lodgeprice.operators.split import fold_of
+
+    data = _grid_rows(spark, noise=0.01).withColumn("fold", fold_of("id", 2)).cache()
+    points = [{"maxIter": r, "maxDepth": d} for d in (2, 3) for r in (3, 6)]
+    c = models.CANDIDATES["catboost_tuned"]
+    table, fits = models._search_errors(c, c.name, data, ["x", "z"], "price", points, 2, 4, 64)
+    assert fits == 4  # two folds, two depths
+    for p, row in zip(points, table):
+        for f, e in enumerate(row):
+            one = models.fit(c.name, data.where(F.col("fold") != f), ["x", "z"], params=p)
+            assert abs(models._rmse(one, data.where(F.col("fold") == f), "price") - e) < 1e-9
+    model, params, error = models.cv_search(c.name, data.drop("fold"), ["x", "z"], folds=2, grid={"maxIter": [3, 6], "maxDepth": [2, 3]})
+    best = min(range(4), key=lambda i: sum(table[i]))
+    assert params == points[best] and abs(error - sum(table[best]) / 2) < 1e-9 and model.n_fits == 4
+
+
+def test_board_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from lodgeprice.plans import models
+
+    df = _grid_rows(spark)
+    names = ["ridge", "decision_tree", "linear_regression"]
+    real, calls = models.fit, []
+
+    def fit(name, *a, **k):
+        calls.append(name)
+        if name == "decision_tree" and calls.count(name) == 1:
+            raise KeyboardInterrupt
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(models, "fit", fit)
+    with pytest.raises(KeyboardInterrupt):
+        models.benchmark(df, ["x", "z"], names, folder=str(tmp_path))
+    rows = models.benchmark(df, ["x", "z"], names, folder=str(tmp_path)).collect()
+    assert calls == ["ridge", "decision_tree", "decision_tree", "linear_regression"] and {r.model for r in rows} == set(names)
+    assert models.benchmark(df, ["x", "z"], names, folder=str(tmp_path)).collect() == rows and len(calls) == 4
+    from lodgeprice.sources.io import load_model
+    assert load_model(str(tmp_path / "ridge.model")).transform(df).select("prediction").count() == 400
+
+
+def test_lines_from_moments(spark):
+    import numpy as np
+
+    from lodgeprice.operators import moments
+
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(1e6, 3, 300), rng.normal(0, 50, 300), np.full(300, 7.0), rng.integers(0, 2, 300)])
+    y = 3 * x[:, 0] - 0.2 * x[:, 1] + 20 * x[:, 3] + rng.normal(0, 5, 300)
+    rows = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))] + [(999, None, 1.0, 1.0, 1.0, 1.0)],
+                                 "id long, a double, b double, c double, d double, price double").repartition(5)
+    by_fold = moments.fold_moments(rows, list("abcd"), "price", F.col("id") % 3)
+    z = (x - x.mean(0)) / np.where(x.std(0) == 0, 1, x.std(0))
+    total = moments.Moments(by_fold[0].shift, sum(m.s for m in by_fold.values()))
+    for alpha in (0.5, 40.0):
+        w = np.linalg.solve(z.T @ z + alpha * np.eye(4), z.T @ (y - y.mean()))
+        line = moments.ridge(total, alpha)
+        assert np.allclose(line.coef * np.where(x.std(0) == 0, 1, x.std(0)), w, atol=1e-6)
+        assert abs(line.error(total) - np.sqrt(np.mean((y - y.mean() - z @ w) ** 2))) < 1e-6
+        left = moments.lasso(total, alpha / 10)
+        v = left.coef * np.where(x.std(0) == 0, 1, x.std(0))
+        grad = z.T @ (y - y.mean() - z @ v) / 300  # optimality: within alpha, and at it where a weight is not 0
+        assert (np.abs(grad) <= alpha / 10 + 1e-6).all() and np.allclose(grad[v != 0], alpha / 10 * np.sign(v[v != 0]), atol=1e-6)
+    keep = np.arange(300) % 3 != 1
+    part = total - by_fold[1]
+    zk = (x[keep] - x[keep].mean(0)) / np.where(x[keep].std(0) == 0, 1, x[keep].std(0))
+    w = np.linalg.solve(zk.T @ zk + np.eye(4), zk.T @ (y[keep] - y[keep].mean()))
+    assert np.allclose(moments.ridge(part, 1.0).coef * np.where(x[keep].std(0) == 0, 1, x[keep].std(0)), w, atol=1e-6)
+    line, alpha, _ = moments.search("ridge", by_fold, [1e6, 1.0])
+    assert alpha == 1.0
 
 
 def test_forest_and_histogram_boosting_are_searched_over_the_original_grids(spark, monkeypatch):
@@ -181,7 +258,7 @@ def test_forest_and_histogram_boosting_are_searched_over_the_original_grids(spar
 def test_leaderboard_holds_knn_and_the_stack(spark, monkeypatch):
     from lodgeprice.plans import models
 
-    assert len(models.BENCHMARK) == 14 and set(models.BENCHMARK) - {"knn", "stacking_ensemble"} == set(models.CANDIDATES) - {"ridge_unscaled"}
+    assert len(models.BENCHMARK) == 14 and set(models.BENCHMARK) - {"knn", "stacking_ensemble"} == set(models.CANDIDATES) - {"ridge_unscaled", "linear_regression_log"}
     for name in models.BENCHMARK:
         if name in models.STACK_BASES:
             points = models.grid_points(models.CANDIDATES[name].grid)
