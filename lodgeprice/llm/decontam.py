@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import small_batches, word_count
+from .common import small_batches, word_count, written
 
 MASKS = ("11111", "111101", "101111")
 WINDOW, TOLERANCE, MIN_WORDS = 13, 2, 5
 BLOCK_WORDS = 500_000
 #: Bits of the table that sorts out most seeds before the exact look-up.
 SIEVE = 20
+#: Pairs of places, or words, that are compared at a time.
+HITS = 1_000_000
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
@@ -63,61 +65,98 @@ class Index:
             at = at[np.argsort(s[at], kind="stable")]
             sieve = np.zeros(1 << SIEVE, dtype=bool)
             sieve[(s[at] >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
-            self.tables.append((mask, s[at], at, sieve))
+            # places whose seed is not that of the place before: enough for a document's place of that kind
+            head = at[~((at > 0) & (s[at] == s[at - 1]) & (row[at] == row[at - 1]))]
+            self.tables.append((mask, s[at], at, s[head], head, sieve))
         self.row = row
 
     def leaks(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document row, item, first word, words covered, words that agree) of each leaked item's best diagonal."""
-        diagonals = []
-        for mask, keys, at, sieve in self.tables:
+        found = []
+        for mask, keys, at, head_keys, heads, sieve in self.tables:
             s = seeds(h, mask)
             pos = np.flatnonzero(sieve[(s >> np.uint64(64 - SIEVE)).astype(np.int64)])
             if not len(pos) or not len(keys):
                 continue
-            lo, hi = np.searchsorted(keys, s[pos], "left"), np.searchsorted(keys, s[pos], "right")
-            pos, lo, n = pos[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if not len(pos):
-                continue
             doc = np.searchsorted(first, pos, "right") - 1
             own = pos + len(mask) <= first[doc + 1]  # the run doesn't reach into the next document
-            pos, lo, n = pos[own], lo[own], n[own]
-            hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            p = at[hit]
-            diagonals.append(np.column_stack([np.repeat(doc[own], n), self.row[p],
-                                              np.repeat(pos, n) - (p - self.first[self.row[p]])]))
-        if not diagonals:
+            pos, doc = pos[own], doc[own]
+            # equal seeds one after the other: the hits that continue a diagonal are known from the place before
+            again = (pos > first[doc]) & (s[pos] == s[pos - 1])
+            for p, d, table, places in ((pos[~again], doc[~again], keys, at), (pos[again], doc[again], head_keys, heads)):
+                lo, hi = np.searchsorted(table, s[p], "left"), np.searchsorted(table, s[p], "right")
+                n = hi - lo
+                total = np.concatenate([[0], np.cumsum(n)])
+                i = 0
+                while i < len(p):  # at most about HITS pairs at a time; a diagonal is kept once
+                    j = max(i + 1, int(np.searchsorted(total, total[i] + HITS, "right")) - 1)
+                    m = n[i:j]
+                    q = places[np.repeat(lo[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                    item = self.row[q]
+                    begin = np.repeat(p[i:j], m) - (q - self.first[item])
+                    if len(q):
+                        found.append(_distinct(np.repeat(d[i:j], m), item, begin))
+                        if sum(map(len, found)) > 2 * HITS:
+                            found = [_distinct(*np.concatenate(found).T)]
+                    i = j
+        if not found:
             return []
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for doc, item, begin in np.unique(np.concatenate(diagonals), axis=0).tolist():
-            words = self.words[self.first[item]:self.first[item + 1]]
-            a, b = max(begin, int(first[doc])), min(begin + len(words), int(first[doc + 1]))
-            same = h[a:b] == words[a - begin:b - begin]
-            size = min(WINDOW, len(words))
-            slack = TOLERANCE if size == WINDOW else 0
-            if len(same) < size:
-                continue
-            run = np.concatenate([[0], np.cumsum(same)])
-            ok = np.flatnonzero(run[size:] - run[:-size] >= size - slack)
-            if len(ok):
-                lo, hi = int(ok[0]), int(ok[-1]) + size
-                found = (int(same.sum()), a + lo - int(first[doc]), hi - lo)
-                if found > best.get((doc, item), (0, 0, 0)):
-                    best[doc, item] = found
-        return [(d, i, start, n, agree) for (d, i), (agree, start, n) in best.items()]
-
-
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Index blocks of the benchmark (``item_id, text``); a block's size is bounded, their number isn't."""
+        return self._verified(h, first, _distinct(*np.concatenate(found).T))
+
+    def _verified(self, h: np.ndarray, first: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The best diagonal of each (document, item) that holds a window; compared in blocks of many diagonals."""
+        best: list[np.ndarray] = []
+        lengths = np.diff(self.first)
+        order = np.argsort(lengths[diagonals[:, 1]], kind="stable")
+        diagonals = diagonals[order]
+        width = lengths[diagonals[:, 1]]
+        i = 0
+        while i < len(diagonals):
+            size = int(width[i])  # items of one length together
+            j = min(int(np.searchsorted(width, size, "right")), i + max(1, HITS // max(size, 1)))
+            doc, item, begin = diagonals[i:j].T
+            i = j
+            window = min(WINDOW, size)
+            slack = TOLERANCE if window == WINDOW else 0
+            a, b = np.maximum(begin, first[doc]), np.minimum(begin + size, first[doc + 1])
+            place = begin[:, None] + np.arange(size)[None, :]
+            inside = (place >= a[:, None]) & (place < b[:, None])
+            words = self.words[self.first[item][:, None] + np.arange(size)[None, :]]
+            same = (h[np.clip(place, 0, len(h) - 1)] == words) & inside
+            run = np.concatenate([np.zeros((len(doc), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+            ok = run[:, window:] - run[:, :-window] >= window - slack
+            ok &= inside[:, :size - window + 1] & inside[:, window - 1:]
+            hit = np.flatnonzero(ok.any(axis=1))
+            if len(hit):
+                lo = ok[hit].argmax(axis=1)
+                hi = ok.shape[1] - 1 - ok[hit][:, ::-1].argmax(axis=1) + window
+                best.append(np.column_stack([doc[hit], item[hit], same[hit].sum(axis=1),
+                                             begin[hit] + lo - first[doc[hit]], hi - lo]))
+        if not best:
+            return []
+        rows = np.concatenate(best)
+        rows = rows[np.lexsort(rows.T[::-1])]  # by document, item, agreement, start, length
+        last = np.append((rows[1:, :2] != rows[:-1, :2]).any(axis=1), True)
+        return [(d, i, start, n, agree) for d, i, agree, start, n in rows[last].tolist()]
+
+
+def _distinct(doc: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Distinct rows of three columns."""
+    rows = np.column_stack([doc, item, begin])
+    rows = rows[np.lexsort((begin, item, doc))]
+    return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+
+
+def indexes(benchmark: DataFrame):
+    """Index blocks of the benchmark (``item_id, text``), one after the other; a block's size is bounded, their number isn't."""
     items = benchmark.select("item_id", "text").where(word_count(F.col("text")) >= MIN_WORDS)
     size = items.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     n = int(2 * size // BLOCK_WORDS + 1)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    out = []
     for k in range(n):
         rows = items.where(block == k).orderBy("item_id").collect()
         if rows:
-            out.append(Index([(r[0], r[1]) for r in rows]))
-    return out
+            yield Index([(r[0], r[1]) for r in rows])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -146,6 +185,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         block = slim.mapInArrow(run, f"doc_id {doc_type}, item_id {item_type}, first_word long, n_words long, "
                                      "n_equal long, item_words long")
+        # a block's finds are few: written, so that its broadcast can go before the next one is read
+        block = written(block, "leaks")
+        shared.unpersist()
         out = block if out is None else out.union(block)
     if out is None:
         return slim.crossJoin(benchmark.limit(0)).selectExpr(

@@ -68,20 +68,39 @@ _WORD = re.compile(r"[^\W\d_]+")
 GOOD, BAD, OPEN = "good", "bad", "open"
 
 
+#: Beginnings and ends of a compound name that say something about the element, not what it is.
+ABOUT_FIRST = frozenset("no has with without is not hide show layout".split())
+ABOUT_LAST = frozenset("enabled disabled open closed on off ready left-open".split())
+#: Names of texts whose own header carries the title.
+TEXT_NAMES = frozenset("article content entry page post story".split())
+
+
+def _bad_name(name: str) -> bool:
+    """True if a whole class name, id or role says boilerplate: ``ad-slot``, ``site-footer``; not ``no-sidebar``."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    if not parts or parts[0] in ABOUT_FIRST or parts[-1] in ABOUT_LAST:
+        return len(parts) == 1 and parts[0] in BAD_NAMES
+    if parts[0] in TEXT_NAMES and parts[-1] == "header":
+        return False
+    return parts[0] in BAD_NAMES or parts[-1] in BAD_NAMES
+
+
 def _marked(attrs: str) -> bool:
     if "=" not in attrs:
         return False
     names = " ".join(a or b or c for a, b, c in _MARK.findall(attrs)).lower()
-    return any(part in BAD_NAMES for part in re.split(r"[^a-z0-9]+", names))
+    return any(map(_bad_name, names.split()))
 
 
 class _Page:
-    """Blocks of one page as (text, characters in links, marked bad?, number of the article around or 0)."""
+    """Blocks of one page as (text, characters in links, bad elements around, number of the article around or 0)."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []
-        self.bad, self.article, self.articles = False, 0, 0
+        self.blocks: list[tuple[str, int, tuple, int]] = []
+        self.stack: list[tuple[str, tuple, int]] = []
+        # numbers of the elements around that are marked by name; 0 for one that is bad by its tag
+        self.bad: tuple = ()
+        self.article, self.articles, self.marks = 0, 0, 0
         self.pieces: list[str] = []
         self.links: list[str] = []
         self.in_link = False
@@ -110,13 +129,19 @@ class _Page:
         if name in CONTAINERS and not attrs.endswith("/"):
             self.end_block()
             self.stack.append((name, self.bad, self.article))
-            marked = _marked(attrs) or name in BAD_TAGS or (name == "header" and not self.article)
+            mark = ()
+            if name in BAD_TAGS or (name == "header" and not self.article):
+                mark = (0,)
+            elif _marked(attrs):
+                self.marks += 1
+                mark = (self.marks,)
             if name in ("article", "main"):
-                self.bad = marked or (self.bad and any(n == "article" for n, _, _ in self.stack[:-1]))
+                within = any(n == "article" for n, _, _ in self.stack[:-1])
+                self.bad = (self.bad if within else ()) + mark
                 self.articles += 1
                 self.article = self.articles
             else:
-                self.bad = self.bad or marked
+                self.bad = self.bad + mark
 
     def close(self, name: str) -> None:
         if name == "a":
@@ -132,6 +157,7 @@ class _Page:
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, int]]:
+    """Blocks as (text, characters in links, bad by markup, number of the article around or 0)."""
     p, at = _Page(), 0
     for m in _TAG.finditer(page):
         if m.start() > at:
@@ -146,7 +172,20 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     if at < len(page):
         p.text(page[at:])
     p.end_block()
-    return p.blocks
+    if not p.marks:
+        return [(t, n, bool(bad), a) for t, n, bad, a in p.blocks]
+    # an element around most of the page's text is no boilerplate, whatever its name, unless an article is free of marks
+    size = [0 if 0 in bad or n > LINKS_MOST * len(t) else len(t) for t, n, bad, _ in p.blocks]
+    good = [s and first_pass(t, n, False, a) == GOOD for s, (t, n, _, a) in zip(size, p.blocks)]
+    inside: dict[int, list] = {}
+    for s, ok, (_, _, bad, _) in zip(size, good, p.blocks):
+        for mark in bad:
+            one = inside.setdefault(mark, [0, False])
+            one[0], one[1] = one[0] + s, one[1] or ok
+    free = any(a and not bad for _, _, bad, a in p.blocks)
+    outer = set() if free else {mark for mark, (s, ok) in inside.items() if mark and ok and 2 * s > sum(size)}
+    # within such elements, what is marked itself stays so, unless it holds most of the text as well
+    return [(t, n, any(m not in outer for m in bad), a) for t, n, bad, a in p.blocks]
 
 
 def first_pass(text: str, linked: int, bad: bool, article: int) -> str:

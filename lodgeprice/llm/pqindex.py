@@ -144,44 +144,53 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding")
     sound = vectors.where(v.isNotNull() & F.col("vec_id").isNotNull()).where(
         F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0))
-    size = sound.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()  # a row per length
-    sound = sound.where(F.size(v) == (size["d"] if size else 0))
     plain = F.transform(v, lambda e: e.cast("double") + 0.0)  # -0.0 becomes 0.0
     return sound.groupBy(plain.alias("embedding")).agg(F.min("vec_id").alias("vec"), F.count("*").alias("n"))
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
-    """Per row: ``vec_id, n_links, component_id, kept``."""
-    spark = vectors.sparkSession
+    """Per row: ``vec_id, n_links, component_id, kept``; vectors of each length have an index of their own."""
     base = written(usable(vectors.select("vec_id", "embedding")), "pq-classes")
-    rows = base.count()
+    found = None
+    for row in base.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect():  # a row per length
+        links = _links(base.where(F.size("embedding") == row["d"]), row["count"])
+        found = links if found is None else found.union(links)
+    return _report(vectors, base, found)
+
+
+def _links(base: DataFrame, rows: int) -> DataFrame:
+    """Counts and component edges ``vec, n, root`` of the distinct vectors of one length."""
+    spark = base.sparkSession
+    sample = base.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("embedding").toPandas()
+    shared = spark.sparkContext.broadcast(Quantiser(_unit(sample["embedding"]), rows))
+
+    def probe(batches):
+        q = shared.value
+        for pdf in batches:
+            if len(pdf):
+                lists = q.nearest(_unit(pdf["embedding"]), PROBES)
+                yield pdf.assign(home=lists[:, 0], probes=list(lists))
+
+    placed = written(base.mapInPandas(probe, "embedding array<double>, vec long, n long, home long, probes array<long>"),
+                     "pq-placed")
+    held = placed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asked = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(
+        F.ceil(F.count("*") / BLOCK).alias("q_blocks"))
+    size = F.broadcast(held.join(asked, "list"))  # a row per list, MOST_LISTS at most
+    index = placed.withColumn("list", F.col("home")).join(size, "list").withColumns({
+        "block": F.pmod(F.xxhash64("vec"), "blocks"), "q_block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)),
+        "query": F.lit(False)})
+    queries = placed.withColumn("list", F.explode("probes")).join(size, "list").withColumns({
+        "q_block": F.pmod(F.xxhash64("vec", F.lit(1)), "q_blocks"),
+        "block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "query": F.lit(True)})
+    cols = ["list", "block", "q_block", "query", "vec", "n", "home", "probes", "embedding"]
+    met = index.select(*cols).union(queries.select(*cols)).groupBy("list", "block", "q_block")
+    return written(met.applyInPandas(lambda pdf: _compare(pdf, shared.value), "vec long, n long, root long"), "pq-links")
+
+
+def _report(vectors: DataFrame, base: DataFrame, found: DataFrame | None) -> DataFrame:
     n_links = None
-    if rows:
-        sample = base.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("embedding").toPandas()
-        shared = spark.sparkContext.broadcast(Quantiser(_unit(sample["embedding"]), rows))
-
-        def probe(batches):
-            q = shared.value
-            for pdf in batches:
-                if len(pdf):
-                    lists = q.nearest(_unit(pdf["embedding"]), PROBES)
-                    yield pdf.assign(home=lists[:, 0], probes=list(lists))
-
-        placed = written(base.mapInPandas(probe, "embedding array<double>, vec long, n long, home long, probes array<long>"),
-                         "pq-placed")
-        held = placed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        asked = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(
-            F.ceil(F.count("*") / BLOCK).alias("q_blocks"))
-        size = F.broadcast(held.join(asked, "list"))  # a row per list, MOST_LISTS at most
-        index = placed.withColumn("list", F.col("home")).join(size, "list").withColumns({
-            "block": F.pmod(F.xxhash64("vec"), "blocks"), "q_block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)),
-            "query": F.lit(False)})
-        queries = placed.withColumn("list", F.explode("probes")).join(size, "list").withColumns({
-            "q_block": F.pmod(F.xxhash64("vec", F.lit(1)), "q_blocks"),
-            "block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "query": F.lit(True)})
-        cols = ["list", "block", "q_block", "query", "vec", "n", "home", "probes", "embedding"]
-        met = index.select(*cols).union(queries.select(*cols)).groupBy("list", "block", "q_block")
-        found = written(met.applyInPandas(lambda pdf: _compare(pdf, shared.value), "vec long, n long, root long"), "pq-links")
+    if found is not None:
         comp = connected(found.where("root >= 0").select(F.col("vec").alias("a"), F.col("root").alias("b")))
         n_links = found.groupBy("vec").agg(F.sum("n").alias("links"))
         per = base.join(n_links, "vec", "left").join(comp.withColumnRenamed("node", "vec"), "vec", "left").select(

@@ -30,6 +30,8 @@ STATS = ["st_words", "st_mean_word", "st_upper", "st_digit", "st_symbol", "st_ba
          "st_repeat3", "st_lines", "st_line_repeat", "st_long_word"]
 TREES, DEPTH, LASSO, SEED = 20, 3, 0.003, 7
 TRAIN_PARTS = 16
+#: Labelled rows of a training partition beyond that.
+PART_ROWS = 50_000
 #: Of every three ids one is held out: crc32 of the id as text, modulo 3.
 FOLDS, HELD = 3, 1
 
@@ -160,7 +162,8 @@ def train_on(stats: DataFrame, labels: DataFrame):
         F.col("doc_id").alias("lab_id"), F.col("quality").cast("double").alias("label"))
     rows = stats.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("lab_id"))
     # a layout of its own, so that the forest's samples don't depend on how the input was split
-    rows = rows.select("doc_id", *STATS, "label").repartition(TRAIN_PARTS, "doc_id").sortWithinPartitions("doc_id", *STATS, "label")
+    parts = max(TRAIN_PARTS, -(-labels.count() // PART_ROWS))
+    rows = rows.select("doc_id", *STATS, "label").repartition(parts, "doc_id").sortWithinPartitions("doc_id", *STATS, "label")
     return fit(written(rows, "quality-train"))
 
 
@@ -174,6 +177,8 @@ def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is 0.5 or more, columns unchanged."""
-    model = train_on(with_stats(docs.select("doc_id", "text"), "text"), labels)
+    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct()
+    learnt = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(known, "doc_id", "left_semi")
+    model = train_on(with_stats(learnt, "text"), labels)
     rows, names = hidden(docs, "quality_col")
     return with_stats(rows, names["text"]).where(score_column(model) >= 0.5).select(*shown(names))

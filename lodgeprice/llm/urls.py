@@ -31,18 +31,21 @@ RULES = [
 
 #: The labelled URL table: hosts of either kind, each with two paths.
 BLOCKED_HOSTS = """
-casino-win casino-royal best-casino online-casino slots-jackpot poker-win free-poker free-bets sports-bets bets-online
-lucky-bets cheap-pills pills-online discount-pills pharma-cheap cheap-meds viagra-shop cheap-viagra adult-x adult-cams
-adult-video xxx-video xxx-tube hot-cams free-porn porn-x spam-farm link-farm spam-links seo-spam click-farm ads-track
-ads-server track-ads click-track popup-ads ad-tracker free-loans payday-loans quick-cash win-money free-money
-get-rich-fast crypto-double cheap-watches replica-bags free-gift free-prize warez-crack keygen-crack
+casino casino-royal best-casino online-casino casino-bonus mega-casino slots-jackpot jackpot-slots poker-room free-poker
+poker-win poker-stars win-big winner-slots bets-online sports-bets lucky-bets bet-now bet24 bet-bonus betting-tips mybets
+cheap-meds cheap-pharma pills-online discount-pills pills-shop diet-pills pharma-cheap viagra-shop cheap-viagra cialis-now
+adult-cams adult-video adult-tube sexy-adult xxx-video xxx-tube hot-cams free-porn porn-x porn-tube pornstars live-sex
+sex-cams sexvideos spam-links seo-spam spam-mail link-farm click-farm farm-links ads-server ads-click popup-ads track-ads
+click-track ad-tracker pixel-track free-loans payday-loans quick-cash win-money free-money get-rich-fast crypto-double
+cheap-watches replica-bags free-gift free-prize free-spins warez-crack keygen-crack torrent-warez
 """.split()
 ALLOWED_HOSTS = """
 news daily weather science history library museum archive journal gazette university college physics biology garden
 cooking recipes travel railway harbour mountain river forest painting theatre orchestra football cricket chess
 mathematics statistics astronomy medicine hospital teacher student parent village council parliament court justice
-python database compiler engineering bridge thering therand thenand ononer erthan andthe ofthein tionand theron
-inthan ouring ingthe hering edther stentor
+python database compiler engineering bridge brindle marlow tessera quillon verdano halden morrowind pelican thistle
+weatherby northolt ashdown the-other these-things breath-of-air thinking another mother gathering whether-report
+wikipedia github openstreetmap gutenberg britannica nature physicsworld bookshop cityhall theguide thelocal hether
 """.split()
 LABEL_PATHS = ["/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}", "/", "/articles/{n}"]
 LABEL_DOMAINS = ["example.com", "example.net", "example.org"]

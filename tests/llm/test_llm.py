@@ -321,15 +321,15 @@ def test_spans_of_random_repeats(spark):
 
 # 9 near duplicates
 
-def near_truth(rows):
+def near_truth(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = words(t)
         sets[i] = frozenset(tuple(w[j:j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
     low = {i: i for i in sets}
     edges = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b]
-             and min(len(sets[a]), len(sets[b])) * 100 >= 85 * max(len(sets[a]), len(sets[b]))
-             and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+             and min(len(sets[a]), len(sets[b])) * 100 >= percent * max(len(sets[a]), len(sets[b]))
+             and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in range(len(sets)):
         before = dict(low)
         for a, b in edges:
@@ -380,7 +380,7 @@ def test_pairs_of_small_and_large_buckets_are_all_compared(spark):
     bands = {r.doc_id: set(r.bands) for r in sig.collect()}
     sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
     want = {(a, b) for a, b in itertools.combinations(sets, 2)
-            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and bands[a] & bands[b]}
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and bands[a] & bands[b]}
     assert len(want) > 20
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
@@ -503,7 +503,7 @@ def test_pipeline_against_its_parts(spark):
     clean = labels[(labels.quality == 1)].doc_id
     first = corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).toPandas()
     assert first.doc_id.isin(clean).sum() >= 0.97 * len(clean)
-    near = near_truth(list(zip(first.doc_id, first.text)))
+    near = near_truth(list(zip(first.doc_id, first.text)), 80)
     second = first[[near[i][1] == i for i in first.doc_id]]
     leaking = {r.doc_id for r in decontam.leaks(spark.createDataFrame(second), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     third = second[~second.doc_id.isin(leaking)]
