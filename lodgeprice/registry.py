@@ -1372,13 +1372,17 @@ def u04_score_requests(spark, sf):
 
 @query("u05_score_stream")
 def u05_score_stream(spark, sf):
-    """Request files arrive in a folder; a Structured Streaming query scores them (availableNow)."""
+    """Request files arrive in a folder; a Structured Streaming query scores them (availableNow).
+
+    The index of the listings is built once, before the stream; every micro-batch searches the written one.
+    """
+    from .operators.geo_join import ListingIndex
     from .plans.scoring import score
     from .session import scratch_path
     from .streaming.score_stream import score_stream
     model, feat, cols, spec = _served_model(spark, sf)
     avg = A.safe_means(feat, listings(spark, sf)).first().asDict()
-    lst = listings(spark, sf)
+    lst = ListingIndex.build(listings(spark, sf))
     reqs = fx.requests_with_amenities(spark, sf)
     in_dir, out_dir, ck = (scratch_path(spark, x) for x in ("req-in", "req-out", "req-ckpt"))
     reqs.repartition(4).write.parquet(in_dir)

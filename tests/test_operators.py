@@ -119,6 +119,27 @@ def test_nearest_listing_exact_against_brute_force(spark):
         assert abs(got[k] - want[k]) < 1e-6 * max(1.0, want[k])
 
 
+def test_listing_index_is_built_once_and_far_requests_meet_few_cells(spark, tmp_path):
+    from lodgeprice.operators.geo_join import LEVELS, ListingIndex, candidate_cells
+
+    rnd = random.Random(11)
+    pts = [(52.3 + rnd.random() * 0.4, 13.1 + rnd.random() * 0.6) for _ in range(5000)]
+    pts += [(-89.9, 179.9), (-36.8, -179.9), (-36.8, 179.95)]
+    listings = spark.createDataFrame(pts + [(None, 1.0)], "latitude double, longitude double")
+    ListingIndex.build(listings, str(tmp_path / "index"))
+    index = ListingIndex.load(spark, str(tmp_path / "index"))
+    req = [(1, 0.0, -60.0), (2, 89.0, 0.0), (3, -37.0, -179.99), (4, 52.5, 13.4), (5, -88.0, 10.0), (6, 10.0, 100.0), (7, None, 3.0)]
+    rdf = spark.createDataFrame(req, "req_id long, latitude double, longitude double")
+    want = _brute_min([r for r in req if r[1] is not None], pts)
+    got = {r.req_id: r.min_distance_km for r in nearest_listing_km(rdf, index).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 * max(1.0, want[k]) for k in want)
+    for level in range(LEVELS):
+        most = candidate_cells(rdf, index, level).groupBy("rid").count().agg(F.max("count")).first()[0]
+        assert most <= 60, (level, most)  # of some 1,800 cells of the lowest level
+    plan = nearest_listing_km(rdf, index)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_nearest_listing_no_listings_is_zero(spark):
     ldf = spark.createDataFrame([], "latitude double, longitude double")
     rdf = spark.createDataFrame([(1, 52.5, 13.4)], "req_id long, latitude double, longitude double")
