@@ -178,5 +178,104 @@ def comps_per_request(batch: DataFrame, filters: DataFrame, active: list[str]) -
         "req_id", *[filters[c].alias(f"f_{c}") for c in active], F.coalesce("n_comps", F.lit(0)).alias("n_comps"))
 
 
-__all__ = ["SIMILAR_K", "FILTER_COLUMNS", "comps", "comps_batch", "comps_filters", "comps_per_request", "focus_marker", "focus_markers", "training_listings",
+#: Filters of a map request: listing columns that must be equal, and ranges.
+EQUAL_FILTERS = {"neighbourhood_group_cleansed": "string", "bedrooms": "double", "beds": "double", "accommodates": "int",
+                 "property_type": "string", "room_type": "string"}
+RANGE_FILTERS = ("price_min", "price_max", "rating_min")
+#: Price bins for each doubling of the price.
+BINS = 4
+
+
+def _bin(price):
+    return F.floor(F.log2(F.greatest(price, F.lit(0.0)) + 1) * BINS).cast("int")
+
+
+def comps_by_filters(raw: DataFrame, filters: DataFrame, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """U8 with every filter of the map: the requests' combinations, and the tiered comps of each combination.
+
+    ``filters`` holds ``req_id`` and any of ``EQUAL_FILTERS`` (raw values) and ``RANGE_FILTERS``; null or missing:
+    not applied, and a missing rating of a listing counts as 0. ``similar(req_id, id)`` is the advanced mode: a
+    request with rows there sees these listings only, one without sees all. Returns ``(req_id, combo)`` and
+    ``(combo, id, latitude, longitude, price_clean, tier)``; a combination is named by its smallest request, and
+    terciles are taken before rows without coordinates go.
+
+    Combinations are joined by the columns they fill, pattern by pattern as far as patterns occur, and by price bin
+    where they have a price range; rows are compared with the exact limits afterwards.
+    """
+    spark = raw.sparkSession
+    price = money("price")
+    base = training_listings(raw).select("id", *[F.col(c).cast(t).alias(c) for c, t in EQUAL_FILTERS.items()], "latitude", "longitude",
+                                         price.alias("price_clean"), F.coalesce("review_scores_rating", F.lit(0.0)).alias("_rating"),
+                                         _bin(price).alias("_bin"))
+    path = scratch_path(spark, "comps-base")
+    base.write.parquet(path)
+    base = spark.read.schema(base.schema).parquet(path)
+
+    def given(c, kind):
+        return F.col(c).cast(kind) if c in filters.columns else F.lit(None).cast(kind)
+
+    wants = filters.select("req_id", *[given(c, t).alias(f"f_{c}") for c, t in EQUAL_FILTERS.items()],
+                           *[given(c, "double").alias(c) for c in RANGE_FILTERS])
+    if similar is None:
+        wants = wants.withColumn("own", F.lit(None).cast(wants.schema["req_id"].dataType))
+    else:
+        wants = wants.join(similar.select("req_id", F.col("req_id").alias("own")).distinct(), "req_id", "left")
+    names = [c for c in wants.columns if c != "req_id"]
+    combos = wants.groupBy(*names).agg(F.min("req_id").alias("combo"))
+    path = scratch_path(spark, "comps-combos")
+    combos.write.parquet(path)
+    combos = spark.read.schema(combos.schema).parquet(path)
+    same = None
+    for c in names:
+        term = wants[c].eqNullSafe(combos[c])
+        same = term if same is None else same & term
+    asked = wants.join(combos, same).select("req_id", "combo")
+
+    ranged = F.col("price_min").isNotNull() | F.col("price_max").isNotNull()
+    pattern = F.concat_ws(",", *[F.when(F.col(f"f_{c}").isNotNull(), F.lit(c)) for c in EQUAL_FILTERS],
+                          F.when(ranged, F.lit("_bin")))
+    within = ((F.col("price_min").isNull() | (F.col("price_clean") >= F.col("price_min")))
+              & (F.col("price_max").isNull() | (F.col("price_clean") <= F.col("price_max")))
+              & (F.col("rating_min").isNull() | (F.col("_rating") >= F.col("rating_min"))))
+    shared = combos.where("own is null").withColumn("pattern", pattern)
+    kept = ["combo", "id", "latitude", "longitude", "price_clean"]
+    found = None
+    for row in shared.select("pattern").distinct().collect():  # at most 2^7, a handful in practice
+        keys = [k for k in row["pattern"].split(",") if k]
+        mine = shared.where(F.col("pattern") == row["pattern"])
+        cols = [F.col(f"f_{k}").alias(k) for k in keys if k != "_bin"]
+        if "_bin" in keys:
+            last = F.coalesce(F.col("price_max"), F.lit(float(MAX_TRAIN_PRICE)))
+            lows, highs = _bin(F.coalesce("price_min", F.lit(0.0))), _bin(last)
+            cols.append(F.explode(F.when(lows <= highs, F.sequence(lows, highs)).otherwise(F.array().cast("array<int>"))).alias("_bin"))
+        mine = mine.select("combo", *RANGE_FILTERS, *cols)
+        if keys:
+            part = base.join(mine, keys)
+        else:  # by rating alone, or nothing at all: each listing meets the ratings it may have
+            marks = [r[0] for r in mine.select("rating_min").distinct().orderBy("rating_min").collect()]  # distinct limits
+            fits = F.array(*[F.when(F.lit(m).cast("double").isNull() | (F.col("_rating") >= F.lit(m)), F.lit(i)) for i, m in enumerate(marks)])
+            number = F.coalesce(*[F.when(F.col("rating_min").eqNullSafe(F.lit(m).cast("double")), F.lit(i)) for i, m in enumerate(marks)])
+            part = base.withColumn("_mark", F.explode(F.array_compact(fits))).join(
+                F.broadcast(mine.withColumn("_mark", number)), "_mark")  # one row a limit
+        part = part.where(within).select(*kept)
+        found = part if found is None else found.unionByName(part)
+    if similar is not None:
+        alone = combos.where("own is not null")
+        part = similar.distinct().join(base, "id").join(alone, F.col("req_id") == F.col("combo")).where(within)
+        for c in EQUAL_FILTERS:
+            part = part.where(F.col(f"f_{c}").isNull() | (F.col(c) == F.col(f"f_{c}")))
+        part = part.select(*kept)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = base.join(combos.where("false"), F.lit(False)).select(*kept)
+    path = scratch_path(spark, "comps-found")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    prices = found.groupBy("combo", "price_clean").agg(F.count("*").alias("n"))
+    limits = prices.groupBy("combo").agg(F.percentile("price_clean", F.array(F.lit(1 / 3), F.lit(2 / 3)), F.col("n")).alias("q"))
+    tiered = found.join(limits, "combo").withColumn("tier", price_tier("price_clean", F.col("q")[0], F.col("q")[1]))
+    return asked, P.mappable(tiered).select(*kept, "tier")
+
+
+__all__ = ["SIMILAR_K", "FILTER_COLUMNS", "comps", "comps_batch", "comps_by_filters", "comps_filters", "comps_per_request", "focus_marker", "focus_markers", "training_listings",
            "with_focus"]

@@ -1008,6 +1008,54 @@ def u08_comps_per_request(spark, sf):
     return C.comps_per_request(C.comps_batch(listings(spark, sf), filters, active), filters, active)
 
 
+# stand-in choices of the map's filters: each request turns some on by its number; one in ten is in advanced mode
+_ALL_FILTERS = {
+    "bedrooms": "case when req_id % 3 = 0 then bedrooms end", "beds": "case when req_id % 5 = 0 then beds end",
+    "accommodates": "case when req_id % 4 = 1 then accommodates end",
+    "property_type": "case when req_id % 6 = 5 then property_type end", "room_type": "case when req_id % 4 = 3 then room_type end",
+    "price_min": "case when req_id % 3 = 1 then cast(20 * (req_id % 7) as double) end",
+    "price_max": "case when req_id % 5 = 1 then cast(150 + 20 * (req_id % 7) as double) end",
+    "rating_min": "case when req_id % 5 = 2 then 2.5 + (req_id % 3) end",
+}
+
+
+def _all_filters_sql() -> str:
+    cols = ", ".join(f"{e} as {c}" for c, e in _ALL_FILTERS.items())
+    equal = " and ".join(f"(f.{c} is null or l.{c} = f.{c})" for c in ("bedrooms", "beds", "accommodates", "property_type", "room_type"))
+    return f"""
+with f as (select req_id, {cols} from requests),
+l as (select id, bedrooms, beds, accommodates, property_type, room_type, latitude, longitude,
+        coalesce(review_scores_rating, 0) as rating, {S.money('price')} as price
+      from listings where {S.money('price')} is not null and {S.money('price')} <= 3000 and not ({SP.split_sql()})),
+sim as (select * from ({_knn_sql()}) where req_id % 10 = 9),
+m as (
+  select f.req_id, l.* from f join l on {equal} and (price_min is null or price >= price_min)
+    and (price_max is null or price <= price_max) and (rating_min is null or rating >= rating_min)
+  where f.req_id % 10 <> 9 or (f.req_id, l.id) in (select (req_id, id) from sim)),
+q as (select req_id, quantile_cont(price, 1/3) as lo, quantile_cont(price, 2/3) as hi from m group by req_id),
+t as (select m.req_id, id, case when price <= lo then 'red' when price <= hi then 'orange' else 'green' end as tier
+      from m join q using (req_id) where latitude is not null and longitude is not null)
+select f.req_id, count(id) as n_comps, coalesce(sum(id), 0)::bigint as id_sum, count(id) filter (tier = 'red') as n_red,
+  count(id) filter (tier = 'orange') as n_orange, count(id) filter (tier = 'green') as n_green
+from f left join t using (req_id) group by f.req_id"""
+
+
+@query("u08_comps_all_filters", _all_filters_sql())
+def u08_comps_all_filters(spark, sf):
+    """U8 with every filter of the map and the advanced mode: per request, its comps by tier."""
+    from .operators.knn import similar_ids
+    asked = requests(spark, sf)
+    filters = asked.select("req_id", *[F.expr(e).alias(c) for c, e in _ALL_FILTERS.items()])
+    focus = asked.where("req_id % 10 = 9").select("req_id", "latitude", "longitude", "accommodates", "bedrooms", "beds",
+                                                 F.col("bathrooms").alias("bathrooms_numeric"))
+    similar = similar_ids(listings(spark, sf), focus, focus_id="req_id").select("req_id", "id")
+    combos, found = C.comps_by_filters(listings(spark, sf), filters, similar)
+    tiers = found.groupBy("combo").agg(
+        F.count("*").alias("n_comps"), F.sum("id").cast("long").alias("id_sum"),
+        *[F.count(F.when(F.col("tier") == t, 1)).alias(f"n_{t}") for t in ("red", "orange", "green")])
+    return combos.join(tiers, "combo", "left").drop("combo").na.fill(0)
+
+
 @query("j03_similar_semijoin", f"""
 with base as (select id, accommodates, latitude, longitude, {S.money('price')} as price_clean from ({_comps_base_sql()})),
 cases as (select 'set' as case_, * from base where id in (select id from listings where accommodates = 4)

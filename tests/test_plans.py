@@ -270,3 +270,50 @@ def test_leaderboard_holds_knn_and_the_stack(spark, monkeypatch):
     df = df.withColumn("price", 30 + 4 * F.col("a") - 2 * F.col("b"))
     rows = models.benchmark(df, ["a", "b"], ["knn", "decision_tree", "stacking_ensemble"]).collect()
     assert {r.model for r in rows} == {"knn", "decision_tree", "stacking_ensemble"} and all(r.rmse < 20 for r in rows)
+
+
+def test_comps_by_all_filters_against_plain_python(spark):
+    import random
+
+    import numpy as np
+
+    from lodgeprice.operators.split import train_part
+    from lodgeprice.plans.comps import comps_by_filters
+
+    rnd = random.Random(9)
+    raw = [(i, rnd.choice(["Mitte", "Pankow", None]), rnd.choice([1.0, 2.0, None]), 1.0, rnd.choice([2, 4]), rnd.choice(["A", "B"]), "R",
+            rnd.choice([52.5, None]), 13.4, rnd.choice([None, 3.0, 4.5]), f"${rnd.randint(1, 3200):,}.00") for i in range(300)]
+    schema = ("id long, neighbourhood_group_cleansed string, bedrooms double, beds double, accommodates int, property_type string, "
+              "room_type string, latitude double, longitude double, review_scores_rating double, price string")
+    listings = spark.createDataFrame(raw, schema)
+    asks = [(0, None, None, None, None, None), (1, "Mitte", None, None, None, None), (2, "Mitte", 2, None, None, None),
+            (3, None, None, 100.0, 900.0, None), (4, None, 4, None, 500.0, 4.0), (5, None, None, None, None, 3.0),
+            (6, "Mitte", None, None, None, None), (7, None, None, 800.0, 100.0, None), (8, "Pankow", None, None, None, None),
+            (9, None, None, None, None, None), (10, "none", None, None, None, None)]
+    filters = spark.createDataFrame(asks, "req_id long, neighbourhood_group_cleansed string, accommodates int, price_min double, "
+                                          "price_max double, rating_min double")
+    chosen = {8: {i for i in range(0, 300, 3)}, 9: {1, 2, 5, 9999}}
+    similar = spark.createDataFrame([(r, i) for r, ids in chosen.items() for i in ids], "req_id long, id long")
+    train = {r.id for r in train_part(listings).select("id").collect()}
+    combos, found = comps_by_filters(listings, filters, similar)
+    combo = {r.req_id: r.combo for r in combos.collect()}
+    assert combo[6] == combo[1] == 1 and combo[9] == 9 and len(combo) == len(asks)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.combo, {})[r.id] = r.tier
+    for req, district, guests, low, high, rating in asks:
+        rows = []
+        for r in raw:
+            p = float(r[10].replace("$", "").replace(",", ""))
+            if (r[0] in train and p <= 3000 and district in (None, r[1]) and guests in (None, r[4]) and (low is None or p >= low)
+                    and (high is None or p <= high) and (rating is None or (r[9] or 0) >= rating)
+                    and (req not in chosen or r[0] in chosen[req])):
+                rows.append((r[0], p, r[7]))
+        want = {}
+        if rows:
+            a, b = np.quantile([p for _, p, _ in rows], [1 / 3, 2 / 3])
+            want = {i: "red" if p <= a + 1e-9 else "orange" if p <= b + 1e-9 else "green" for i, p, lat in rows if lat is not None}
+        assert got.get(combo[req], {}) == want, req
+    assert comps_by_filters(listings, filters.limit(0))[1].count() == 0
+    assert comps_by_filters(listings.limit(0), filters)[1].count() == 0
+    assert comps_by_filters(listings, filters.select("req_id"))[0].select("combo").distinct().count() == 1
