@@ -147,25 +147,6 @@ PREFERRED_MODELS = ["catboost_tuned.joblib", "catboost.joblib"]
 DEFAULT_MODEL_SERVING = "catboost_tuned.joblib"
 DEFAULT_MODEL_REPORTS = "xgboost"
 
-# FIXED VALUES: published test RMSE per model (price units).
-PUBLISHED_RMSE = {
-    "catboost_tuned": 79.08,
-    "sklearn_gbr": 82.62,
-    "stacking_ensemble": 83.21,
-    "xgboost_improved": 83.65,
-    "xgboost_tuned": 83.70,
-    "xgboost_log_enhanced": 85.32,
-    "lightgbm_tuned": 85.94,
-    "random_forest": 89.85,
-    "knn": 92.12,
-    "histgb_tuned": 94.47,
-    "linear_regression": 97.27,
-    "ridge": 97.29,
-    "lasso": 97.42,
-    "mlp_tuned": 101.56,
-    "decision_tree": 112.42,
-}
-
 # FIXED VALUES: the 80 feature names in the order the serving side sends them to the model.
 SERVED_FEATURE_ORDER = [
     "accommodates", "bedrooms", "beds", "review_scores_rating", "number_of_reviews",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import AMENITIES, DEFAULT_AVERAGES, MAX_DISTANCE_KM, REVIEW_COLUMNS, ROOM_TYPES
+from ..constants import AMENITIES, DEFAULT_AVERAGES, MAX_DISTANCE_KM, REVIEW_COLUMNS, ROOM_TYPES, SERVED_FEATURE_ORDER
 from ..functions.encode import amenity_names, multi_hot, one_hot, one_hot_top
 from ..functions.geo import landmark_distances, landmark_names
 from ..functions.rowstats import row_mean, row_min, row_std, row_sum
@@ -103,6 +103,16 @@ def build_request_features(req: DataFrame, spec: FeatureSpec, averages: dict[str
     return out.select(*keep, "latitude", "longitude", *feature_columns(spec))
 
 
+def served_features(req: DataFrame, averages: dict[str, float] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """U3 for a model that was trained elsewhere and reads by position: ``keep``, then the features in the served order."""
+    keep = keep or ["req_id"]
+    out = build_request_features(req, serving_spec(), averages, keep)
+    missing = set(SERVED_FEATURE_ORDER) - set(out.columns)
+    if missing:
+        raise ValueError(f"features that the serving lists don't give: {sorted(missing)}")
+    return out.select(*keep, *SERVED_FEATURE_ORDER)
+
+
 def district_key(name: str) -> str:
     """Serving-side district key of a display name (no underscore collapsing)."""
     return "is_" + slug(name, "district")
@@ -110,5 +120,5 @@ def district_key(name: str) -> str:
 
 __all__ = [
     "DERIVED", "MAX_DISTANCE_KM", "build_request_features", "derived_columns", "engineer_features",
-    "feature_columns", "serving_spec", "district_key",
+    "feature_columns", "served_features", "serving_spec", "district_key",
 ]

@@ -317,3 +317,13 @@ def test_comps_by_all_filters_against_plain_python(spark):
     assert comps_by_filters(listings, filters.limit(0))[1].count() == 0
     assert comps_by_filters(listings.limit(0), filters)[1].count() == 0
     assert comps_by_filters(listings, filters.select("req_id"))[0].select("combo").distinct().count() == 1
+
+
+def test_served_features_come_in_the_served_order(spark):
+    from lodgeprice.constants import SERVED_FEATURE_ORDER
+    from lodgeprice.plans.features import feature_columns, served_features, serving_spec
+    from lodgeprice.sources import fixtures as fx
+
+    assert sorted(feature_columns(serving_spec())) == sorted(SERVED_FEATURE_ORDER) and len(SERVED_FEATURE_ORDER) == 80
+    out = served_features(fx.requests_with_amenities(spark, "/root/testdata/sf0.001"))
+    assert out.columns == ["req_id", *SERVED_FEATURE_ORDER] and out.first() is not None
