@@ -175,10 +175,14 @@ def test_leaks_of_a_long_repetitive_text_take_linear_work():
     assert index.leaks(w.hash, w.first) == [(0, 0, 299_800, 200, 200)] and time.process_time() - began < 60
 
 
-def test_ring_places_equal_a_walk_key_by_key(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    rows = sharding.shard_report(docs).collect()
-    per = np.bincount([r.shard for r in rows], minlength=40)
+def test_ring_is_balanced_and_one_more_shard_moves_few_keys(spark):
+    docs = spark.range(16_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    rows = {r.doc_id: r for r in sharding.shard_report(docs, 40).collect()}
+    per = np.bincount([r.shard for r in rows.values()], minlength=40)
     assert per.max() - per.min() <= 1
     for s in range(40):
-        assert sorted(r.slot for r in rows if r.shard == s) == list(range(per[s]))
+        assert sorted(r.slot for r in rows.values() if r.shard == s) == list(range(per[s]))
+    more = {r.doc_id: r.shard for r in sharding.shard_report(docs, 41).collect()}
+    moved = sum(rows[i].shard != s for i, s in more.items()) / len(more)
+    print(f"moved {moved:.3f}")
+    assert 1 / 41 <= moved + 1e-3 and moved < 0.06
