@@ -9,17 +9,29 @@ from reference phrases with the same anchor; the reference blocks are the hash
 partitions of the anchors, and a document meets every block that can hold a
 factor of it.
 
-Every document is factored against the reference greedily, longest factor first:
+Every document is factored against the reference greedily, longest factor first.
+A factor is (document, position, length, reference document, reference position):
 
 1. A whole phrase that occurs elsewhere is a factor. Anchors that occur once, and
-   phrases that occur several times, are settled here by counts alone.
-2. At factor boundaries (phrases that occur once, under an anchor that other
-   phrases share) the factor is shorter than the phrase: their windows are read
-   from the texts and looked up in the windows of the anchor's distinct phrases.
-
-Factors of at least ``WINDOW`` words are the duplicate spans. Keys are pairs of
-64-bit hashes; counting combines before it shuffles, so that a passage in a
-third of all documents is one key with a count.
+   phrases that occur several times, are settled here by counts alone; the
+   reference is the first occurrence, for that one itself the last.
+2. Other phrases whose anchor occurs elsewhere go to that anchor's reference block,
+   once each. The block is indexed by the sorted suffixes of its phrases; from each
+   parse position the longest match is the longer common prefix with the two
+   neighbours in that order.
+3. At factor boundaries the parse does not jump over the factor: it goes on with the
+   first window that is not inside it, so that windows across a boundary are looked
+   up as well, and overlapping factors join to one span.
+
+A block of over ``MOST`` phrases is cut: twelve windows in a row share 24 words, six
+share 30, three 33, and single windows are settled by counts. Each cut deals the
+pieces by the words they share, so no task indexes more than ``MOST`` phrases of a
+block. A factor ends where its piece ends; the next piece goes on.
+
+Factors of at least ``WINDOW`` words are the duplicate spans. Hashes have 64 bits
+and are compared in pairs (anchor and phrase, block and window); counting combines
+before it shuffles, so that a passage in a third of all documents is one key with a
+count.
 
 Words are unchanged runs of non-blanks. Defined cases: null and empty texts have
 no words (kept text empty); repeated rows are occurrences of each other; texts
@@ -30,6 +42,7 @@ others by their text; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +55,10 @@ from .common import small_batches, written
 WINDOW, SEED = 35, 12
 #: Bytes of text that are parsed at once.
 PART = 4 << 20
+#: Phrases of a reference block that one task indexes at once; a larger block is cut by more of its words.
+MOST = 4096
+#: Windows that a phrase keeps at each cut (all of them contain the anchor, so a phrase has 24 at most).
+STEPS = (12, 6, 3, 1)
 
 
 def lowest(g: np.ndarray, span: int) -> np.ndarray:
@@ -148,34 +165,204 @@ def parse(docs: DataFrame) -> DataFrame:
                                 "phrase array<bigint>, lo array<int>, size array<int>")
 
 
-def _windows(texts: DataFrame) -> DataFrame:
-    """``anchor, win, rid, s, m`` for every window of the phrases listed in ``parts`` of each text."""
+def _sources(texts: DataFrame) -> DataFrame:
+    """The phrases listed in ``parts`` of each text with their words, as rows of the reference blocks.
+
+    ``key`` (the block, the anchor at first), ``x`` (words before the anchor in the
+    first window), ``size`` (windows), ``rid``, ``lo``, ``m``, ``words`` (hashes).
+    """
     small_batches(texts.sparkSession)
+    middle = np.arange(WINDOW - SEED + 1)
 
     def run(batches):
         for batch in batches:
             for part in wordhash.parts(batch, "text", PART):
                 w = wordhash.words(part.column(1))
                 ok = _row_hash(w) == np.asarray(part.column(2))
-                win = wordhash.windows(w.hash, WINDOW)
-                out = []
-                for i, found in enumerate(part.column(3).to_pylist()):
-                    if not ok[i]:
-                        continue
-                    for f in found:
-                        s = np.arange(f["lo"], f["lo"] + f["size"])
-                        out.append((np.full(len(s), f["anchor"]), win[w.first[i] + s].view(np.int64),
-                                    np.full(len(s), part.column(0)[i].as_py()), s, np.full(len(s), f["m"])))
-                if out:
-                    cols = [np.concatenate(c) for c in zip(*out)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "win", "rid", "s", "m"])
-
-    return texts.select("rid", "text", "row_hash", "parts").mapInArrow(
-        run, "anchor long, win long, rid long, s long, m long")
+                lists = part.column(3)
+                rows = np.repeat(np.arange(len(w)), lists.value_lengths().to_numpy())
+                key, lo, size, m = (np.asarray(c) for c in lists.flatten().flatten())
+                keep = ok[rows]
+                rows, key, lo, size, m = rows[keep], key[keep], lo[keep].astype(np.int64), size[keep].astype(np.int64), m[keep]
+                if not len(rows):
+                    continue
+                start = w.first[rows] + lo
+                x = wordhash.windows(w.hash, SEED)[start[:, None] + middle].argmin(axis=1)
+                words, at = _stretches(w.hash, start, size + WINDOW - 1)
+                yield _source_batch(key, x, size, np.asarray(part.column(0))[rows], lo, m, words, at)
+
+    return texts.select("rid", "text", "row_hash", "parts").mapInArrow(run, SOURCE)
+
+
+SOURCE = "key long, x int, size int, rid long, lo int, m int, words array<bigint>"
+FACTOR = "rid long, lo int, length int, ref_rid long, ref_lo int"
+
+
+def _stretches(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` values from each ``start``, one stretch after the other, and where each begins."""
+    at = np.concatenate([[0], np.cumsum(n)])
+    return values[np.arange(at[-1]) + np.repeat(start - at[:-1], n)], at
+
+
+def _source_batch(key, x, size, rid, lo, m, words, at) -> pa.RecordBatch:
+    ints = [pa.array(c.astype(np.int32)) for c in (x, size, lo, m)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key.view(np.int64)), ints[0], ints[1], pa.array(rid), ints[2], ints[3], _lists(words.view(np.int64), at)],
+        names=["key", "x", "size", "rid", "lo", "m", "words"])
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(key, x, size, rid, lo, m, words of all rows, where each row's words begin) of rows of the reference blocks."""
+    cols = [np.asarray(batch.column(i)).astype(np.int64) for i in range(6)]
+    lists = batch.column(6)
+    at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    return *cols, np.asarray(lists.flatten()).view(np.uint64), at
+
+
+def _cut(sources: DataFrame, step: int) -> DataFrame:
+    """Rows of blocks that are too large, cut into at most ``step`` windows and dealt by all words that these share.
+
+    ``step`` windows in a row have ``WINDOW - step + 1`` words in common; the
+    positions are counted from the anchor, so equal windows are cut alike.
+    """
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, x, size, rid, lo, m, words, at = _columns(batch)
+            top, low = x // step, (x - size + 1) // step  # the pieces of a phrase, from its first window on
+            n = top - low + 1
+            row = np.repeat(np.arange(len(x)), n)
+            piece = top[row] - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+            first = np.minimum(x[row], piece * step + step - 1)
+            last = np.maximum(x[row] - size[row] + 1, piece * step)
+            # words that all windows of a piece share: from the start of its last window to the end of its first one
+            whole, where = _stretches(words, at[row] + x[row] - piece * step, np.full(len(row), WINDOW - step + 1))
+            hashed = range_hashes(whole, where[:-1], where[1:])
+            block = wordhash.mix(hashed + wordhash.mix(key[row].view(np.uint64) + piece.astype(np.uint64)))
+            skip = x[row] - first
+            out, offsets = _stretches(words, at[row] + skip, first - last + WINDOW)
+            yield _source_batch(block, first, first - last + 1, rid[row], lo[row] + skip, m[row], out, offsets)
+
+    return sources.mapInArrow(run, SOURCE)
+
+
+def longest(key: np.ndarray, size: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(phrase, position, length, phrase of the reference, position in it): longest matches of ``WINDOW`` words or more.
+
+    The index of a block is the sorted list of the suffixes of its phrases, taken
+    at the windows' starts; the longest match of a suffix is its longer common
+    prefix with the neighbour before or after it. Only starts with a match are returned.
+    """
+    row = np.repeat(np.arange(len(size)), size)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    start = at[row] + j
+    win = wordhash.windows(words, WINDOW)[start]
+    order = np.lexsort((win, key[row]))
+    same = (win[order][1:] == win[order][:-1]) & (key[row][order][1:] == key[row][order][:-1])
+    again = np.zeros(len(row), dtype=bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    row, j, start, win = row[again], j[again], start[again], win[again]
+    if not len(row):
+        return (row,) * 5
+    rest = size[row] - 1 - j  # words of the phrase after the window
+    width = int(rest.max())
+    ahead = start[:, None] + WINDOW + np.arange(width)
+    tail = np.where(np.arange(width) < rest[:, None], words[np.minimum(ahead, len(words) - 1)], np.uint64(0))
+    order = np.lexsort((rest, *tail.T[::-1], win, key[row]))
+    row, j, rest, win, tail = row[order], j[order], rest[order], win[order], tail[order]
+    same = (win[1:] == win[:-1]) & (key[row[1:]] == key[row[:-1]])
+    common = np.minimum(rest[1:], rest[:-1])
+    equal = np.concatenate([tail[1:] == tail[:-1], np.zeros((len(row) - 1, 1), dtype=bool)], axis=1)
+    prefix = np.where(same, np.minimum(equal.argmin(axis=1), common) + WINDOW, 0)
+    before, after = np.concatenate([[0], prefix]), np.concatenate([prefix, [0]])
+    ref = np.arange(len(row)) + np.where(before >= after, -1, 1)
+    return row, j, np.maximum(before, after), row[ref], j[ref]
+
+
+def greedy(row: np.ndarray, j: np.ndarray, length: np.ndarray, phrases: int) -> np.ndarray:
+    """Indexes of the matches that a parse from left to right takes.
+
+    At each boundary the parse goes on with the next window that is not inside the
+    factor before, so that windows across the boundary are looked up as well.
+    """
+    until = np.zeros(phrases, dtype=np.int64)
+    order = np.argsort(j, kind="stable")
+    edge = np.searchsorted(j[order], np.arange(int(j.max(initial=-1)) + 2))
+    taken = []
+    for a, b in zip(edge[:-1], edge[1:]):  # one step for each position in a phrase, 24 at most
+        at = order[a:b]
+        at = at[j[at] >= until[row[at]]]
+        until[row[at]] = j[at] + length[at] - WINDOW + 1
+        taken.append(at)
+    return np.concatenate(taken) if taken else np.empty(0, dtype=np.int64)
+
+
+def _parse_blocks(sources: DataFrame) -> DataFrame:
+    """Factors of the phrases that occur once (``m`` = 1), each block indexed in one place."""
+    small_batches(sources.sparkSession)
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, _, size, rid, lo, m, words, at = _columns(batch)
+        row, j, length, ref, ref_j = longest(key, size, words, at)
+        mine = m[row] == 1
+        row, j, length, ref, ref_j = row[mine], j[mine], length[mine], ref[mine], ref_j[mine]
+        t = greedy(row, j, length, len(key))
+        row, ref = row[t], ref[t]
+        cols = rid[row], (lo[row] + j[t]).astype(np.int32), length[t].astype(np.int32), rid[ref], (lo[ref] + ref_j[t]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["rid", "lo", "length", "ref_rid", "ref_lo"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < MOST:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = np.asarray(rows.column(0))
+            whole = int(np.searchsorted(key, key[-1]))  # rows are sorted by block; the last one may go on
+            if whole:
+                yield found(rows.slice(0, whole))
+            held = [rows.slice(whole)]
+        if sum(b.num_rows for b in held):
+            yield found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return sources.repartition("key").sortWithinPartitions("key").mapInArrow(run, FACTOR)
+
+
+def _other(own: list[str], first: list[str], last: list[str]) -> list:
+    """Reference columns: the first occurrence, for the first one itself the last."""
+    is_first = (F.col(own[0]) == F.col(first[0])) & (F.col(own[1]) == F.col(first[1]))
+    return [F.when(is_first, F.col(b)).otherwise(F.col(a)).alias(n) for n, a, b in zip(("ref_rid", "ref_lo"), first, last)]
+
+
+def _equal_windows(sources: DataFrame) -> DataFrame:
+    """Factors of blocks of single windows: all rows of a block are equal, so counts settle them without collecting it."""
+    # a block's windows are equal, so that any two rows of it serve as first and last
+    sources = sources.withColumn("win", F.xxhash64("words"))
+    ends = sources.groupBy("key", "win").agg(F.count("*").alias("n"), *[
+        f(c).alias(f"{n}_{c}") for n, f in (("first", F.first), ("last", F.last)) for c in ("rid", "lo")]).where("n > 1")
+    return sources.where("m = 1").join(ends, ["key", "win"]).select(
+        "rid", "lo", F.lit(WINDOW).cast("int").alias("length"),
+        *_other(["rid", "lo"], ["first_rid", "first_lo"], ["last_rid", "last_lo"]))
+
+
+def block_factors(sources: DataFrame) -> DataFrame:
+    """Factors of the phrases in their reference blocks; a block of over ``MOST`` phrases is cut by more of its words."""
+    out = []
+    for step in STEPS:
+        sizes = sources.groupBy("key").agg(F.count("*").alias("block_rows"))
+        hot = written(sizes.where(F.col("block_rows") > MOST).select("key"), "lz-hot")
+        if hot.isEmpty():
+            return reduce(DataFrame.union, [*out, _parse_blocks(sources)])
+        out.append(_parse_blocks(sources.join(hot, "key", "left_anti")))
+        sources = written(_cut(sources.join(hot, "key", "left_semi"), step), "lz-cut")
+    return reduce(DataFrame.union, [*out, _equal_windows(sources)])
 
 
 def _removed(texts: DataFrame) -> DataFrame:
-    """Per text with ``spans`` (first window, windows): ``doc_id, n_words, n_removed, kept_sha256``."""
+    """Per text with ``spans`` (first word, words): ``doc_id, n_words, n_removed, kept_sha256``."""
     small_batches(texts.sparkSession)
     slim = texts.select("doc_id", "text", "row_hash", "spans")
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -193,7 +380,7 @@ def _removed(texts: DataFrame) -> DataFrame:
                     lo, size = np.asarray(spans.field(0)), np.asarray(spans.field(1))
                     edge = np.zeros(total + 1, dtype=np.int64)
                     np.add.at(edge, lo, 1)
-                    np.add.at(edge, lo + size + WINDOW - 1, -1)
+                    np.add.at(edge, lo + size, -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     n.append(total)
                     gone.append(total - int(keep.sum()))
@@ -205,41 +392,66 @@ def _removed(texts: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
-def duplicate_spans(parsed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``rid, first window, windows`` of every duplicate factor; texts of the documents concerned with their ``rid``)."""
+def _factors(parsed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``FACTOR`` rows by ``rid``; texts of the documents concerned with their ``rid``)."""
     each = parsed.select("rid", F.explode(F.arrays_zip("anchor", "phrase", "lo", "size")).alias("f")).select("rid", "f.*")
-    shared = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("p0"), F.max("phrase").alias("p1"))
+    # any two occurrences serve as references; first and last of one aggregate differ where it has two rows
+    shared = each.groupBy("anchor").agg(
+        F.count("*").alias("n"), F.min("phrase").alias("p0"), F.max("phrase").alias("p1"), F.first("rid").alias("first_rid"),
+        F.first("lo").alias("first_lo"), F.last("rid").alias("last_rid"), F.last("lo").alias("last_lo"))
+    ends = ["first_rid", "first_lo", "last_rid", "last_lo"]
     # written, so that both sides of the join come from plain exchanges and Spark can split a hot anchor's rows
-    shared = written(shared.where("n > 1").select("anchor", (F.col("p0") == F.col("p1")).alias("whole")), "lz-shared")
+    shared = written(shared.where("n > 1").select("anchor", (F.col("p0") == F.col("p1")).alias("whole"), *ends), "lz-shared")
     met = written(each.join(shared, "anchor"), "lz-met")
 
     # one occurrence stands for all of a phrase; m says whether there are more
     mixed = met.where("not whole").groupBy("anchor", "phrase").agg(
-        F.min(F.struct("rid", "lo", "size")).alias("o"), F.least(F.count("*"), F.lit(2)).alias("m"))
-    mixed = written(mixed.select("anchor", "phrase", "o.*", "m"), "lz-mixed")
-    whole = met.where("whole").select("rid", "lo", "size").union(
-        met.where("not whole").join(mixed.where("m > 1").select("anchor", "phrase"), ["anchor", "phrase"], "left_semi").select(
-            "rid", "lo", "size"))
+        F.min(F.struct("rid", "lo", "size")).alias("o"), F.max(F.struct("rid", "lo")).alias("z"),
+        F.least(F.count("*"), F.lit(2)).cast("int").alias("m"))
+    mixed = written(mixed.select("anchor", "phrase", "o.*", F.col("z.rid").alias("last_rid"), F.col("z.lo").alias("last_lo"), "m"),
+                    "lz-mixed")
+    again = mixed.where("m > 1").select("anchor", "phrase", F.col("rid").alias("first_rid"), F.col("lo").alias("first_lo"),
+                                        "last_rid", "last_lo")
+    repeated = met.where("whole").select("rid", "lo", "size", *ends).union(
+        met.where("not whole").drop(*ends).join(again, ["anchor", "phrase"]).select("rid", "lo", "size", *ends))
+    repeated = repeated.select("rid", "lo", (F.col("size") + F.lit(WINDOW - 1)).alias("length"),
+                               *_other(["rid", "lo"], ends[:2], ends[2:]))
 
     ids = parsed.select("rid", "doc_id", "row_hash").join(met.select("rid").distinct(), "rid", "left_semi")
-    # copies of a row share phrases and spans; the first stands for them (a phrase's occurrence above is a first one too)
+    # copies of a row share phrases and factors; the first stands for them (a phrase's occurrence above is a first one too)
     ids = ids.groupBy("doc_id", "row_hash").agg(F.min("rid").alias("rid"))
     texts = docs.select(F.col("doc_id").alias("text_id"), "text")
     texts = texts.join(ids, texts["text_id"].eqNullSafe(ids["doc_id"])).drop("text_id")
     texts = written(texts, "lz-texts")
 
-    parts = mixed.groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "size", F.col("m").cast("int").alias("m"))).alias("parts"))
-    wins = written(_windows(texts.join(parts, "rid")).distinct(), "lz-windows")
-    often = wins.groupBy("anchor", "win").agg(F.sum("m").alias("n")).where("n > 1").select("anchor", "win")
-    edges = wins.where("m = 1").join(often, ["anchor", "win"], "left_semi").select("rid", F.col("s").cast("int").alias("lo"), F.lit(1).alias("size"))
-    return whole.union(edges), texts
+    parts = mixed.groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "size", "m")).alias("parts"))
+    sources = written(_sources(texts.join(parts, "rid")), "lz-sources")
+    return repeated.union(block_factors(sources)), texts
+
+
+def _parsed(docs: DataFrame) -> DataFrame:
+    return written(parse(docs).withColumn("rid", F.monotonically_increasing_id()), "lz-parsed")
+
+
+def factors(docs: DataFrame) -> DataFrame:
+    """The parse: ``doc_id, start, length, ref_doc_id, ref_start``, in words; each stretch equals its reference.
+
+    Several factors of a document may overlap. A row that repeats another with the
+    same id is described once for the factors of stretches that occur in it alone.
+    """
+    parsed = _parsed(docs)
+    found, _ = _factors(parsed, docs)
+    ids = parsed.select("rid", "doc_id")
+    refs = parsed.select(F.col("rid").alias("ref_rid"), F.col("doc_id").alias("ref_doc_id"))
+    return found.join(ids, "rid").join(refs, "ref_rid").select(
+        "doc_id", F.col("lo").alias("start"), "length", "ref_doc_id", F.col("ref_lo").alias("ref_start"))
 
 
 def remove_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, n_words, n_removed, kept_sha256``."""
-    parsed = written(parse(docs).withColumn("rid", F.monotonically_increasing_id()), "lz-parsed")
-    spans, texts = duplicate_spans(parsed, docs)
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "size")).alias("spans"))
+    parsed = _parsed(docs)
+    found, texts = _factors(parsed, docs)
+    spans = found.groupBy("rid").agg(F.collect_list(F.struct("lo", "length")).alias("spans"))
     spans = written(spans, "lz-spans")
     clean = parsed.join(spans, "rid", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"),
                                                           F.col("sha").alias("kept_sha256"))

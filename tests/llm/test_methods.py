@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodgeprice.llm import decontam, htmltext, pii, pqindex, sharding, urls, wordhash
+from lodgeprice.llm import decontam, htmltext, pii, pqindex, sharding, substrings, urls, wordhash
 
 TABLES = "/root/testdata/sf0.1"
 
@@ -186,3 +186,77 @@ def test_ring_is_balanced_and_one_more_shard_moves_few_keys(spark):
     moved = sum(rows[i].shard != s for i, s in more.items()) / len(more)
     print(f"moved {moved:.3f}")
     assert 1 / 41 <= moved + 1e-3 and moved < 0.06
+
+
+# 8 factors
+
+def repeats(rng, n_texts=60):
+    pool = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(n_texts):
+        w = list(rng.choice(pool, 120))
+        for _ in range(3):
+            a, n, b = rng.integers(0, 60) * 30, rng.integers(30, 70), rng.integers(0, 90)
+            w[b:b] = pool[a:a + n]
+        texts.append(" ".join(w))
+    common = pool[:28]  # fewer words than a window, in many texts: one hot anchor with many different phrases
+    texts += [" ".join([*rng.choice(pool, 30), *common, *rng.choice(pool, 30)]) for _ in range(60)]
+    texts += [" ".join([*rng.choice(pool, 30), *common, *pool[28:28 + k], *rng.choice(pool, 30)]) for k in range(0, 24, 2)]
+    return texts + ["a b " * 40, "a b " * 30, "c " * 36, "d " * 35]
+
+
+def factor_truth(texts):
+    """Removed words by text, and the longest match elsewhere from a start, by comparing words."""
+    ws = [t.split() for t in texts]
+    where = {}
+    for i, w in enumerate(ws):
+        for j in range(len(w) - 34):
+            where.setdefault(tuple(w[j:j + 35]), []).append((i, j))
+    gone = []
+    for w in ws:
+        hit = set()
+        for j in range(len(w) - 34):
+            if len(where[tuple(w[j:j + 35])]) > 1:
+                hit.update(range(j, j + 35))
+        gone.append(hit)
+    return ws, gone
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_factors_equal_their_references_and_cover_every_repeat(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "MOST", most)  # 3: every block with more phrases is cut, down to single windows
+    texts = repeats(np.random.default_rng(12))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ws, gone = factor_truth(texts)
+    covered = [set() for _ in ws]
+    for r in substrings.factors(rows).collect():
+        assert r.length >= 35 and (r.doc_id, r.start) != (r.ref_doc_id, r.ref_start)
+        assert ws[r.doc_id][r.start:r.start + r.length] == ws[r.ref_doc_id][r.ref_start:r.ref_start + r.length]
+        assert r.start + r.length <= len(ws[r.doc_id])
+        covered[r.doc_id].update(range(r.start, r.start + r.length))
+    assert covered == gone
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_duplicates(rows).collect()}
+    assert got == {i: (len(w), len(g)) for i, (w, g) in enumerate(zip(ws, gone))}
+
+
+def test_longest_match_of_a_block_against_every_pair():
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, 58).astype(np.uint64)
+    phrases = []
+    for _ in range(40):  # all hold the words 23 to 34 of the base (the anchor) in the same place, cut and changed around it
+        w = base.copy()
+        for p in rng.choice([*range(0, 20), *range(36, 58)], rng.integers(0, 3)):
+            w[p] = rng.integers(1, 1 << 62)
+        phrases.append(w)
+    at = np.arange(len(phrases) + 1) * 58
+    size = np.full(len(phrases), 24)
+    got = substrings.longest(np.zeros(len(phrases), np.int64), size, np.concatenate(phrases), at)
+    want = {}
+    for i, a in enumerate(phrases):
+        for j in range(24):
+            best = max((next((k for k in range(58 - j) if a[j + k] != b[j + k]), 58 - j) for n, b in enumerate(phrases) if n != i))
+            if best >= 35:
+                want[i, j] = best
+    assert {(i, j): n for i, j, n in zip(*(c.tolist() for c in got[:3]))} == want
+    for i, j, n, r, k in zip(*(c.tolist() for c in got)):
+        assert r != i and (phrases[i][j:j + n] == phrases[r][k:k + n]).all()
