@@ -1155,6 +1155,22 @@ for _key, _name in [
     QUERIES[_key] = _bench_one(_name, search=_name in ("random_forest", "histgb_tuned"))
 
 
+def m13_mlp_regressor(spark, sf):
+    """The perceptron of the model comparison, fitted on the training part; KPIs on the test part, and those of the constant mean."""
+    from .plans import mlp
+    feat, cols, _ = _model_data(spark, sf)
+    test = SP.is_test("id")
+    model = mlp.fit(feat.where(~test), cols)
+    scored = model.predict(feat.where(test), ["price"])
+    mean = scored.withColumn("prediction", F.lit(float(model.mean[-1])))
+    out = A.regression_kpis(scored).withColumn("model", F.lit("mlp")).unionByName(
+        A.regression_kpis(mean).withColumn("model", F.lit("mean")))
+    return rnd(out.withColumn("steps", F.lit(model.steps)).withColumn("best_step", F.lit(model.best_step)))
+
+
+QUERIES["m13_mlp_regressor"] = m13_mlp_regressor
+
+
 _LINE_SQL = f"""
 {S.kept_cte()},
 tr as (select * from kept where not ({SP.split_sql()})),

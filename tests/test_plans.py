@@ -1,5 +1,6 @@
 """Composed plans on the derived views (small scale) and the driver contract."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -327,3 +328,57 @@ def test_served_features_come_in_the_served_order(spark):
     assert sorted(feature_columns(serving_spec())) == sorted(SERVED_FEATURE_ORDER) and len(SERVED_FEATURE_ORDER) == 80
     out = served_features(fx.requests_with_amenities(spark, "/root/testdata/sf0.001"))
     assert out.columns == ["req_id", *SERVED_FEATURE_ORDER] and out.first() is not None
+
+
+def test_mlp_gradient_against_differences():
+    import numpy as np
+    from lodgeprice.plans import mlp
+    rng = np.random.default_rng(2)
+    x, y, sizes = rng.normal(size=(20, 4)), rng.normal(size=20), [4, 6, 3, 1]
+    for activation in ("relu", "tanh"):
+        at = mlp.flat(mlp.init(sizes, 1))
+        _, grad = mlp.gradient(x, y, mlp.shaped(at, sizes), activation)
+        for k in range(len(at)):
+            up, down = at.copy(), at.copy()
+            up[k] += 1e-6
+            down[k] -= 1e-6
+            diff = (mlp.gradient(x, y, mlp.shaped(up, sizes), activation)[0]
+                    - mlp.gradient(x, y, mlp.shaped(down, sizes), activation)[0]) / 2e-6
+            assert abs(diff - grad[k]) < 1e-4 * max(1.0, abs(diff))
+
+
+def test_mlp_learns_stops_and_leaves_nulls(spark, monkeypatch):
+    import numpy as np
+    from lodgeprice.plans import mlp
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), 7.0, float(100 + 20 * abs(a) + 10 * a * b)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    rows += [(900, None, 1.0, 7.0, 50.0), (901, 1.0, float("nan"), 7.0, 50.0), (902, 1.0, 1.0, 7.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, price double").repartition(3)
+    model = mlp.fit(df, ["a", "b", "c"], hidden=(16,), activation="tanh", alpha=0.0, rate=0.05, max_iter=40)
+    got = {r["id"]: r["prediction"] for r in model.predict(df, ["id"]).collect()}
+    assert len(got) == 603 and got[900] is None and got[901] is None and got[902] is not None
+    price = np.array([r[4] for r in rows[:600]])
+    error = np.sqrt(np.mean((np.array([got[r[0]] for r in rows[:600]]) - price) ** 2))
+    assert error < 0.6 * price.std() and abs(model.mean[-1] - price.mean()) < 1e-9
+    monkeypatch.setattr(mlp, "TOL", 10.0)  # nothing counts as a gain after the first step
+    short = mlp.fit(df, ["a", "b", "c"], hidden=(4,), max_iter=40, patience=2)
+    assert short.steps == 3
+    with pytest.raises(ValueError):
+        mlp.fit(df.limit(0), ["a", "b"])
+
+
+def test_mlp_sums_in_two_levels(spark, monkeypatch):
+    import numpy as np
+    from lodgeprice.plans import mlp
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(90, 3))
+    df = spark.createDataFrame([(bool(i % 9 == 0), v.tolist()) for i, v in enumerate(values)], "held boolean, v array<double>")
+    blocks = mlp._blocks(df.repartition(6))
+    weights = mlp.init([2, 5, 1], 1)
+    held = np.arange(90) % 9 == 0
+    loss, grad = mlp.gradient(values[~held, :2], values[~held, 2], weights, "relu")
+    out_loss = mlp.gradient(values[held, :2], values[held, 2], weights, "relu")[0]
+    for fan in (100, 2):
+        monkeypatch.setattr(mlp, "FAN", fan)
+        losses, total = mlp._step(blocks, weights, "relu", 6)
+        assert np.allclose(losses, [loss, out_loss]) and np.allclose(total, grad)
