@@ -1,7 +1,9 @@
 """Held-out measures and hard cases of the training-data operators: other hosts and secrets, odd markup, long repeats."""
 
+import math
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodgeprice.llm import decontam, htmltext, pii, pqindex, sharding, substrings, urls, wordhash
+from lodgeprice.llm import decontam, htmltext, pii, pqindex, quality, sharding, substrings, urls, wordhash
 
 TABLES = "/root/testdata/sf0.1"
 
@@ -260,3 +262,46 @@ def test_longest_match_of_a_block_against_every_pair():
     assert {(i, j): n for i, j, n in zip(*(c.tolist() for c in got[:3]))} == want
     for i, j, n, r, k in zip(*(c.tolist() for c in got)):
         assert r != i and (phrases[i][j:j + n] == phrases[r][k:k + n]).all()
+
+
+# 6 rules
+
+def plain_stats(text):
+    """The statistics of one text, byte by byte and word by word, in the order of ``quality.STATS``."""
+    data = (text or "").encode()
+    ws = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    n, chars = len(ws), sum(map(len, ws))
+    low = [w.lower() for w in ws]  # bytes: A-Z only
+    letters = sum(b >= 128 or chr(b).isalpha() for b in data)
+    triples = {tuple(low[i:i + 3]) for i in range(n - 2)}
+    lines = [x for x in data.split(b"\n") if x]
+    broken = data.count(b"\n")
+    count = lambda signs: sum(b in signs for b in data)
+    return [math.log1p(n), chars / max(n, 1), count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / max(letters, 1),
+            count(b"0123456789") / max(chars, 1), count(b"#$%&*!@^~+=<>{}[]\\/_") / max(chars, 1), count(b"|") / max(n, 1),
+            sum(len(w) <= 3 for w in ws) / max(n, 1), len(set(low)) / max(n, 1), 1 - len(triples) / (n - 2) if n > 3 else 0.0,
+            math.log1p(broken), 1 - len(set(lines)) / max(len(lines), 1) if broken else 0.0,
+            sum(len(w) >= 20 for w in ws) / max(n, 1)]
+
+
+def test_quality_scores_equal_rules_evaluated_in_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").join(labels, "doc_id", "left_semi")
+    odd = spark.createDataFrame([(10**9, None), (10**9 + 1, ""), (10**9 + 2, " \n\n"), (10**9 + 3, "\u00c9t\u00e9 | ABC\nABC\nABC"),
+                                 (10**9 + 4, "x" * 5000), (10**9 + 5, "a b c a b c a b c\n")], "doc_id long, text string")
+    model = quality.train_on(quality.with_stats(known, "text"), labels)
+    assert model[1]  # some rules are left
+    everything = docs.union(odd)
+    got = {r.doc_id: r for r in quality.with_stats(everything, "text").withColumn("score", quality.score_column(model)).collect()}
+    rows = everything.collect()
+    assert len(got) == len(rows) > 200
+    for r in rows:
+        stats = plain_stats(r.text)
+        assert np.allclose([got[r.doc_id][s] for s in quality.STATS], stats, rtol=1e-12, atol=1e-12)
+        z = model[0] + sum(w for w, rule in model[1] if all((stats[i] <= at) if most else (stats[i] > at) for i, most, at in rule))
+        assert abs(got[r.doc_id].score - 1 / (1 + math.exp(-z))) < 1e-9
+    report = {r.doc_id: r for r in quality.score_report(everything, labels).collect()}
+    for r in rows:
+        assert report[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert report[r.doc_id].predicted == int(report[r.doc_id].score >= 0.5)
