@@ -18,11 +18,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "").csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Explicit schema (no inference), header, multi-line quoted fields; empty -> null, never NaN."""
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Explicit schema (no inference), header, multi-line quoted fields; empty -> null, never NaN.
+
+    A file with line ends inside quotes is one task. ``multi_line=False`` splits files
+    into many tasks; it is for files known to have none, and a record cut by one is an error.
+    """
     return (
         spark.read.schema(schema)
-        .option("header", True).option("multiLine", True).option("escape", '"')
+        .option("header", True).option("multiLine", multi_line).option("escape", '"')
         .option("nullValue", "").option("mode", "FAILFAST")
         .csv(path)
     )

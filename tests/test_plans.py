@@ -382,3 +382,24 @@ def test_mlp_sums_in_two_levels(spark, monkeypatch):
         monkeypatch.setattr(mlp, "FAN", fan)
         losses, total = mlp._step(blocks, weights, "relu", 6)
         assert np.allclose(losses, [loss, out_loss]) and np.allclose(total, grad)
+
+
+def test_csv_splits_without_line_ends_in_quotes(spark, tmp_path):
+    from lodgeprice.sources import io
+    schema = "id long, text string"
+    plain = spark.createDataFrame([(i, f'a, "{i}" b') for i in range(2000)] + [(5000, None)], schema)
+    io.write_csv(plain.coalesce(1), f"{tmp_path}/plain")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        whole = io.read_csv(spark, f"{tmp_path}/plain", schema)
+        split = io.read_csv(spark, f"{tmp_path}/plain", schema, multi_line=False)
+        tasks = split.select(F.spark_partition_id()).distinct().count()
+        assert tasks > 1 and whole.select(F.spark_partition_id()).distinct().count() == 1
+        assert sorted(split.collect(), key=lambda r: r[0]) == sorted(whole.collect(), key=lambda r: r[0]) == plain.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    io.write_csv(spark.createDataFrame([(1, "two\nlines")], schema), f"{tmp_path}/broken")
+    assert [r["text"] for r in io.read_csv(spark, f"{tmp_path}/broken", schema).collect()] == ["two\nlines"]
+    with pytest.raises(Exception):
+        io.read_csv(spark, f"{tmp_path}/broken", schema, multi_line=False).collect()
