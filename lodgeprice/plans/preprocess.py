@@ -16,6 +16,7 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from ..functions.scalar import days_since, threshold_flag
 from ..functions.text import column_name, first_number, json_list, money
 from ..operators.aggregates import distinct_values, top_values
 from ..operators.quantiles import exact_medians
+from ..operators.sparse_onehot import SparseOneHot, vector_column
 
 # Columns that may hold nulls after encoding and are imputed by their median.
 IMPUTED_COLUMNS = (
@@ -90,9 +92,9 @@ def fit_domains(cleaned: DataFrame, top_n: int = TOP_PROPERTY_TYPES) -> FeatureS
     )
 
 
-def encode(cleaned: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Encodings and distances in one projection (no imputation yet)."""
-    passthrough = ["id", "price", "accommodates", "bedrooms", "beds", "number_of_reviews"] + REVIEW_COLUMNS + [
+def encode(cleaned: DataFrame, spec: FeatureSpec, keep: list[str] | None = None) -> DataFrame:
+    """Encodings and distances in one projection (no imputation yet); ``keep`` names raw columns to pass on."""
+    passthrough = [*(keep or []), "id", "price", "accommodates", "bedrooms", "beds", "number_of_reviews"] + REVIEW_COLUMNS + [
         "host_experience", "is_professional_host"]
     parsed = cleaned.withColumn("_amen", json_list("amenities"))  # parsed once for all 20 flags
     return parsed.select(
@@ -140,3 +142,28 @@ def preprocess(raw: DataFrame, spec: FeatureSpec | None = None) -> tuple[DataFra
     """The whole preprocessing; returns the table and the spec used."""
     spec = spec or fit(raw)
     return impute(encode(clean(raw), spec), spec.medians), spec
+
+
+#: Categories that become sparse vectors in ``preprocess_sparse``.
+SPARSE_COLUMNS = ["room_type", "neighbourhood_group_cleansed", "property_type"]
+
+
+def preprocess_sparse(raw: DataFrame, columns: list[str] = SPARSE_COLUMNS,
+                      flags: SparseOneHot | None = None, medians: dict[str, float] | None = None):
+    """U1 for categories of any size: ``id, price, features`` as one vector; and the slots and medians used.
+
+    ``features`` holds the numeric columns, distances and amenities of U1, imputed as there, then one
+    sparse 0/1 vector per category with all of its values (no "other"). A numeric column without any
+    value becomes NaN.
+    """
+    numbers = FeatureSpec([], [], [])
+    names = [c for c in numbers.base_feature_columns() if c != "property_other"]
+    cleaned = clean(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        flags = flags or SparseOneHot.fit(cleaned, columns)
+        medians = medians or exact_medians(encode(cleaned, numbers), imputed_columns(numbers))
+    finally:
+        cleaned.unpersist()
+    filled = impute(encode(clean(raw), numbers, keep=columns), medians)
+    vectors = VectorAssembler(inputCols=names + [vector_column(c) for c in columns], outputCol="features", handleInvalid="keep")
+    return vectors.transform(flags.transform(filled)).select("id", "price", "features"), flags, medians

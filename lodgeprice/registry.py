@@ -96,6 +96,22 @@ def s01_csv_roundtrip(spark, sf):
     return (io.csv_roundtrip(spark, listings(spark, sf), LISTING_SCHEMA))
 
 
+@query("s01_csv_splits", """
+select id, price, room_type || chr(10) || '"' || amenities || '",' || chr(10) || coalesce(bathrooms_text, '') as text
+from listings
+""")
+def s01_csv_splits(spark, sf):
+    """S1 with line ends, quotes and commas inside fields, read by as many tasks as the files have splits."""
+    from .session import scratch_path
+    from .sources import io
+    from .sources.csv_split import read_csv_splits
+    rows = listings(spark, sf).select("id", "price", F.concat(
+        "room_type", F.lit('\n"'), "amenities", F.lit('",\n'), F.coalesce("bathrooms_text", F.lit(""))).alias("text"))
+    path = scratch_path(spark, "csv")
+    io.write_csv(rows, path)
+    return read_csv_splits(spark, path, "id bigint, price string, text string")
+
+
 @query("s02_split_parquet_roundtrip", f"""
 select id, case when {SP.split_sql()} then 'test' else 'train' end as "set" from listings
 """)
@@ -328,6 +344,23 @@ def f08_one_hot(spark, sf):
                     *E.one_hot("neighbourhood_group_cleansed", districts, "is_", "district"))
 
 
+_SPARSE_COLS = ["host_since", "neighbourhood_group_cleansed", "property_type"]
+
+
+def _sparse_sql() -> str:
+    return " union all ".join(f"""
+select id, '{c}' as "column", (select count(distinct {c}) from listings)::int as size,
+  (dense_rank() over (order by {c}) - 1)::int as slot from listings where {c} is not null""" for c in _SPARSE_COLS)
+
+
+@query("f08_sparse_one_hot", _sparse_sql())
+def f08_sparse_one_hot(spark, sf):
+    """F8 as sparse vectors, one slot a value; the start date of a host is the large domain."""
+    from .operators.sparse_onehot import SparseOneHot, active_slots
+    rows = listings(spark, sf).select("id", *_SPARSE_COLS)
+    return active_slots(SparseOneHot.fit(rows, _SPARSE_COLS).transform(rows), "id", _SPARSE_COLS)
+
+
 @query("f09_property_top15", f"""
 with k as (select * from ({S.kept_cte().replace('kept as (', '', 1)[:-1]})),
 top as (select property_type v from k where property_type is not null group by property_type
@@ -1434,6 +1467,26 @@ def u04_score_requests(spark, sf):
     return rnd(score(fx.requests_with_amenities(spark, sf), listings(spark, sf), model, spec, avg))
 
 
+@query("u04_line_scores", f"""
+with {_LINE_SQL}, {_NEAREST_SQL},
+r as (select q.req_id, q.latitude, q.longitude, nd.d, q.accommodates,
+        case when nd.d > 15.0 then printf('Location too far from known listings (nearest is %.1f km; limit is 15.0 km).', nd.d)
+             else {P.limit_violation_sql()} end as reject_reason
+      from requests q left join nd on q.req_id = nd.req_id)
+select req_id, round(latitude, 6) as latitude, round(longitude, 6) as longitude, round(d, 6) as min_distance_km, reject_reason,
+  case when reject_reason is null then round(round_even(greatest(a * accommodates + b, 30.0), 2), 6) end as predicted_price
+from r, line
+""")
+def u04_line_scores(spark, sf):
+    """U4 in full with the closed-form line (M2 on guests) as its model."""
+    from .plans.models import fit
+    from .plans.scoring import score
+    feat, spec = featured(spark, sf)
+    avg = A.safe_means(feat, listings(spark, sf)).first().asDict()
+    model = fit("linear_regression", SP.train_part(_line_rows(spark, sf)), ["accommodates"])
+    return rnd(score(fx.requests_with_amenities(spark, sf), listings(spark, sf), model, spec, avg))
+
+
 @query("u05_score_stream")
 def u05_score_stream(spark, sf):
     """Request files arrive in a folder; a Structured Streaming query scores them (availableNow).

@@ -14,15 +14,19 @@ from ..session import scratch_path
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, quoted multi-line text, overwrite."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "").csv(path)
+    """Header, quoted multi-line text, blanks at the ends of a text kept, overwrite."""
+    (
+        df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """Explicit schema (no inference), header, multi-line quoted fields; empty -> null, never NaN.
 
-    A file with line ends inside quotes is one task. ``multi_line=False`` splits files
-    into many tasks; it is for files known to have none, and a record cut by one is an error.
+    A file with line ends inside quotes is one task; ``csv_split.read_csv_splits`` reads it in many.
+    ``multi_line=False`` also splits; it is for files known to have none, and a record cut by one is an error.
     """
     return (
         spark.read.schema(schema)

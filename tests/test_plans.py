@@ -403,3 +403,83 @@ def test_csv_splits_without_line_ends_in_quotes(spark, tmp_path):
     assert [r["text"] for r in io.read_csv(spark, f"{tmp_path}/broken", schema).collect()] == ["two\nlines"]
     with pytest.raises(Exception):
         io.read_csv(spark, f"{tmp_path}/broken", schema, multi_line=False).collect()
+
+
+def test_csv_with_line_ends_in_quotes_splits_anywhere(spark, tmp_path):
+    from lodgeprice.sources import io
+    from lodgeprice.sources.csv_split import read_csv_splits
+    schema = "id long, text string, more string"
+    rows = [(i, ["plain", 'a "quoted", b', "one\ntwo", '\n"\n', "x" * 30 + "\r\ny\n\n", "", None, '"', "ä\n,\nö"][i % 9],
+             ["z", "end\n", 'q"q'][i % 3]) for i in range(60)]
+    rows.append((60, "long\n" * 300, "over many splits"))
+    df = spark.createDataFrame(rows, schema)
+    io.write_csv(df.where("id < 20").coalesce(1), f"{tmp_path}/t")
+    df.where("id >= 20").coalesce(1).write.mode("append").option("header", True).option("escape", '"').option(
+        "nullValue", "").option("ignoreTrailingWhiteSpace", False).csv(f"{tmp_path}/t")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    whole = sorted(io.read_csv(spark, f"{tmp_path}/t", schema).collect())
+    assert len(whole) == 61 and whole[2][1:] == ("one\ntwo", 'q"q') and whole[1][2] == "end\n"
+    try:
+        for size in (83, 409):
+            spark.conf.set(key, str(size))
+            got = read_csv_splits(spark, f"{tmp_path}/t", schema)
+            assert sorted(got.collect()) == whole
+        assert spark.read.text(f"{tmp_path}/t").select(F.spark_partition_id()).distinct().count() > 4
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_csv_splits_odd_files(spark, tmp_path):
+    from lodgeprice.sources.csv_split import read_csv_splits
+    files = {"empty": "", "header": "id,text\n", "open_end": 'id,text\n1,"a\n\nb"', "cr": 'id,text\r\n1,"a\r\nb"\r\n\r\n2,c\r\n',
+             "wide_header": '"id","te\nxt"\n3,d\n'}
+    want = {"empty": [], "header": [], "open_end": [(1, "a\n\nb")], "cr": [(1, "a\r\nb"), (2, "c")], "wide_header": [(3, "d")]}
+    for name, content in files.items():
+        (tmp_path / f"{name}.csv").write_bytes(content.encode())
+        got = read_csv_splits(spark, str(tmp_path / f"{name}.csv"), "id long, text string").collect()
+        assert sorted(map(tuple, got)) == want[name], name
+    (tmp_path / "bad.csv").write_text("id,text\nx,1\n")
+    with pytest.raises(Exception):
+        read_csv_splits(spark, str(tmp_path / "bad.csv"), "id long, text string").collect()
+
+
+def test_sparse_one_hot_of_fifty_thousand_values(spark):
+    from lodgeprice.operators.sparse_onehot import SparseOneHot, active_slots
+    n = 50_000
+    df = spark.range(n).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id"))).alias("a"),
+        F.when(F.col("id") > 1, F.col("id") % 7).alias("b"), F.lit(None).cast("string").alias("c"))
+    flags = SparseOneHot.fit(df, ["a", "b", "c"])
+    values = sorted({"hot" if i % 3 == 0 else f"v{i}" for i in range(n)})
+    assert flags.sizes == [len(values), 7, 0]
+    assert {r.value: r.slot for r in flags.slots(spark, "a").collect()} == {v: i for i, v in enumerate(values)}
+    got = active_slots(flags.transform(df), "id", ["a", "b", "c"]).collect()
+    at = {v: i for i, v in enumerate(values)}
+    want = {(i, "a", at["hot" if i % 3 == 0 else f"v{i}"]) for i in range(n)} | {(i, "b", i % 7) for i in range(2, n)}
+    assert len(got) == len(want) and {(r.id, r.column, r.slot) for r in got} == want
+    assert {(r.column, r.size) for r in got} == {("a", len(values)), ("b", 7)}
+    other = spark.createDataFrame([(1, "new", None, "x"), (2, None, 3, None)], "id long, a string, b long, c string")
+    assert [(r.id, r.column, r.slot) for r in active_slots(flags.transform(other), "id", ["a", "b", "c"]).collect()] == [(2, "b", 3)]
+
+
+def test_sparse_preprocessing_matches_the_wide_table(spark):
+    from pyspark.ml.functions import vector_to_array
+    from lodgeprice.operators.sparse_onehot import SparseOneHot
+    from lodgeprice.plans import preprocess as PP
+    from lodgeprice.sources import fixtures as fx
+    raw = fx.listings(spark, SF001)
+    wide, spec = PP.preprocess(raw)
+    sparse, flags, medians = PP.preprocess_sparse(raw)
+    numbers = [c for c in PP.FeatureSpec([], [], []).base_feature_columns() if c != "property_other"]
+    types = [r.value for r in flags.slots(spark, "property_type").orderBy("slot").collect()]
+    top = [types.index(t) for t in spec.top_property_types]
+    cols = numbers + spec.room_columns() + spec.district_columns() + spec.property_columns()[:-1]
+    a = {r.id: [float(r[c]) for c in cols] for r in wide.select("id", *cols).collect()}
+    b = {}
+    for r in sparse.select("id", vector_to_array("features").alias("v")).collect():
+        types_at = len(r.v) - len(types)
+        b[r.id] = list(r.v[:types_at]) + [r.v[types_at + i] for i in top]
+    assert a == b and len(a) > 100
+    again, _, _ = PP.preprocess_sparse(raw, flags=SparseOneHot.load(spark, flags.folder, flags.columns), medians=medians)
+    assert again.exceptAll(sparse).count() == 0
