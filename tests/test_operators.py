@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodgeprice.operators import aggregates as A
@@ -231,3 +232,30 @@ def test_knn_search_against_brute_force(spark):
     best, rmse = knn_search(df, ["a", "b"], ks=(2, 5), folds=2)
     assert (best["k"], best["weights"], best["p"]) == min(scores, key=scores.get)
     assert abs(rmse - min(scores.values())) < 0.2
+
+
+def test_few_enclosed_values_need_no_sketch(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(Q, "_round", lambda *a: rounds.append(a))
+    df = spark.createDataFrame([(float(i % 7), -float(i)) for i in range(500)], "x double, y double").repartition(3)
+    got = kth_smallest(df, {"x": [0, 250, 499], "y": [10]})
+    xs = sorted(i % 7 for i in range(500))
+    assert got == {("x", 0): xs[0], ("x", 250): xs[250], ("x", 499): xs[499], ("y", 10): -489.0} and not rounds
+
+
+def test_column_profile_merges_tasks_in_column_order(spark):
+    from lodgeprice.operators.aggregates import column_profile
+
+    rows = [(float(i), float(i % 2), None, 1e9 + i, None if i % 3 else 5.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "z double, a double, n double, big double, one double").repartition(4)
+    got = [tuple(r) for r in column_profile(df, ["z", "a", "n", "big", "one"]).collect()]
+    assert [r[0] for r in got] == ["z", "a", "n", "big", "one"]
+    sd = np.std(np.arange(100.0), ddof=1)
+    assert got[0][1:] == (pytest.approx(49.5), pytest.approx(sd), False, True)
+    assert got[1][1:] == (pytest.approx(0.5), pytest.approx(np.std([0, 1] * 50, ddof=1)), True, True)
+    assert got[2][1:] == (None, 1e-3, False, None)
+    assert got[3][2] == pytest.approx(sd, rel=1e-9)
+    assert got[4][1:] == (5.0, 0.5, False, True)
+    empty = column_profile(df.limit(0), ["z"]).first()
+    assert (empty["mean"], empty["std"], empty["binary"], empty["non_negative"]) == (None, 1e-3, True, None)
+    assert "MapInArrow" in column_profile(df, ["z"])._jdf.queryExecution().toString()  # no aggregate of four functions a column

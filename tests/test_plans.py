@@ -483,3 +483,17 @@ def test_sparse_preprocessing_matches_the_wide_table(spark):
     assert a == b and len(a) > 100
     again, _, _ = PP.preprocess_sparse(raw, flags=SparseOneHot.load(spark, flags.folder, flags.columns), medians=medians)
     assert again.exceptAll(sparse).count() == 0
+
+
+def test_cleaned_rows_are_written_once_and_code_stays_compilable(spark):
+    import __spark_entry__ as entry
+
+    from lodgeprice.plans.preprocess import preprocess
+    from lodgeprice.sources import fixtures
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    entry.queries()["o04_top_k_categories"](spark, SF001)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    table, _ = preprocess(fixtures.listings(spark, SF001))
+    files = table.inputFiles()
+    assert files and not any("testdata" in f for f in files)
