@@ -179,6 +179,44 @@ def test_neighbours_by_blocks_equal_brute_force(spark, monkeypatch):
     assert all(r.near == [] for r in neighbours.nearest_rows(df, none, 9, 3).collect())
 
 
+def test_neighbours_send_a_query_once_to_a_region(spark, monkeypatch):
+    """Of the many blocks a query needs nothing is sent by block; regions are small where most fall away, else as large as a task holds."""
+    from lodgeprice.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "REGION", 2)
+    monkeypatch.setattr(neighbours, "TILE", 32)
+    asked, plain = [], neighbours._answered
+
+    def spy(asks, blocks, per_region, fine, counts, *rest):
+        asked.append((per_region, fine, counts))
+        return plain(asks, blocks, per_region, fine, counts, *rest)
+
+    monkeypatch.setattr(neighbours, "_answered", spy)
+    rng = np.random.default_rng(3)
+    for width, p, apart, held in ((2, 2, False, 1 << 20), (9, 1, True, 8 * 9 * 16 * 8)):
+        monkeypatch.setattr(neighbours, "HELD", held)
+        asked.clear()
+        x = rng.integers(0, 30, (700, width)).astype(float)
+        grp = rng.integers(0, 3, 700)
+        df = spark.createDataFrame([(i, int(grp[i]), x[i].tolist()) for i in range(700)], "id long, grp int, v array<double>")
+        scales = {g: [1.0 + g] * width for g in range(3)}
+        got = {r.qid: [(n.dist, n.cid) for n in r.near] for r in neighbours.nearest_rows(df, df, width, 9, p, scales, apart).collect()}
+        assert len(got) == 700
+        for i in range(700):
+            gap = np.abs(x - x[i]) / (1.0 + grp[i])
+            d = np.sqrt((gap * gap).sum(1)) if p == 2 else gap.sum(1)
+            want = sorted((d[j], j) for j in range(700) if not (apart and grp[j] == grp[i]))[:9]
+            assert np.allclose([a for a, _ in want], [a for a, _ in got[i]], atol=1e-12)
+            assert len({c for _, c in got[i]}) == 9 and all(abs(d[c] - a) < 1e-12 for a, c in got[i])
+        (home, _, first), (region, fine, more) = asked
+        assert sum(first.values()) == 700 and fine == home
+        if width == 2:
+            assert region == home and sum(more.values()) < 700 * 5
+        else:
+            assert region > home and region * 16 * 8 * width <= held * 1.5 and max(more.values()) <= 700
+
+
 def test_neighbour_search_has_no_nested_loop_and_far_blocks_fall_away(spark):
     from lodgeprice.operators import neighbours
 
