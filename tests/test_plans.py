@@ -497,3 +497,15 @@ def test_cleaned_rows_are_written_once_and_code_stays_compilable(spark):
     table, _ = preprocess(fixtures.listings(spark, SF001))
     files = table.inputFiles()
     assert files and not any("testdata" in f for f in files)
+
+
+def test_line_rows_are_written_once(spark):
+    """The passes over the line's rows read a file; the joins behind the listings are not repeated."""
+    from lodgeprice import registry
+    from lodgeprice.plans.preprocess import clean
+
+    rows = registry._line_rows(spark, SF001)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    want = clean(fx.listings(spark, SF001)).select("id", "price", "accommodates", F.coalesce("bedrooms", F.lit(1.0)).alias("bedrooms"))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
