@@ -147,16 +147,26 @@ def _distinct(doc: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarra
     return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
 
 
-def indexes(benchmark: DataFrame):
-    """Index blocks of the benchmark (``item_id, text``), one after the other; a block's size is bounded, their number isn't."""
-    items = benchmark.select("item_id", "text").where(word_count(F.col("text")) >= MIN_WORDS)
-    size = items.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
-    n = int(2 * size // BLOCK_WORDS + 1)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
-        rows = items.where(block == k).orderBy("item_id").collect()
-        if rows:
-            yield Index([(r[0], r[1]) for r in rows])
+class indexes:
+    """Index blocks of the benchmark (``item_id, text``), one after the other; a block's size is bounded, their number isn't.
+
+    A block is read when its turn comes; ``len`` is the number of blocks, some of which may hold no item.
+    """
+
+    def __init__(self, benchmark: DataFrame):
+        self.items = benchmark.select("item_id", "text").where(word_count(F.col("text")) >= MIN_WORDS)
+        size = self.items.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
+        self.n = int(2 * size // BLOCK_WORDS + 1)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self):
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n))
+        for k in range(self.n):
+            rows = self.items.where(block == k).orderBy("item_id").collect()
+            if rows:
+                yield Index([(r[0], r[1]) for r in rows])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -380,7 +380,7 @@ def test_pairs_of_small_and_large_buckets_are_all_compared(spark):
     bands = {r.doc_id: set(r.bands) for r in sig.collect()}
     sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
     want = {(a, b) for a, b in itertools.combinations(sets, 2)
-            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and bands[a] & bands[b]}
+            if 100 * len(sets[a] & sets[b]) >= minhash.PERCENT * len(sets[a] | sets[b]) and bands[a] & bands[b]}
     assert len(want) > 20
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
