@@ -509,3 +509,16 @@ def test_line_rows_are_written_once(spark):
     assert "Join" not in plan and "Aggregate" not in plan
     want = clean(fx.listings(spark, SF001)).select("id", "price", "accommodates", F.coalesce("bedrooms", F.lit(1.0)).alias("bedrooms"))
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_long_rows_hold_the_rounded_values_without_an_array_of_structs(spark):
+    from lodgeprice import registry
+
+    values = [None, 0.0, -0.0, 1.0, -3.0, 0.1234565, 0.1234575, -2.00000049, 1e300, 123456789.1234567, float("inf"), float("nan")]
+    wide = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(values)], "id long, a double, b int")
+    got = registry._long(wide, ["a", "b"], "id")
+    assert got.schema.simpleString() == "struct<id:bigint,feature:string,value:double>"
+    assert "struct" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = wide.select("id", F.lit("a").alias("feature"), F.round("a", 6).alias("value")).union(
+        wide.select("id", F.lit("b"), F.col("b").cast("double")))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r)) for r in want.collect())
