@@ -522,3 +522,20 @@ def test_long_rows_hold_the_rounded_values_without_an_array_of_structs(spark):
     want = wide.select("id", F.lit("a").alias("feature"), F.round("a", 6).alias("value")).union(
         wide.select("id", F.lit("b"), F.col("b").cast("double")))
     assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r)) for r in want.collect())
+
+
+def test_rows_of_a_benchmark_are_kept_once(spark, monkeypatch):
+    """``benchmark`` keeps both parts of the table; the table before them is not kept as well."""
+    from lodgeprice import registry
+    from lodgeprice.plans import models
+
+    seen = []
+
+    def stand_in(feat, cols, names, **more):
+        seen.append(feat.storageLevel)
+        return spark.createDataFrame([(1.0, 1.0)], "rmse double, fit_seconds double")
+
+    monkeypatch.setattr(models, "benchmark", stand_in)
+    for name in ("m02_linear_regression", "m03_ridge_grid_search", "m04_lasso_grid_search", "m18_benchmark_leaderboard"):
+        registry.QUERIES[name](spark, SF001)
+    assert len(seen) == 4 and not any(level.useMemory or level.useDisk for level in seen)
