@@ -27,6 +27,16 @@ def test_preprocess_has_no_nulls_and_names(spark):
     assert feat.where(F.col("price") > 3000).count() == 0
 
 
+def test_small_tables_are_spread_over_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    raw = fx.listings(spark, SF001)
+    assert raw.rdd.getNumPartitions() >= cores
+    spread, _ = preprocess(raw)
+    dealt, _ = preprocess(raw.coalesce(1))  # one task writes the cleaned rows
+    assert len(spread.inputFiles()) >= cores and len(dealt.inputFiles()) >= cores
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, dealt.collect()))
+
+
 def test_request_features_serving_rules(spark):
     pre, spec = preprocess(fx.listings(spark, SF001))
     req = fx.requests_with_amenities(spark, SF001)
