@@ -394,6 +394,28 @@ def test_mlp_sums_in_two_levels(spark, monkeypatch):
         assert np.allclose(losses, [loss, out_loss]) and np.allclose(total, grad)
 
 
+def test_mlp_rows_are_written_one_by_one(spark, monkeypatch):
+    """Readers, caches and Arrow batches hold a number of rows: a row with thousands of listings would fill a task."""
+    import numpy as np
+    from lodgeprice.plans import mlp
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, v)) for i, v in enumerate(rng.normal(5.0, 3.0, size=(700, 3)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, price double").coalesce(1)
+    seen = []
+    real = mlp._step
+    monkeypatch.setattr(mlp, "_step", lambda blocks, *more: seen.append(blocks) or real(blocks, *more))
+    model = mlp.fit(df, ["a", "b"], hidden=(4,), max_iter=2)
+    got = seen[0].select("held", F.length(seen[0].columns[-1]).alias("n")).collect()
+    assert len(got) == 700 and {r["n"] for r in got} == {8 * 3} and 0 < sum(r["held"] for r in got) < 200
+    values = np.array([r[1:] for r in rows])
+    assert np.allclose(model.mean, values.mean(axis=0)) and np.allclose(model.std, values.std(axis=0))
+    held = {r["id"] for r in df.where(mlp.held_back()).select("id").collect()}
+    scaled = (values - model.mean) / model.std
+    part = scaled[[i in held for i in range(700)]]
+    error = mlp.forward(part[:, :2], mlp.init([2, 4, 1]), "relu")[-1][:, 0] - part[:, 2]
+    assert abs(model.held_loss[0] - 0.5 * float((error ** 2).mean())) < 1e-12
+
+
 def test_csv_splits_without_line_ends_in_quotes(spark, tmp_path):
     from lodgeprice.sources import io
     schema = "id long, text string"
