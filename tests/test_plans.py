@@ -416,6 +416,48 @@ def test_mlp_rows_are_written_one_by_one(spark, monkeypatch):
     assert abs(model.held_loss[0] - 0.5 * float((error ** 2).mean())) < 1e-12
 
 
+def test_leaderboard_searches_the_perceptron(spark, monkeypatch):
+    import math
+
+    import numpy as np
+    from lodgeprice import registry
+    from lodgeprice.plans import mlp, models
+    seen = []
+
+    def stand_in(feat, cols, names, **more):
+        seen.append((names, more.get("search")))
+        return spark.createDataFrame([(1.0, 1.0)], "rmse double, fit_seconds double")
+
+    with monkeypatch.context() as m:
+        m.setattr(models, "benchmark", stand_in)
+        m.setattr(registry, "_model_data", lambda spark, sf: (None, [], None))
+        registry.QUERIES["m18_benchmark_leaderboard"](spark, SF001)
+    names, searched = seen[0]
+    assert searched and len(names) == 15 and names[-2:] == ["mlp_tuned", "stacking_ensemble"] and set(names) - {"mlp_tuned"} == set(models.BENCHMARK)
+    points = models.grid_points(mlp.GRID, models.SEARCH_ITER)
+    assert len(points) == 12 and len(models.grid_points(mlp.GRID)) == 90
+
+    df = spark.range(300).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    df = df.withColumn("price", 30 + 4 * F.col("a") - 2 * F.col("b")).coalesce(2).persist()
+    monkeypatch.setattr(mlp, "GRID", {"hidden": [(3,)], "activation": ["tanh"], "alpha": [0.0], "rate": [0.0001, 0.1]})
+    train = df.where(~models.is_test("id"))
+    model, best, error = mlp.search(train, ["a", "b"], folds=2, max_iter=6)
+    means = []
+    for rate in (0.0001, 0.1):
+        errors = []
+        for f in range(2):
+            fold = models.fold_of("id", 2)
+            net = mlp.fit(train.where(fold != f), ["a", "b"], hidden=(3,), activation="tanh", alpha=0.0, rate=rate, max_iter=6)
+            got = net.predict(train.where(fold == f), ["price"]).collect()
+            errors.append(math.sqrt(np.mean([(r["price"] - r["prediction"]) ** 2 for r in got])))
+        means.append(sum(errors) / 2)
+    assert best["rate"] == (0.0001, 0.1)[int(np.argmin(means))] and abs(error - min(means)) < 1e-9 and model.n_fits == 4
+    real = mlp.search
+    monkeypatch.setattr(mlp, "search", lambda *a, **k: real(*a, **k, folds=2, max_iter=3))
+    row = models.benchmark(df, ["a", "b"], ["mlp_tuned"], search=True).first()
+    assert row["model"] == "mlp_tuned" and row["n_fits"] == 4 and "tanh" in row["params"] and row["rmse"] > 0
+
+
 def test_csv_splits_without_line_ends_in_quotes(spark, tmp_path):
     from lodgeprice.sources import io
     schema = "id long, text string"
