@@ -179,6 +179,30 @@ def test_neighbours_by_blocks_equal_brute_force(spark, monkeypatch):
     assert all(r.near == [] for r in neighbours.nearest_rows(df, none, 9, 3).collect())
 
 
+def test_cells_part_columns_of_few_values_and_long_tails():
+    """A cell that equal values of one axis keep whole would be compared as a whole; cells next to each other in number are near."""
+    from lodgeprice.operators.neighbours import Cells, _order
+
+    rng = np.random.default_rng(6)
+    n = 8000
+    rows = np.column_stack([np.exp(3 * rng.normal(size=n)), rng.integers(0, 3, n), (rng.random(n) < 0.8) * 2.0, rng.normal(size=n)])
+    rows[:500] = rows[0]
+    cells = Cells(rows[::2], 64)
+    of, (ends, sizes) = cells.of(rows), np.unique(cells.of(rows), return_counts=True)
+    assert cells.leaves == len(ends) == 64 and set(ends) == set(range(64)) and sorted(sizes)[-2] < 3 * n / 64 and sizes.max() < 700
+    assert len(np.unique(of[:500])) == 1 and (np.diff(of[np.argsort(of, kind="stable")]) >= 0).all()
+    by = np.array([2.0, 1.0, 5.0, 0.5])
+    assert (Cells(rows[::2], 64).scaled(by).of(rows * by) == of).all()
+    assert Cells(np.ones((50, 3)), 8).leaves == 1 and Cells(np.empty((0, 3)), 8).of(np.ones((2, 3))).tolist() == [0, 0]
+    odd = rows.copy()
+    odd[::7, 3], odd[3, 0] = np.nan, np.inf
+    assert Cells(odd, 16).of(odd).max() > 2
+    row, dist, cid = rng.integers(0, 300, n), rng.integers(0, 40, n) / 4, rng.permutation(n)
+    for d in (dist, rng.random(n), np.where(dist == 3, np.nan, dist)):
+        assert (_order(row, d, cid) == np.lexsort((cid, d, row))).all()
+    assert (_order(row * 1000, dist, cid) == np.lexsort((cid, dist, row))).all() and len(_order(row[:0], dist[:0], cid[:0])) == 0
+
+
 def test_neighbours_send_a_query_once_to_a_region(spark, monkeypatch):
     """Of the many blocks a query needs nothing is sent by block; regions are small where most fall away, else as large as a task holds."""
     from lodgeprice.operators import neighbours
