@@ -330,6 +330,20 @@ def test_comps_by_all_filters_against_plain_python(spark):
     assert comps_by_filters(listings, filters.select("req_id"))[0].select("combo").distinct().count() == 1
 
 
+def test_similar_set_is_computed_once(spark):
+    """The requests' combinations read the written similar set, they don't compute it again."""
+    from lodgeprice.plans.comps import comps_by_filters
+    from lodgeprice.registry import listings, requests
+    raw, asked = listings(spark, SF001), requests(spark, SF001)
+    filters = asked.select("req_id", "accommodates")
+    similar = asked.where("req_id % 10 = 9").select("req_id").crossJoin(
+        raw.select("id").where(F.xxhash64("id") % 5 == 0))
+    combos, found = comps_by_filters(raw, filters, similar)
+    for df in (combos, found):
+        assert "xxhash64" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert combos.count() == asked.count()
+
+
 def test_served_features_come_in_the_served_order(spark):
     from lodgeprice.constants import SERVED_FEATURE_ORDER
     from lodgeprice.plans.features import feature_columns, served_features, serving_spec
